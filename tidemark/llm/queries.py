@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, mixing, simhash
+from tidemark.llm import bpe, exact_dedup, mixing, simhash, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_docs(spark, sf_dir))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_places(_docs(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_docs(spark, sf_dir))
 
@@ -30,7 +34,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op6_simhash_near_dedup, op7_byte_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_simhash_near_dedup, op7_byte_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
