@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, mixing, simhash, token_files
+from tidemark.llm import bpe, embeddings, exact_dedup, mixing, simhash, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_docs(spark, sf_dir))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_simhash_near_dedup, op7_byte_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_simhash_near_dedup, op7_byte_bpe, op9_exact_dedup, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
