@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, exact_dedup, mixing, simhash, token_files
+from tidemark.llm import bpe, embeddings, exact_dedup, language, mixing, quality, simhash, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_docs(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_places(_docs(spark, sf_dir))
 
@@ -29,6 +33,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(_docs(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_docs(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_docs(spark, sf_dir))
 
@@ -38,7 +46,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op6_simhash_near_dedup, op7_byte_bpe, op9_exact_dedup, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op4_token_files, op6_simhash_near_dedup, op7_byte_bpe, op8_language_id, op9_exact_dedup, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
