@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, exact_dedup, language, mixing, quality, simhash, token_files
+from tidemark.llm import bpe, embeddings, exact_dedup, language, licences, mixing, privacy, quality, simhash, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.personal_data(_docs(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_places(_docs(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(_docs(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_docs(spark, sf_dir))
 
@@ -46,7 +54,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op4_token_files, op6_simhash_near_dedup, op7_byte_bpe, op8_language_id, op9_exact_dedup, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_personal_data, op4_token_files, op5_license_scan, op6_simhash_near_dedup, op7_byte_bpe, op8_language_id, op9_exact_dedup, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
