@@ -38,7 +38,10 @@ BATCH = 256
 END_ID = 1
 _SLICE = 256
 #: Distinct white-space-free chunks whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 300_000
+MEMORY = 500_000
+#: Words in one call of the library.
+_LINE = 1024
+_CLOSING = ".,!?;:*$#%&|"
 #: The tokenizer drops these as white space, so no id depends on both sides of one.
 _GAP = re.compile(r"[ \t\n\r]+")
 
@@ -46,8 +49,9 @@ _GAP = re.compile(r"[ \t\n\r]+")
 class ChunkEncoder:
     """The tokenizers library behind a bounded memory of chunks between white space.
 
-    The tokenizer normalises, then splits at white space, which it drops, so the ids of a text are
-    those of its chunks in turn; new chunks go to the library in one call.
+    The tokenizer normalises (case too), then splits at white space, which it drops, and between
+    letters or digits and other characters. So the ids of a text are those of its chunks in turn,
+    and those of a chunk are its core's, in lower case, and then its closing marks'.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,20 +60,59 @@ class ChunkEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if self._library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        size = self._library.get_vocab_size()
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        #: Whether an id ends a word, by which the ids of a line of words part.
+        self._ends = np.array([(self._library.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         self._known: dict[str, bytes] = {}
+        self._cores: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
         chunks = [_GAP.split(t) if t else [] for t in texts]
-        if len(self._known) > MEMORY:
-            self._known.clear()
+        for memory in (self._known, self._cores):
+            if len(memory) > MEMORY:
+                memory.clear()
         known = self._known
-        fresh = [c for c in set(itertools.chain.from_iterable(chunks)) if c not in known]
-        for chunk, got in zip(fresh, self._library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(got.ids, dtype=self.dtype).tobytes()
+        self._learn([c for c in set(itertools.chain.from_iterable(chunks)) if c not in known])
         return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [_parts(c) for c in chunks]
+        cores = self._cores
+        fresh = [c for c in set(itertools.chain.from_iterable(parts)) if c not in cores]
+        words = [c for c in fresh if c.isalpha()]
+        for at in range(0, len(words), _LINE):
+            self._words(words[at : at + _LINE])
+        self._each([c for c in fresh if not c.isalpha()])
+        for chunk, own in zip(chunks, parts, strict=True):
+            self._known[chunk] = b"".join(map(cores.__getitem__, own))
+
+    def _each(self, fresh: list[str]) -> None:
+        for core, got in zip(fresh, self._library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self._cores[core] = np.array(got.ids, dtype=self.dtype).tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Encodes words as one line; as each gives one word end or more, as many ends as words
+        mean one each, and otherwise the words are encoded one by one."""
+        ids = np.array(self._library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self._each(words)
+            return
+        raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
+        for word, end in zip(words, (ends * size).tolist(), strict=True):
+            self._cores[word] = raw[start:end]
+            start = end
+
+
+def _parts(chunk: str) -> tuple[str, ...]:
+    core = chunk.rstrip(_CLOSING)
+    if not core or not core[-1].isalnum():
+        return (chunk,)
+    low = core.lower() if core.isascii() else core
+    return (low, chunk[len(core) :]) if len(core) < len(chunk) else (low,)
+
 
 @functools.cache
 def encoder(path: str) -> ChunkEncoder:
