@@ -3,13 +3,16 @@ run in Python, on Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters of the tokens that keyword matching knows.
 KEEP = r"[^0-9a-z가-힣%+./:_-]+"
@@ -19,7 +22,7 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatibility_form(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -57,11 +60,18 @@ def phrase_hits(text: Column | str, phrases: Iterable[str]) -> Column:
 
 
 def starts_of(text: Column | str, stem: str) -> Column:
-    """All 0-based starts of a stem, overlapping ones too."""
+    """All 0-based starts of a stem that cannot overlap itself, from the lengths between them."""
+    if any(stem.startswith(stem[k:]) for k in range(1, len(stem))):
+        raise ValueError(f"{stem} overlaps itself")
     t = F.coalesce(_c(text), F.lit(""))
-    last = F.length(t) - len(stem)
-    every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.when(t.contains(stem), F.filter(every, lambda i: F.substr(t, i + 1, F.lit(len(stem))) == stem)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    parts = F.split(t, re.escape(stem))
+    walk = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), none.alias("starts")),
+        lambda acc, part: F.struct((acc["at"] + F.length(part) + len(stem)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(part))).alias("starts")),
+    )["starts"]
+    return F.when(t.contains(stem), F.slice(walk, F.lit(1), F.size(walk) - 1)).otherwise(none)
 
 
 def within_reach(text: Column | str, first: str, second: str, window: int) -> Column:
@@ -71,22 +81,37 @@ def within_reach(text: Column | str, first: str, second: str, window: int) -> Co
 
 
 def best_ratio(text: str, phrase: str, low: int = 4, high: int = 8) -> float:
-    """Best similarity of a phrase with any substring of low to high characters."""
-    best = 0.0
-    match = SequenceMatcher(autojunk=False)
+    """Best similarity of a phrase with any substring of low to high characters.
+
+    The characters that a substring shares with the phrase bound its ratio; substrings are tried
+    from the largest bound down until none left can beat the best."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    shared = [(np.r_[0, np.cumsum(codes == ord(c))], phrase.count(c)) for c in set(phrase)]
+    tries = []
+    for size in range(low, min(high, len(codes)) + 1):
+        common = sum(np.minimum(run[size:] - run[:-size], n) for run, n in shared)
+        bound = 2.0 * common / (size + len(phrase))
+        tries.append((bound, np.arange(len(bound)), np.full(len(bound), size)))
+    if not tries:
+        return 0.0
+    bound, at, size = (np.concatenate(x) for x in zip(*tries, strict=True))
+    best, seen, match = 0.0, set(), SequenceMatcher(autojunk=False)
     match.set_seq2(phrase)
-    for size in range(low, high + 1):
-        for at in range(max(0, len(text) - size + 1)):
-            match.set_seq1(text[at : at + size])
-            if match.real_quick_ratio() > best and match.quick_ratio() > best:
-                best = max(best, match.ratio())
+    for k in np.argsort(-bound, kind="stable"):
+        if bound[k] <= best:
+            break
+        part = text[at[k] : at[k] + size[k]]
+        if part not in seen:
+            seen.add(part)
+            match.set_seq1(part)
+            best = max(best, match.ratio())
     return best
 
 
 def fuzzy_score(phrases: tuple[str, ...]):
     """Column function: the best similarity of any phrase with substrings of the text."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series) -> pd.Series:
         return text.map(lambda t: max((best_ratio(t or "", p) for p in phrases), default=0.0))
 
