@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import uuid
@@ -37,21 +38,24 @@ LENGTH = 2048
 BATCH = 256
 END_ID = 1
 _SLICE = 256
-#: Distinct white-space-free chunks whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 500_000
+#: Distinct pieces whose ids a worker remembers; beyond it the memory starts anew.
+MEMORY = 800_000
 #: Words in one call of the library.
 _LINE = 1024
-_CLOSING = ".,!?;:*$#%&|"
-#: The tokenizer drops these as white space, so no id depends on both sides of one.
-_GAP = re.compile(r"[ \t\n\r]+")
+# Fixed value: the splitting pattern of the tokenizer file.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same matches on lower-cased Latin-1 text: letters, contractions, single digits, the rest.
+_LETTERS, _DIGITS, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_PIECE = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|(?:(?!'(?:s|t|re|ve|m|ll|d))[^{_SPACE}{_LETTERS}{_DIGITS}])[^{_SPACE}{_LETTERS}{_DIGITS}]*")
 
 
-class ChunkEncoder:
-    """The tokenizers library behind a bounded memory of chunks between white space.
+class PieceEncoder:
+    """The tokenizers library behind a bounded memory of pieces.
 
-    The tokenizer normalises (case too), then splits at white space, which it drops, and between
-    letters or digits and other characters. So the ids of a text are those of its chunks in turn,
-    and those of a chunk are its core's, in lower case, and then its closing marks'.
+    The tokenizer lower-cases, drops white space and encodes each match of its splitting pattern
+    by itself. On text of Latin-1 characters, where normalisation only lower-cases, the same
+    matches are found here and their ids remembered, new ones coming from the library; any other
+    text, and any tokenizer of another build, goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,58 +69,53 @@ class ChunkEncoder:
         #: Whether an id ends a word, by which the ids of a line of words part.
         self._ends = np.array([(self._library.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         self._known: dict[str, bytes] = {}
-        self._cores: dict[str, bytes] = {}
+        build = json.loads(self._library.to_str())
+        split = (build["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        kinds = [n["type"] for n in (build["normalizer"] or {}).get("normalizers", [])]
+        self._by_piece = split == _SPLIT and kinds == ["NFC", "Replace", "Lowercase"]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
-        chunks = [_GAP.split(t) if t else [] for t in texts]
-        for memory in (self._known, self._cores):
-            if len(memory) > MEMORY:
-                memory.clear()
+        pieces = [self._pieces(t) if t else [] for t in texts]
         known = self._known
-        self._learn([c for c in set(itertools.chain.from_iterable(chunks)) if c not in known])
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
-
-    def _learn(self, chunks: list[str]) -> None:
-        parts = [_parts(c) for c in chunks]
-        cores = self._cores
-        fresh = [c for c in set(itertools.chain.from_iterable(parts)) if c not in cores]
-        words = [c for c in fresh if c.isalpha()]
+        if len(known) > MEMORY:
+            known.clear()
+        fresh = set(itertools.chain.from_iterable(p for p in pieces if p is not None)).difference(known)
+        words = [p for p in fresh if p.isalpha()]
         for at in range(0, len(words), _LINE):
             self._words(words[at : at + _LINE])
-        self._each([c for c in fresh if not c.isalpha()])
-        for chunk, own in zip(chunks, parts, strict=True):
-            self._known[chunk] = b"".join(map(cores.__getitem__, own))
-
-    def _each(self, fresh: list[str]) -> None:
-        for core, got in zip(fresh, self._library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self._cores[core] = np.array(got.ids, dtype=self.dtype).tobytes()
+        others = [p for p in fresh if p not in known]
+        known.update(zip(others, self._whole(others), strict=True))
+        rest = iter(self._whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        return [next(rest) if p is None else b"".join(map(known.__getitem__, p)) for p in pieces]
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if not self._by_piece:
+            return None
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return _PIECE.findall(text.lower())
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(got.ids, dtype=self.dtype).tobytes() for got in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> None:
-        """Encodes words as one line; as each gives one word end or more, as many ends as words
-        mean one each, and otherwise the words are encoded one by one."""
+        """Encodes words as one line. Each gives one word end or more, so as many ends as words
+        mean one each; a line that says otherwise is left to be encoded word by word."""
         ids = np.array(self._library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         ends = np.flatnonzero(self._ends[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            self._each(words)
-            return
-        raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
-        for word, end in zip(words, (ends * size).tolist(), strict=True):
-            self._cores[word] = raw[start:end]
-            start = end
-
-
-def _parts(chunk: str) -> tuple[str, ...]:
-    core = chunk.rstrip(_CLOSING)
-    if not core or not core[-1].isalnum():
-        return (chunk,)
-    low = core.lower() if core.isascii() else core
-    return (low, chunk[len(core) :]) if len(core) < len(chunk) else (low,)
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            cuts = [0, *(ends * size).tolist()]
+            self._known.update(zip(words, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
 
 @functools.cache
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
