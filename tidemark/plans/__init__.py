@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import profiles, texts, timeline  # noqa: F401
+from tidemark.plans import profiles, rules, texts, timeline  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL, Query
 
 
