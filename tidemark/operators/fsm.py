@@ -10,6 +10,7 @@ on the output (tidemark.operators.scoring).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,7 +92,7 @@ class Machine:
 
     def __init__(self, limits: Limits, duration: float) -> None:
         self.lim, self.duration = limits, duration
-        self.state, self.now, self.pend = OUTSIDE, None, None
+        self.state, self.now, self.pend, self.after = OUTSIDE, None, None, None
         self.out: list[tuple] = []
         self.trace: list[tuple] = []
 
@@ -119,15 +120,20 @@ class Machine:
         return INSIDE
 
     def walk(self, rows: list) -> Machine:
-        for i, row in enumerate(rows):
+        self.walk_on(rows, 0)
+        if self.now is not None and rows:
+            self.left_open(rows[-1])
+        return self
+
+    def walk_on(self, rows: list, first: int) -> None:
+        """Walks rows that follow the first ones; i counts from the start, rows only within."""
+        for k, row in enumerate(rows):
             before, seen = self.state, len(self.out)
             self.before(row)
             if self.state != OUTSIDE or before == OUTSIDE:
-                self.state = getattr(self, self.state)(i, row, rows)
+                self.after = rows[k + 1] if k + 1 < len(rows) else None
+                self.state = getattr(self, self.state)(first + k, row)
             self.trace.append((row.t, before, self.state, self.out[-1][4] if len(self.out) > seen else (self.pend or {}).get("why", "")))
-        if self.now is not None and rows:
-            self.left_open(rows[-1])
-        return self
 
     def before(self, row) -> None:
         """Happens before every row, whatever the state."""
@@ -155,7 +161,7 @@ class Evidence(Machine):
             self.span_from = row.t if self.span_from is None else self.span_from
             self.span_rows += 1
 
-    def outside(self, i: int, row, rows: list) -> str:
+    def outside(self, i: int, row) -> str:
         if row.opening_only:
             return self.review(row.t, row.t, "opening notice")
         if row.hard:
@@ -166,7 +172,7 @@ class Evidence(Machine):
             return OPENING
         return OUTSIDE
 
-    def opening(self, i: int, row, rows: list) -> str:
+    def opening(self, i: int, row) -> str:
         p = self.pend
         if row.hard:
             self.now = Open(p["t"], "support confirmed by hard evidence", "medium")
@@ -181,7 +187,7 @@ class Evidence(Machine):
             return self.review(p["t"], row.t, "not confirmed in time")
         return OPENING
 
-    def inside(self, i: int, row, rows: list) -> str:
+    def inside(self, i: int, row) -> str:
         self.now.take(row)
         stale = row.t - (self.now.start if self.last_hard is None else self.last_hard) > self.lim.fresh_sec
         capped = self.span_from is not None and row.t - self.span_from > self.lim.support_sec and self.span_rows > self.lim.support_rows
@@ -190,7 +196,7 @@ class Evidence(Machine):
             return CLOSING
         return INSIDE
 
-    def closing(self, i: int, row, rows: list) -> str:
+    def closing(self, i: int, row) -> str:
         if row.hard or (row.continuity and not row.end_support):
             self.now.take(row)
             return self.resume()
@@ -227,10 +233,10 @@ class Support(Machine):
     def _support(self, row) -> None:
         self.span_from, self.span_rows = (row.t, 1) if row.support and not row.hard else (None, 0)
 
-    def outside(self, i: int, row, rows: list) -> str:
+    def outside(self, i: int, row) -> str:
         return _level_start(self, i, row, guarded=True)
 
-    def opening(self, i: int, row, rows: list) -> str:
+    def opening(self, i: int, row) -> str:
         p = self.pend
         if i - p["i"] > self.lim.opening_rows or row.t - p["t"] > self.lim.opening_sec or not row.confirm:
             return self.review(p["t"], row.t, "no pattern confirmed it")
@@ -239,7 +245,7 @@ class Support(Machine):
         self.pend = None
         return INSIDE
 
-    def inside(self, i: int, row, rows: list) -> str:
+    def inside(self, i: int, row) -> str:
         self.now.take(row)
         last = self.now.start if self.now.last_hard is None else self.now.last_hard
         if row.known_low and row.t - self.now.start >= self.lim.shortest:
@@ -261,7 +267,7 @@ class Support(Machine):
         self.wait(i, row, "no evidence")
         return CLOSING
 
-    def closing(self, i: int, row, rows: list) -> str:
+    def closing(self, i: int, row) -> str:
         self.now.take(row)
         if row.hard:
             self._support(row)
@@ -314,10 +320,10 @@ class Strong(Machine):
             self.state, self.now, self.pend = OUTSIDE, None, None
             self._reset()
 
-    def outside(self, i: int, row, rows: list) -> str:
+    def outside(self, i: int, row) -> str:
         return _level_start(self, i, row, guarded=True)
 
-    def opening(self, i: int, row, rows: list) -> str:
+    def opening(self, i: int, row) -> str:
         p = self.pend
         if i - p["i"] > self.lim.opening_rows or row.t - p["t"] > self.lim.opening_sec or not row.confirm:
             return self.review(p["t"], row.t, "no strong evidence")
@@ -326,7 +332,7 @@ class Strong(Machine):
         self._reset()
         return INSIDE
 
-    def inside(self, i: int, row, rows: list) -> str:
+    def inside(self, i: int, row) -> str:
         self.now.take(row)
         if row.strong:
             self._reset()
@@ -349,7 +355,7 @@ class Strong(Machine):
             return CLOSING
         return INSIDE
 
-    def closing(self, i: int, row, rows: list) -> str:
+    def closing(self, i: int, row) -> str:
         if row.strong:
             self.now.take(row)
             self._reset()
@@ -376,13 +382,13 @@ class Levels(Machine):
     def before(self, row) -> None:
         self.conflicts = self.conflicts + 1 if row.conflict else 0
 
-    def outside(self, i: int, row, rows: list) -> str:
+    def outside(self, i: int, row) -> str:
         if row.start_high and not row.conflict:
             self.now = Open(row.t, "text high", "high").take(row)
             return INSIDE
         return _level_start(self, i, row, guarded=False)
 
-    def opening(self, i: int, row, rows: list) -> str:
+    def opening(self, i: int, row) -> str:
         p = self.pend
         confirmed = row.text or row.audio
         if self.guarded and p["why"] == "sound alone":
@@ -393,19 +399,19 @@ class Levels(Machine):
         self.pend = None
         return INSIDE
 
-    def _bridged(self, i: int, row, rows: list) -> bool:
-        if not row.known_low or i + 1 >= len(rows):
+    def _bridged(self, row) -> bool:
+        after = self.after
+        if not row.known_low or after is None:
             return False
-        after = rows[i + 1]
         gap = after.t - row.t
         return (0 <= gap <= self.lim.bridge_sec and (after.text or after.audio)) or (self.lim.bridge_sec < gap <= self.lim.bridge_both_sec and after.text and after.audio and not after.conflict)
 
-    def inside(self, i: int, row, rows: list) -> str:
+    def inside(self, i: int, row) -> str:
         self.now.take(row)
-        if row.text or row.product or (row.audio and row.unreliable) or self._bridged(i, row, rows):
+        if row.text or row.product or (row.audio and row.unreliable) or self._bridged(row):
             return INSIDE
         if row.end_support or row.known_low or self.conflicts >= 2:
-            twice_low = row.known_low and i + 1 < len(rows) and rows[i + 1].known_low
+            twice_low = row.known_low and self.after is not None and self.after.known_low
             if row.t - self.now.start < self.lim.shortest and not twice_low:
                 return INSIDE
             self.wait(i, row, "end support" if row.end_support or row.known_low else "repeated conflict")
@@ -421,7 +427,7 @@ class Levels(Machine):
                 self.emit("review", self.now.start, p["t"], "long interval goes on")
         return self.resume()
 
-    def closing(self, i: int, row, rows: list) -> str:
+    def closing(self, i: int, row) -> str:
         p = self.pend
         rows_on, elapsed = i - p["i"], row.t - p["t"]
         if rows_on > self.lim.closing_rows or elapsed > self.lim.close_sec:
@@ -454,7 +460,7 @@ def _prepared(rows: DataFrame, key: str, t: str, tie: str, duration: str | None)
 
 def _walked(name: str, limits: Limits, frame: pd.DataFrame) -> Machine:
     frame = frame.sort_values(["t", "tie"])
-    rows = list(frame.itertuples(index=False))
+    rows = [SimpleNamespace(**r) for r in frame[["t", *CUES]].to_dict("records")]
     return MACHINES[name](limits, float(frame["duration"].iloc[0])).walk(rows)
 
 
