@@ -55,12 +55,16 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows that stay, columns unchanged; rows repeated with id and text stay once."""
-    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    """The rows that stay, columns unchanged; rows repeated with id and text stay once.
+
+    Ids join as text, null as a word of its own, so that the join and the choice among repeated
+    rows share one exchange of the documents."""
     rows = docs.select(F.col("doc_id"), normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    winners = copy_groups(rows, salts).select(F.col("digest").alias("_w_digest"), F.col("keep_id").alias("_w_id"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), digest.alias("_digest"))
-    kept = whole.join(winners.distinct(), (F.col("_digest") == F.col("_w_digest")) & F.col("_id").eqNullSafe(F.col("_w_id")), "left_semi")
+    name = F.coalesce(F.col("keep_id").cast("string"), F.lit("null"))
+    winners = copy_groups(rows, salts).select(F.col("digest").alias("_digest"), name.alias("_id")).distinct()
+    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), digest.alias("_digest"))
+    kept = whole.join(winners, ["_digest", "_id"], "left_semi")
     once = Window.partitionBy("_digest", "_id").orderBy(F.xxhash64("_row"))
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
 
