@@ -196,9 +196,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The row of the smallest id of each group, columns unchanged; repeats of that id stay once."""
-    heads = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
-    kept = whole.join(heads, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """The row of the smallest id of each group, columns unchanged; repeats of that id stay once.
+
+    Ids join as text, null as a word of its own, so that the join and the choice among repeated
+    rows share one exchange of the documents."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
+    heads = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name)
+    kept = whole.join(heads, "_id", "left_semi")
     once = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
