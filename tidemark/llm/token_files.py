@@ -150,9 +150,10 @@ class _Writer:
         self._index_out.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=self._places))
         if self._held >= self._length * BATCH:
             flat = np.frombuffer(b"".join(self._rest), dtype=self._dtype)
-            whole = len(flat) // self._length * self._length
-            for at in range(0, whole, self._length * BATCH):
-                self._write(flat[at : min(whole, at + self._length * BATCH)], None)
+            step = self._length * BATCH  # every batch but the last is full, so a sequence's number tells its place
+            whole = len(flat) // step * step
+            for at in range(0, whole, step):
+                self._write(flat[at : at + step], None)
             self._rest, self._held = [flat[whole:].tobytes()], len(flat) - whole
 
     def _write(self, flat: np.ndarray, used: int | None) -> None:
