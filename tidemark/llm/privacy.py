@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MAX_TOKENS = 5
 _SLICE = 256
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'*$#%&|<>[]{}"
@@ -53,15 +55,42 @@ def _octet(s: str) -> bool:
     return len(s) <= 3 and int(s or "0") <= 255
 
 
+def _emails(text: str) -> Iterator[Span]:
+    """Leftmost matches of EMAIL from the at signs out: a match takes the whole run of local
+    characters before its sign, so each character is looked at a bounded number of times."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield "email", start, found.end()
+            done = found.end()
+        at = text.find("@", max(at + 1, done))
+
+
+def _addresses(text: str) -> Iterator[Span]:
+    """Leftmost matches of four dotted numbers: each chain of dotted numbers is taken by fours."""
+    for chain in _CHAIN.finditer(text):
+        parts, start = chain.group().split("."), chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(map(_octet, four)):
+                yield "ip", start, end
+            start = end + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the base patterns, by kind as listed, then start."""
     out: list[Span] = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += _emails(text)
     if _TRIGGER.search(text) is None:
         return out
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(map(_octet, m.group().split(".")))]
+        out += _addresses(text)
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             d = _digits(m.group())

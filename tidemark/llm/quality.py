@@ -29,6 +29,7 @@ RANK = 8
 _SLICE = 256
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _PUNCT = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+_WIDE = bytes(range(128, 256))
 _MARKS = b"!*$#%&|<>{}[]=~^_\\"
 
 STATS = ("chars", "words", "word_length", "upper", "digit", "punct", "marks", "distinct", "top", "repeat", "lines", "line_repeat", "line_length", "marked", "wide")
@@ -53,7 +54,7 @@ def structure(text: bytes, words: list[bytes], counts: Counter) -> list[float]:
         1 - len(set(lines)) / len(lines),
         min(1.0, np.log1p(size / len(lines)) / 12),
         sum(w[-1] in _MARKS for w in words) / n,
-        sum(1 for c in text[:: max(1, size // 2048)] if c > 127) / min(size, 2048),
+        (len(text) - len(text.translate(None, _WIDE))) / size,
     ]
 
 
