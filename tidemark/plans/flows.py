@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import wave
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import signal
 from tidemark.operators import fsm
 from tidemark.plans.registry import HOUR, query, sql_clusters, table
 from tidemark.session import shared_dir
-from tidemark.sources import tabular
+from tidemark.sources import media, tabular
 from tidemark.streaming import timeline as stream
 
 
@@ -101,3 +107,47 @@ def stream_fsm(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).select("user_id", "ts", ((k == "purchase") & (v >= 40)).alias("hard"), ((k == "click") & (v >= 20)).alias("start_support"), (k == "view").alias("continuity"), ((k == "error") & (v >= 25)).alias("end_support"))
     out = _drained(stream.intervals(rows, "user_id", "ts", "evidence", limits), _folder(spark, "machine"))
     return out.select("user_id", "kind", "start", "end", "end_reason", "n_rows")
+
+
+@query("SELECT 'csv' AS kind, (SELECT count(*) FROM nation)::BIGINT AS mentions")
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Files by kind, and how often a term occurs in them."""
+    path = _folder(spark, "inventory")
+    tabular.write_text_table(table(spark, d, "nation"), path, ["n_nationkey", "n_name"])
+    kinds = tabular.inventory(spark, f"{path}/*.csv").select("kind").distinct()
+    terms = tabular.term_usage(spark, f"{path}/*.csv", ["NATION_"]).agg(F.sum("NATION_").cast("long").alias("mentions"))
+    return kinds.crossJoin(terms)  # one row
+
+
+@query("SELECT s_suppkey, s_acctbal * 2 AS value, 2 AS run_id FROM supplier")
+def versioned_output(spark: SparkSession, d: str) -> DataFrame:
+    """Runs as partitions of one table, of which the last is read."""
+    path = _folder(spark, "runs")
+    for run in (1, 2):
+        table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") * run).alias("value"), F.lit(run).alias("run_id")).write.mode("append").partitionBy("run_id").parquet(path)
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("run_id").alias("run_id"))
+    return rows.join(F.broadcast(last), "run_id").select("s_suppkey", "value", "run_id")  # one row of the last run
+
+
+def _recorded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors written as WAV bytes and decoded again."""
+    for frame in frames:
+        rows = []
+        for i, x in zip(frame["vec_id"], frame["embedding"], strict=True):
+            made = io.BytesIO()
+            with wave.open(made, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(2)
+                w.setframerate(16000)
+                w.writeframes((x / max(1e-9, np.abs(x).max()) * 32000).astype("<i2").tobytes())
+            rows.append({"vec_id": i} | media.wav(made.getvalue(), 0.0, 0.0))
+        yield pd.DataFrame(rows, columns=["vec_id", "rate", "duration", "samples"])
+
+
+@query()
+def decoded_media(spark: SparkSession, d: str) -> DataFrame:
+    """Samples decoded from WAV bytes, with sound features."""
+    made = table(spark, d, "embeddings", "vec_id", "embedding").mapInPandas(_recorded, "vec_id long, rate int, duration double, samples array<float>")
+    features = signal.sound_feature_columns(16000, 16, 8)("samples").alias("f")
+    return made.select("vec_id", "rate", "duration", features).select("vec_id", "rate", "duration", F.round("f.rms", 4).alias("rms"), "f.onsets")

@@ -418,3 +418,20 @@ def interval_checksums(spark: SparkSession, d: str) -> DataFrame:
     item = F.format_string("%.6f-%.6f", F.col("o_totalprice"), F.col("o_totalprice") + 1)
     rows = table(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_totalprice", "o_orderkey", item.alias("i")))).alias("x"))
     return rows.select("o_custkey", F.sha2(F.array_join(F.transform("x", lambda s: s["i"]), "|"), 256).alias("checksum"), scalar.sequence_id("C", "o_custkey", 6).alias("stable_id"))
+
+
+@query(
+    """WITH x AS (SELECT c_custkey, c_acctbal / 10000 AS v, CASE c_nationkey % 5 WHEN 0 THEN 'High' WHEN 1 THEN ' medium ' WHEN 2 THEN 'low_or_unknown' WHEN 3 THEN 'nan' END AS name FROM customer),
+y AS (SELECT *, CASE WHEN trim(lower(coalesce(name, ''))) IN ('high', 'medium', 'low') THEN trim(lower(name)) WHEN trim(lower(coalesce(name, ''))) IN ('', 'nan', 'none') THEN 'low' ELSE 'unknown' END AS level FROM x)
+SELECT c_custkey, CASE WHEN v >= 0.8 THEN 'high' WHEN v >= 0.45 THEN 'medium' ELSE 'low' END AS reliability, CASE WHEN v >= 0.70 THEN 'high' WHEN v >= 0.40 THEN 'medium' ELSE 'low' END AS relaxed, CASE WHEN v >= 0.95 THEN 'very_high' WHEN v >= 0.90 THEN 'high' WHEN v >= 0.75 THEN 'medium' ELSE 'low' END AS strength,
+CASE WHEN v >= 0.70 THEN 'high' WHEN v >= 0.40 THEN 'medium' ELSE 'low' END AS percentile, level, level = 'high' AS is_high, level IN ('medium', 'high') AS is_medium_or_high, least(greatest(round_even(v * 29.97, 0)::BIGINT, 0), 19) AS frame FROM y"""
+)
+def level_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Levels by fixed cut-offs, level names and their predicates, frame numbers."""
+    k = F.col("c_nationkey") % 5
+    name = F.when(k == 0, "High").when(k == 1, " medium ").when(k == 2, "low_or_unknown").when(k == 3, "nan")
+    rows = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal").select("c_custkey", (F.col("c_acctbal") / 10000).alias("v"), scalar.level_name(name).alias("level"))
+    return rows.select(
+        "c_custkey", scalar.reliability_level("v").alias("reliability"), scalar.relaxed_reliability_level("v").alias("relaxed"), scalar.strength_band("v").alias("strength"), scalar.percentile_level("v").alias("percentile"), "level",
+        scalar.is_high("level").alias("is_high"), scalar.is_medium_or_high("level").alias("is_medium_or_high"), scalar.frame_index("v", F.lit(29.97), F.lit(20)).cast("long").alias("frame"),
+    )

@@ -367,3 +367,11 @@ def frozen_evaluation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").withColumn("dev", F.col("s_nationkey") % 2 == 0)
     cut = rows.where("dev").agg(F.percentile("s_acctbal", F.lit(0.7)).alias("cut"))
     return rows.crossJoin(cut).groupBy(F.when(F.col("dev"), "development").otherwise("held out").alias("part")).agg(F.count("*").alias("n"), F.count_if(F.col("s_acctbal") >= F.col("cut")).alias("selected"))  # one row
+
+
+@query(_CUES.replace("p AS", "WITH p AS", 1) + " SELECT event_id, hard, start_support, continuity, end_support, weak, opening_only, audio_only, concat_ws(';', CASE WHEN hard THEN 'hard' END, CASE WHEN start_support THEN 'start' END, CASE WHEN continuity THEN 'continuity' END, CASE WHEN end_support THEN 'end' END) AS why FROM q")
+def cue_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence tiers of every row as boolean cues, with their reasons."""
+    rows = _cues(spark, d)
+    why = scalar.reasons([(F.col("hard"), "hard"), (F.col("start_support"), "start"), (F.col("continuity"), "continuity"), (F.col("end_support"), "end")])
+    return rows.select("event_id", "hard", "start_support", "continuity", "end_support", "weak", "opening_only", "audio_only", why.alias("why"))

@@ -218,3 +218,14 @@ def feature_groups(spark: SparkSession, d: str) -> DataFrame:
     """Feature names as groups."""
     rows = spark.createDataFrame([(n,) for n in ("rms_mean", "mfcc_1", "spectral_centroid", "onset_rate", "zcr", "duration")], "feature string")
     return rows.select("feature", scalar.feature_group("feature").alias("grp"))
+
+
+@query(
+    """SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), 'version') OR n_chars > 20000 AS disclosure, contains(lower(text), 'gnu') OR contains(lower(text), 'apache') AS sponsor, contains(text, '@') OR contains(text, 'http') AS product_cta FROM documents"""
+)
+def stem_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Signals from any of several stems, or from a count."""
+    low = F.lower("text")
+    any_of = lambda c, stems: F.size(text.phrase_hits(c, stems)) > 0
+    rows = _docs(spark, d).withColumn("low", low)
+    return rows.select("doc_id", (any_of("low", ("license", "version")) | (F.col("n_chars") > 20000)).alias("disclosure"), any_of("low", ("gnu", "apache")).alias("sponsor"), any_of("text", ("@", "http")).alias("product_cta"))
