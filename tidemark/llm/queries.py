@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_embedding_near_dedup": embeddings.SQL}
