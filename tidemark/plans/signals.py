@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import signal
-from tidemark.plans.registry import HOUR, P, points, query, table
+from tidemark.operators import intervals as iv
+from tidemark.plans.registry import CELL, HOUR, P, points, query, table
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -80,9 +81,6 @@ SELECT user_id, event_id, n_dark, round(pre, 6) AS pre, round(post, 6) AS post,
 )
 def dark_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Dark rows around an anchor: span, fall of brightness, strength of support."""
-    from tidemark.operators import intervals as iv
-    from tidemark.plans.registry import CELL
-
     a = points(spark, d, "purchase").select("user_id", "event_id", F.col("t").alias("at"), (F.col("t") - 15 * HOUR).alias("r_start"), (F.col("t") + 15 * HOUR).alias("r_end"))
     near = iv.points_in_intervals(points(spark, d, "view").select("user_id", "t", "value"), a, "user_id", "t", CELL).where(F.abs(F.col("t") - F.col("at")) <= 15 * HOUR)
     dark = F.col("value") < 10
