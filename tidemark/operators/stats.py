@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import running_sums
+
 
 def quantile(x: str, q: float) -> Column:
     """Exact, linearly interpolated."""
@@ -73,10 +75,12 @@ def rates(tp: Column, tn: Column, fp: Column, fn: Column) -> list[Column]:
 def threshold_sweep(rows: DataFrame, x: str, truth: str) -> DataFrame:
     """(threshold, direction, tp, fp, tn, fn and rates) for every distinct cut in both directions.
 
-    Counts accumulate over the sorted distinct values, so nothing is joined with every cut."""
+    Counts accumulate over the distinct values in order, by buckets, so nothing is joined with every
+    cut and no task orders them all."""
     per = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("threshold")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("q"))
-    every, up, down = Window.partitionBy(), Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    tall = per.select("threshold", F.sum("p").over(every).alias("all_p"), F.sum("q").over(every).alias("all_q"), F.sum("p").over(down).alias("ge_p"), F.sum("q").over(down).alias("ge_q"), F.sum("p").over(up).alias("le_p"), F.sum("q").over(up).alias("le_q"))
+    run = running_sums(per, "threshold", ["p", "q"])
+    from_here = lambda v: F.col(f"all_{v}") - F.col(f"run_{v}") + F.col(v)
+    tall = run.select("threshold", "all_p", "all_q", from_here("p").alias("ge_p"), from_here("q").alias("ge_q"), F.col("run_p").alias("le_p"), F.col("run_q").alias("le_q"))
     sides = F.explode(F.array(F.struct(F.lit("ge").alias("direction"), F.col("ge_p").alias("tp"), F.col("ge_q").alias("fp")), F.struct(F.lit("le").alias("direction"), F.col("le_p").alias("tp"), F.col("le_q").alias("fp"))))
     flat = tall.select("threshold", "all_p", "all_q", sides.alias("s")).select("threshold", "s.direction", "s.tp", "s.fp", (F.col("all_q") - F.col("s.fp")).alias("tn"), (F.col("all_p") - F.col("s.tp")).alias("fn"))
     return flat.select("*", *rates(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn")))
@@ -128,12 +132,11 @@ def fitted_scale(rows: DataFrame, x: str, fit: Column, lo: float = 0.05, hi: flo
 def cdf_position(rows: DataFrame, x: str, fit: Column) -> DataFrame:
     """Adds cdf: the share of fitting rows at or below the value.
 
-    Distinct values carry counts, counts accumulate in order, and values join back: one sort of
-    the distinct values, never of a pair with every fitting row."""
+    Distinct values carry counts, counts accumulate in order by buckets, and values join back;
+    rows are never paired with every fitting row. A missing value has no position."""
     per = rows.groupBy(F.col(x).alias("_x")).agg(F.count_if(fit).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    at = F.sum("_n").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(per.select("_x", (at / total).alias("cdf")), F.col(x) == F.col("_x")).drop("_x")
+    placed = running_sums(per.where(F.col("_x").isNotNull()), "_x", ["_n"])
+    return rows.join(placed.select("_x", (F.col("run__n") / F.col("all__n")).alias("cdf")), F.col(x) == F.col("_x"), "left").drop("_x")
 
 
 def leave_one_out(rows: DataFrame, group: str, config: str, metric: str) -> DataFrame:

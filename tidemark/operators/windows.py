@@ -116,3 +116,21 @@ def grid(spans: DataFrame, duration: str, width: float) -> DataFrame:
 def offsets_around(anchors: DataFrame, t: str, offsets: list[float]) -> DataFrame:
     """A row for each sampling offset around each anchor."""
     return anchors.withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).withColumn("sample_t", F.col(t) + F.col("offset"))
+
+
+def running_sums(rows: DataFrame, x: str, values: list[str], buckets: int = 256) -> DataFrame:
+    """Adds run_<v>, the sum of v over all rows up to x (equal ones included), and all_<v>.
+
+    Approximate quantiles, one row of numbers, cut the order into buckets; sums run inside a
+    bucket, and the totals of the buckets before, at most buckets + 1 rows, are added. No task
+    orders all rows, however many distinct values there are."""
+    cuts = rows.agg(F.percentile_approx(x, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10000)).alias("_cuts"))
+    placed = rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")  # one row
+    inside = Window.partitionBy("_bucket").orderBy(x).rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    totals = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values], *[F.sum(f"_t_{v}").over(Window.partitionBy()).alias(f"all_{v}") for v in values])
+    out = placed.select("*", *[F.sum(v).over(inside).alias(f"_r_{v}") for v in values]).join(totals, "_bucket")
+    for v in values:
+        out = out.withColumn(f"run_{v}", F.col(f"_r_{v}") + F.col(f"_b_{v}")).drop(f"_r_{v}", f"_b_{v}")
+    return out.drop("_bucket")
