@@ -2,14 +2,18 @@
 
 A unit vector u is stored as s * q with int8 q, and e = |u - s * q| is computed in double for
 each vector. For two vectors |u.v - s t (q.r)| <= e + f + 3 e f, so only pairs whose integer
-product reaches the threshold less that bound can link, and those alone are recomputed from the
-stored vectors in double precision. Integer products of a tile pair are exact (below 2^24 they
-run as a float32 matrix product). Equal vectors are one row with a multiplicity before tiles are
-made. A tile pair emits, per vector, its number of links and one edge to the root of its group
-within the pair, never its pairs.
+product reaches the threshold less that bound can link. Integer products of a tile pair are
+exact (below 2^24 they run as a float32 matrix product).
+
+Two rounds: the first moves only the int8 tiles and names the vectors that may link with any
+other; the second does the tile products of those vectors alone, with the stored vectors beside
+them, and recomputes in double precision the pairs that may reach the threshold. Equal vectors
+are one row with a multiplicity before tiles are made. A tile pair emits, per vector, its number
+of links and one edge to the root of its group within the pair, never its pairs.
 
 The tiles of a dimension are laid out on a triangle: each pair of tiles is one group of at most
-two rows of bounded size. The arithmetic is quadratic in the distinct vectors, as the method is.
+two rows of bounded size. The arithmetic of the first round is quadratic in the distinct vectors,
+as the method is.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import connected_components
 from tidemark.session import cut
 
 THRESHOLD = 0.9
-TILE = 2048
+TILE = 8192
 _ROWS = 512
 
 
@@ -75,6 +79,10 @@ def _tile(frame: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _slim(frame: pd.DataFrame) -> pd.DataFrame:
+    return _tile(frame).assign(mult=b"", full=b"")
+
+
 _TILE_SCHEMA = "dim int, tile int, tiles int, rep binary, mult binary, q binary, scale binary, err binary, full binary"
 
 
@@ -84,7 +92,8 @@ class _Side:
         kind = np.float32 if 127 * 127 * dim < 1 << 24 else np.float64
         self.q = np.frombuffer(row["q"], np.int8).reshape(-1, dim).astype(kind)
         self.scale, self.err = np.frombuffer(row["scale"]), np.frombuffer(row["err"])
-        self.x, self.norm = _unit([row["full"]], dim)
+        if row["full"]:
+            self.x, self.norm = _unit([row["full"]], dim)
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -103,8 +112,8 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _pairs(a: _Side, b: _Side, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    left, right = [], []
+def _candidates(a: _Side, b: _Side, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that may reach the threshold, by blocks of rows; i < j within one tile."""
     slack, top = b.err.max(), b.scale.max()
     for at in range(0, len(a.rep), _ROWS):
         rows = slice(at, at + _ROWS)
@@ -116,25 +125,42 @@ def _pairs(a: _Side, b: _Side, same: bool, threshold: float) -> tuple[np.ndarray
         keep = value >= threshold - a.err[i] - b.err[j] - 3 * a.err[i] * b.err[j] - 1e-12
         if same:
             keep &= i < j
-        i, j = i[keep], j[keep]
+        yield i[keep], j[keep]
+
+
+def _pairs(a: _Side, b: _Side, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose cosine in double precision reaches the threshold."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in _candidates(a, b, same, threshold):
         for part in range(0, len(i), 65536):
             p, r = i[part : part + 65536], j[part : part + 65536]
             cosine = np.einsum("ij,ij->i", a.x[p], b.x[r]) / (a.norm[p] * b.norm[r])
             hit = cosine >= threshold
             left.append(p[hit])
             right.append(r[hit])
-    empty = np.empty(0, np.int64)
-    return np.concatenate(left or [empty]), np.concatenate(right or [empty])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _sides(frame: pd.DataFrame) -> tuple[_Side, _Side, bool]:
+    sides = [_Side(row, int(row["dim"])) for _, row in frame.sort_values("tile").iterrows()]
+    return sides[0], sides[-1], frame["first"].iloc[0] == frame["second"].iloc[0]
+
+
+def _hopeful(threshold: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, same = _sides(frame)
+        marks = np.zeros(len(a.rep), bool), np.zeros(len(b.rep), bool)
+        for i, j in _candidates(a, b, same, threshold):
+            marks[0][i] = True
+            marks[1][j] = True
+        return pd.DataFrame({"rep": np.unique(np.r_[a.rep[marks[0]], b.rep[marks[1]]])})
+
+    return run
 
 
 def _product(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        dim = int(frame["dim"].iloc[0])
-        sides = [_Side(row, dim) for _, row in frame.sort_values("tile").iterrows()]
-        same = len(sides) == 1
-        a, b = sides[0], sides[-1]
-        if frame["first"].iloc[0] != frame["second"].iloc[0] and same:
-            return pd.DataFrame({"rep": [], "n": [], "root": []})
+        a, b, same = _sides(frame)
         i, j = _pairs(a, b, same, threshold)
         rep, mult = (a.rep, a.mult) if same else (np.r_[a.rep, b.rep], np.r_[a.mult, b.mult])
         j = j if same else j + len(a.rep)
@@ -148,6 +174,23 @@ def _product(threshold: float):
     return run
 
 
+def _met(distinct: DataFrame, tile: int, make, compare, schema: str) -> DataFrame:
+    """compare() over every pair of tiles of the distinct vectors, each group one or two rows."""
+    sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = distinct.join(sizes, "dim").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles").cast("long")).cast("int"))
+    made = cut(dealt.groupBy("dim", "tile").applyInPandas(make, _TILE_SCHEMA))
+    # A tile that hashing left empty has no row; its pairs come as one tile, which then meets nothing.
+    placed = (
+        made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumn("first", F.least("tile", "other"))
+        .withColumn("second", F.greatest("tile", "other"))
+        .drop("other")
+    )
+    full = F.count("*").over(Window.partitionBy("dim", "first", "second"))
+    placed = placed.withColumn("met", full).where((F.col("first") == F.col("second")) | (F.col("met") == 2)).drop("met")
+    return cut(placed.groupBy("dim", "first", "second").applyInPandas(compare, schema))
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -159,17 +202,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = cut(rows.mapInArrow(_keys, "vec_id long, key binary"))
     distinct = rows.where("vec_id is not null and key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
     distinct = cut(distinct.withColumn("dim", (F.length("key") / 8).cast("int")))
-    sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = distinct.join(sizes, "dim")
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles").cast("long")).cast("int"))
-    tiles = cut(dealt.groupBy("dim", "tile").applyInPandas(_tile, _TILE_SCHEMA))
-    placed = (
-        tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("first", F.least("tile", "other"))
-        .withColumn("second", F.greatest("tile", "other"))
-        .drop("other")
-    )
-    found = cut(placed.groupBy("dim", "first", "second").applyInPandas(_product(threshold), "rep long, n long, root long"))
+    hopeful = _met(distinct, tile, _slim, _hopeful(threshold), "rep long").distinct()
+    near = cut(distinct.join(hopeful, "rep", "left_semi"))
+    found = _met(near, tile, _tile, _product(threshold), "rep long, n long, root long")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     groups = connected_components(found, "rep", "root")
     facts = (
