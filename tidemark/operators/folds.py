@@ -122,7 +122,7 @@ def greedy_pairs(pairs: DataFrame, key: str, left: str, right: str, order: list[
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([c for c, _ in order], ascending=[a for _, a in order])
         used_l, used_r, keep = set(), set(), []
-        for a, b in zip(rows[left], rows[right], strict=True):
+        for a, b in zip(rows[left].tolist(), rows[right].tolist(), strict=True):
             keep.append(a not in used_l and b not in used_r)
             if keep[-1]:
                 used_l.add(a)
@@ -136,13 +136,13 @@ def greedy_by_left(pairs: DataFrame, key: str, left: str, right: str, left_order
     """Left rows in order each take their best free right row: by score, then the smaller right."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, group in rows.sort_values([left_order, left]).groupby([left_order, left], sort=False):
-            for index, r in group.sort_values([score, right], ascending=[False, True])[right].items():
-                if r not in used:
-                    used.add(r)
-                    keep.append(index)
-                    break
-        return rows.loc[keep]
+        rows = rows.sort_values([left_order, left, score, right], ascending=[True, True, False, True])
+        matched, used, keep = set(), set(), []
+        for a, b in zip(rows[left].tolist(), rows[right].tolist(), strict=True):
+            keep.append(a not in matched and b not in used)
+            if keep[-1]:
+                matched.add(a)
+                used.add(b)
+        return rows[keep]
 
     return pairs.groupBy(key).applyInPandas(run, pairs.schema)

@@ -9,11 +9,12 @@ on the output (tidemark.operators.scoring).
 
 from __future__ import annotations
 
+import functools
+from collections import namedtuple
 from dataclasses import dataclass, field
-from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OUTSIDE, OPENING, INSIDE, CLOSING = "outside", "opening", "inside", "closing"
@@ -23,6 +24,8 @@ CUES = (
     "hard", "start_support", "continuity", "end_support", "weak", "opening_only", "fuzzy_only", "audio_only", "scene_only", "audio", "ocr_hard",
     "recent_hard", "strong", "support", "known_low", "conflict", "start_high", "start_medium", "audio_start", "unreliable", "text", "product", "rise", "confirm",
 )
+#: A row as machines see it; it pickles, so that a stream can keep the one it waits on.
+Row = namedtuple("Row", ["t", *CUES])
 COUNTS = ("hard", "start_support", "continuity", "end_support", "weak", "ocr_hard", "recent_hard", "audio")
 SCHEMA = "kind string, start double, end double, start_reason string, end_reason string, confidence string, n_rows long, " + ", ".join(f"n_{c} long" for c in COUNTS) + ", weak_span double, opening_only boolean, fuzzy_only boolean, audio_only boolean, scene_only boolean"
 
@@ -452,23 +455,36 @@ class GuardedLevels(Levels):
 MACHINES = {"evidence": Evidence, "strict": StrictEvidence, "support": Support, "strong": Strong, "guarded": GuardedLevels, "levels": Levels}
 
 
-def _prepared(rows: DataFrame, key: str, t: str, tie: str, duration: str | None) -> tuple[DataFrame, list[str]]:
-    flags = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c) if c in rows.columns else F.lit(False).alias(c) for c in CUES]
+def cue_mask(rows: DataFrame) -> Column:
+    """The cues of a row as the bits of one number: one narrow column to move, not one a cue."""
+    bits = [F.when(F.coalesce(F.col(c).cast("boolean"), F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(CUES) if c in rows.columns]
+    return functools.reduce(lambda x, y: x.bitwiseOR(y), [b.cast("long") for b in bits], F.lit(0).cast("long"))
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _cues_of(mask: int) -> tuple[bool, ...]:
+    return tuple(bool(mask >> k & 1) for k in range(len(CUES)))
+
+
+def rows_of(frame: pd.DataFrame) -> list[Row]:
+    """Rows from columns t and cues (the mask)."""
+    return [Row(t, *_cues_of(m)) for t, m in zip(frame["t"].tolist(), frame["cues"].tolist(), strict=True)]
+
+
+def _prepared(rows: DataFrame, key: str, t: str, tie: str, duration: str | None) -> DataFrame:
     length = F.coalesce(F.col(duration).cast("double"), F.lit(0.0)) if duration else F.lit(0.0)
-    return rows.where(F.col(t).isNotNull()).select(key, F.col(t).cast("double").alias("t"), F.col(tie).alias("tie"), length.alias("duration"), *flags), list(CUES)
+    return rows.where(F.col(t).isNotNull()).select(key, F.col(t).cast("double").alias("t"), F.col(tie).alias("tie"), length.alias("duration"), cue_mask(rows).alias("cues"))
 
 
 def _walked(name: str, limits: Limits, frame: pd.DataFrame) -> Machine:
-    frame = frame.sort_values(["t", "tie"])
-    rows = [SimpleNamespace(**r) for r in frame[["t", *CUES]].to_dict("records")]
-    return MACHINES[name](limits, float(frame["duration"].iloc[0])).walk(rows)
+    return MACHINES[name](limits, float(frame["duration"].iloc[0])).walk(rows_of(frame.sort_values(["t", "tie"])))
 
 
 def intervals(rows: DataFrame, key: str, t: str, tie: str, machine: str = "evidence", limits: Limits | None = None, duration: str | None = None) -> DataFrame:
     """(key, kind, start, end, ...) of a machine; kind is closed, review, open, unresolved or
     rejected. Rows without a time are left out; equal times follow the tie column."""
     lim = limits or Limits()
-    ready, _ = _prepared(rows, key, t, tie, duration)
+    ready = _prepared(rows, key, t, tie, duration)
     names = [p.split()[0] for p in SCHEMA.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -482,7 +498,7 @@ def intervals(rows: DataFrame, key: str, t: str, tie: str, machine: str = "evide
 def trace(rows: DataFrame, key: str, t: str, tie: str, machine: str = "evidence", limits: Limits | None = None, duration: str | None = None) -> DataFrame:
     """(key, t, state_before, state_after, reason), one row an input row."""
     lim = limits or Limits()
-    ready, _ = _prepared(rows, key, t, tie, duration)
+    ready = _prepared(rows, key, t, tie, duration)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         done = pd.DataFrame(_walked(machine, lim, frame).trace, columns=["t", "state_before", "state_after", "reason"])

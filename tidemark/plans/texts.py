@@ -46,7 +46,10 @@ CASE WHEN token IN ('license', 'gnu', 'mit', 'apache') THEN 'legal' WHEN token I
 )
 def token_document_stats(spark: SparkSession, d: str) -> DataFrame:
     """Spread of every token over documents and sources, its type and category."""
-    c = _tokens(spark, d).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_doc")).where("docs >= 3")
+    # Once per token, source and document first: two distinct counts in one pass would expand every row.
+    per_doc = _tokens(spark, d).groupBy("token", "source", "doc_id").agg(F.count("*").alias("n"))
+    per_source = per_doc.groupBy("token", "source").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    c = per_source.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.count("source").alias("sources"), F.min("first_doc").alias("first_doc")).where("docs >= 3")
     kinds = {"legal": ("license", "gnu", "mit", "apache"), "function": ("the", "and", "of", "to")}
     return c.select("token", "n", "docs", "sources", "first_doc", text.token_type("token").alias("kind"), text.token_category(F.col("token"), F.col("n") / F.col("docs"), F.col("sources"), kinds).alias("category"))
 

@@ -47,7 +47,7 @@ def intervals(stream: DataFrame, key: str, ts: str, machine: str = "evidence", l
             state.remove()
         else:
             rows = pd.concat(list(frames)).sort_values("t")
-            m.walk_on([SimpleNamespace(**r) for r in rows[["t", *fsm.CUES]].to_dict("records")], held["i"])
+            m.walk_on(fsm.rows_of(rows), held["i"])
             held["i"] += len(rows)
             m.out, m.trace, done = [], [], m.out
             state.update((pickle.dumps(held),))
@@ -58,6 +58,5 @@ def intervals(stream: DataFrame, key: str, ts: str, machine: str = "evidence", l
             out.insert(0, key, keys[0])
             yield out
 
-    flags = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c) if c in stream.columns else F.lit(False).alias(c) for c in fsm.CUES]
-    rows = stream.withWatermark(ts, late).select(key, ts, (F.unix_micros(ts) / 1e6).alias("t"), *flags)
+    rows = stream.withWatermark(ts, late).select(key, ts, (F.unix_micros(ts) / 1e6).alias("t"), fsm.cue_mask(stream).alias("cues"))
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {fsm.SCHEMA}", "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
