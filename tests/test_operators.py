@@ -267,6 +267,13 @@ def test_optional_table(spark, tmp_path):
     assert back.columns == ["Key", "v"] and back.first().v is None and tabular.resolve(back, ["key"]) == "Key"
 
 
+def test_shared_paths_are_qualified(spark):
+    from tidemark.session import qualified, shared_dir
+
+    assert qualified(spark, "/a/b") == qualified(spark, "file:///a/b") == "file:///a/b"
+    assert qualified(spark, shared_dir(spark)).startswith("file:///")
+
+
 def test_decision_plans_read_no_labels(spark, small):
     from tidemark.plans.rules import _cues
 

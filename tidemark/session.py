@@ -38,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of the store it lies in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file:///" + full[len("file:/") :].lstrip("/") if full.startswith("file:/") else full
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder and drop its lineage."""
     shared_dir(frame.sparkSession)
