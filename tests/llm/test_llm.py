@@ -280,6 +280,10 @@ def test_language(docs, odd, empty):
     assert {r.lang_pred for r in language.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in (None, "", "12 _ ²½", "²é", "日", "a")] == [False, False, False, True, True, True]
+
+
 def test_ngram_counts_do_not_depend_on_chunks(monkeypatch):
     text = "Une très longue phrase, répétée. " * 40
     whole = language.counts(text)

@@ -54,7 +54,7 @@ def counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))  # ² is a word character, no letter
 
 
 @dataclass

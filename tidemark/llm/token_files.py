@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, shared_dir
+from tidemark.session import cut, qualified, shared_dir
 
 LENGTH = 2048
 #: Sequences in a record batch.
@@ -276,7 +276,5 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def token_places(docs: DataFrame, path: str | None = None, folder: str | None = None, **options) -> DataFrame:
     """Writes all documents below a fresh folder of the shared one and reads them back."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = f"file://{folder}" if folder.startswith("/") else re.sub(r"^file:/(?!/)", "file:///", folder)
+    folder = qualified(spark, folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
     return read_documents(spark, folder, write_tokens(docs, folder, path, **options))
