@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import signal
 from tidemark.operators import fsm
 from tidemark.plans.registry import HOUR, query, sql_clusters, table
+from tidemark.plans.rules import sql_walk
 from tidemark.session import shared_dir
 from tidemark.sources import media, tabular
 from tidemark.streaming import timeline as stream
@@ -98,15 +99,18 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", F.unix_seconds("start").alias("start"), "n")
 
 
-@query()
+_STREAM = """p AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id, event_type, value FROM events), q AS (SELECT *, event_type = 'purchase' AND value >= 40 AS hard, event_type = 'click' AND value >= 20 AS start_support, event_type = 'view' AS continuity, event_type = 'error' AND value >= 25 AS end_support,
+false AS opening_only, false AS audio_only, false AS scene_only, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM p)"""
+_HOURS = fsm.Limits(**{n: getattr(fsm.Limits(), n) * HOUR for n in ("opening_sec", "fresh_sec", "support_sec", "close_sec")})
+
+
+@query(sql_walk(_STREAM, _HOURS) + ' SELECT user_id, kind, round(os, 3) AS start, round(oe, 3) AS "end", ow AS end_reason FROM w WHERE kind IS NOT NULL')
 def stream_fsm(spark: SparkSession, d: str) -> DataFrame:
     """The current machine over the event stream, one state a key (F01 as a stream)."""
     k, v = F.col("event_type"), F.col("value")
-    base = fsm.Limits()
-    limits = fsm.Limits(**{n: getattr(base, n) * HOUR for n in ("opening_sec", "fresh_sec", "support_sec", "close_sec")})
     rows = _events(spark, d).select("user_id", "ts", ((k == "purchase") & (v >= 40)).alias("hard"), ((k == "click") & (v >= 20)).alias("start_support"), (k == "view").alias("continuity"), ((k == "error") & (v >= 25)).alias("end_support"))
-    out = _drained(stream.intervals(rows, "user_id", "ts", "evidence", limits), _folder(spark, "machine"))
-    return out.select("user_id", "kind", "start", "end", "end_reason", "n_rows")
+    out = _drained(stream.intervals(rows, "user_id", "ts", "evidence", _HOURS), _folder(spark, "machine"))
+    return out.where("kind <> 'open'").select("user_id", "kind", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "end_reason")
 
 
 @query("SELECT 'csv' AS kind, (SELECT count(*) FROM nation)::BIGINT AS mentions")

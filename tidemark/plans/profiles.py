@@ -380,13 +380,22 @@ def config_sweep(spark: SparkSession, d: str) -> DataFrame:
     return tall.groupBy("w", "h", "t", "event_type").agg(F.count_if(F.col("score") >= F.col("t")).alias("kept"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || '=' || l_quantity::INTEGER, ',' ORDER BY l_linenumber, l_quantity, l_extendedprice) AS parts FROM lineitem GROUP BY 1)
+SELECT o_custkey, count(*)::INTEGER AS n_orders, sum(n)::BIGINT AS n_lines, string_agg(o_orderkey || '[' || parts || ']', ';' ORDER BY o_orderdate, o_orderkey) AS outline FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY 1"""
+)
 def nested_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """One nested row a key: ordered intervals with their parts, as JSON."""
+    """One nested row a key, ordered intervals with their parts, written as JSON and outlined
+    from the JSON read back (S15, S06)."""
     lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))).alias("lines"))
     rows = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     per = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "lines"))).alias("orders"))
-    return per.select("o_custkey", F.size("orders").alias("n_orders"), F.to_json("orders").alias("manifest"))
+    kind = "array<struct<o_orderdate: timestamp, o_orderkey: bigint, lines: array<struct<l_linenumber: int, l_quantity: double, l_extendedprice: double>>>>"
+    back = per.select("o_custkey", F.from_json(F.to_json("orders"), kind).alias("orders"))
+    part = lambda x: F.concat_ws("=", x["l_linenumber"], x["l_quantity"].cast("int"))
+    outline = F.transform("orders", lambda o: F.concat(o["o_orderkey"].cast("string"), F.lit("["), F.array_join(F.transform(o["lines"], part), ","), F.lit("]")))
+    n_lines = F.aggregate("orders", F.lit(0).cast("long"), lambda s, o: s + F.size(o["lines"]))
+    return back.select("o_custkey", F.size("orders").alias("n_orders"), n_lines.alias("n_lines"), F.array_join(outline, ";").alias("outline"))
 
 
 @query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3")
@@ -396,10 +405,10 @@ def quota_examples(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("k <= 3").drop("k")
 
 
-@query()
+@query("SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || ':20240524'), o_orderkey) AS k FROM orders QUALIFY k <= 20")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic sample of a group: the rows of the smallest seeded hashes."""
-    rows = table(spark, d, "orders", "o_orderkey", "o_orderpriority").withColumn("h", F.xxhash64("o_orderkey", F.lit(20240524)))
+    rows = table(spark, d, "orders", "o_orderkey", "o_orderpriority").withColumn("h", F.md5(F.concat_ws(":", "o_orderkey", F.lit("20240524")).cast("binary")))
     return rows.withColumn("k", windows.row_rank("o_orderpriority", "h", "o_orderkey")).where("k <= 20").select("o_orderpriority", "o_orderkey", "k")
 
 

@@ -39,34 +39,37 @@ def _machine(spark: SparkSession, d: str, name: str) -> DataFrame:
     return fsm.intervals(_cues(spark, d), "user_id", "t", "event_id", name, _limits(), "duration")
 
 
-_L = _limits()
-_WALK = f"""WITH RECURSIVE {_CUES},
+def sql_walk(cues: str, lim: fsm.Limits) -> str:
+    """The current machine as a recursive walk: one row a step, with what it emits."""
+    return f"""WITH RECURSIVE {cues},
 w AS (SELECT user_id, 0::BIGINT AS i, 'outside' AS st, NULL::DOUBLE AS a, NULL::DOUBLE AS pt, NULL::BIGINT AS pi, NULL::VARCHAR AS pw, NULL::DOUBLE AS lh, NULL::DOUBLE AS sf, 0 AS sn, NULL::VARCHAR AS kind, NULL::DOUBLE AS os, NULL::DOUBLE AS oe, NULL::VARCHAR AS ow FROM (SELECT DISTINCT user_id FROM q)
 UNION ALL
 SELECT user_id, i, nst,
   CASE WHEN nst = 'outside' THEN NULL WHEN st = 'outside' AND nst = 'inside' THEN t WHEN st = 'opening' AND nst = 'inside' THEN pt ELSE a END,
   CASE WHEN nst IN ('opening', 'closing') THEN CASE WHEN st = nst THEN pt ELSE t END END,
   CASE WHEN nst IN ('opening', 'closing') THEN CASE WHEN st = nst THEN pi ELSE i END END,
-  CASE WHEN nst = 'closing' THEN CASE WHEN st = 'closing' THEN pw WHEN end_support THEN 'end support' WHEN t - coalesce(nlh, a) > {_L.fresh_sec} THEN 'freshness' ELSE 'support cap' END END,
+  CASE WHEN nst = 'closing' THEN CASE WHEN st = 'closing' THEN pw WHEN end_support THEN 'end support' WHEN t - coalesce(nlh, a) > {lim.fresh_sec} THEN 'freshness' ELSE 'support cap' END END,
   CASE WHEN st = 'closing' AND nst = 'outside' THEN NULL ELSE nlh END, CASE WHEN st = 'closing' AND nst = 'outside' THEN NULL ELSE nsf END, CASE WHEN st = 'closing' AND nst = 'outside' THEN 0 ELSE nsn END,
   CASE WHEN st = 'closing' AND nst = 'outside' THEN 'closed' WHEN nst = 'outside' AND (st = 'opening' OR opening_only) THEN 'review' END,
   CASE WHEN st = 'closing' THEN a WHEN st = 'opening' THEN pt ELSE t END, CASE WHEN st = 'closing' THEN pt ELSE t END,
   CASE WHEN st = 'closing' THEN pw WHEN st = 'opening' AND end_support THEN 'cancelled by end support' WHEN st = 'opening' THEN 'not confirmed in time' ELSE 'opening notice' END
 FROM (SELECT *, CASE st
     WHEN 'outside' THEN CASE WHEN opening_only THEN 'outside' WHEN hard THEN 'inside' WHEN start_support AND NOT audio_only AND NOT scene_only THEN 'opening' ELSE 'outside' END
-    WHEN 'opening' THEN CASE WHEN hard THEN 'inside' WHEN end_support THEN 'outside' WHEN t - pt > {_L.opening_sec} OR i - pi + 1 > {_L.opening_rows} THEN 'outside' ELSE 'opening' END
-    WHEN 'inside' THEN CASE WHEN (end_support AND NOT hard) OR t - coalesce(nlh, a) > {_L.fresh_sec} OR coalesce(t - nsf > {_L.support_sec} AND nsn > {_L.support_rows}, false) THEN 'closing' ELSE 'inside' END
-    ELSE CASE WHEN hard OR (continuity AND NOT end_support) THEN 'inside' WHEN end_support OR t - pt >= {min(_L.close_sec, _L.fresh_sec)} THEN 'outside' ELSE 'closing' END END AS nst
+    WHEN 'opening' THEN CASE WHEN hard THEN 'inside' WHEN end_support THEN 'outside' WHEN t - pt > {lim.opening_sec} OR i - pi + 1 > {lim.opening_rows} THEN 'outside' ELSE 'opening' END
+    WHEN 'inside' THEN CASE WHEN (end_support AND NOT hard) OR t - coalesce(nlh, a) > {lim.fresh_sec} OR coalesce(t - nsf > {lim.support_sec} AND nsn > {lim.support_rows}, false) THEN 'closing' ELSE 'inside' END
+    ELSE CASE WHEN hard OR (continuity AND NOT end_support) THEN 'inside' WHEN end_support OR t - pt >= {min(lim.close_sec, lim.fresh_sec)} THEN 'outside' ELSE 'closing' END END AS nst
   FROM (SELECT w.user_id, w.st, w.a, w.pt, w.pi, w.pw, q.i, q.t, q.hard, q.start_support, q.continuity, q.end_support, q.opening_only, q.audio_only, q.scene_only,
     CASE WHEN q.hard THEN q.t ELSE w.lh END AS nlh, CASE WHEN q.hard THEN NULL WHEN q.start_support OR q.continuity THEN coalesce(w.sf, q.t) ELSE w.sf END AS nsf, CASE WHEN q.hard THEN 0 WHEN q.start_support OR q.continuity THEN w.sn + 1 ELSE w.sn END AS nsn
     FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i + 1)))"""
 
 
-@query(
-    _WALK
-    + """ SELECT user_id, kind, os AS start, oe AS "end", ow AS end_reason FROM w WHERE kind IS NOT NULL
-UNION ALL SELECT w.user_id, 'open', w.a, q.t, 'end of rows' FROM w JOIN (SELECT user_id, max(i) AS i, max(t) AS t FROM q GROUP BY 1) q ON w.user_id = q.user_id AND w.i = q.i WHERE w.a IS NOT NULL"""
-)
+_WALK = sql_walk(_CUES, _limits())
+_STRICT = fsm.Limits(**{**vars(_limits()), "opening_sec": 15 * HOUR})
+_EMITTED = " SELECT user_id, kind, os AS start, oe AS \"end\", ow AS end_reason FROM w WHERE kind IS NOT NULL"
+_LEFT_OPEN = " UNION ALL SELECT w.user_id, 'open', w.a, q.t, 'end of rows' FROM w JOIN (SELECT user_id, max(i) AS i, max(t) AS t FROM q GROUP BY 1) q ON w.user_id = q.user_id AND w.i = q.i WHERE w.a IS NOT NULL"
+
+
+@query(_WALK + _EMITTED + _LEFT_OPEN)
 def fsm_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Closed, reviewed and open intervals of the current machine."""
     return _machine(spark, d, "evidence").select("user_id", "kind", "start", "end", "end_reason")
@@ -80,10 +83,10 @@ def fsm_trace(spark: SparkSession, d: str) -> DataFrame:
     return numbered.groupBy("user_id", "state_after").agg(F.count("*").alias("n"), F.max("i").cast("long").alias("last_row"))
 
 
-@query()
+@query(sql_walk(_CUES, _STRICT) + _EMITTED + _LEFT_OPEN)
 def fsm_strict(spark: SparkSession, d: str) -> DataFrame:
-    """The earlier form, which takes no waiting row in."""
-    return _machine(spark, d, "strict")
+    """The earlier form, which waits longer for a start and takes no waiting row in."""
+    return fsm.intervals(_cues(spark, d), "user_id", "t", "event_id", "strict", _STRICT, "duration").select("user_id", "kind", "start", "end", "end_reason")
 
 
 @query()
@@ -243,7 +246,13 @@ def bridge_fragments(spark: SparkSession, d: str) -> DataFrame:
     return folds.bridge(_clusters(spark, d, "purchase"), "user_id", 60 * HOUR, 90 * HOUR)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_IV}, k AS (SELECT user_id, list([start, "end"]) AS have FROM a GROUP BY 1), c AS (SELECT user_id, cluster_no, start, "end", row_number() OVER (PARTITION BY user_id ORDER BY score DESC, cluster_no) AS i FROM b),
+w AS (SELECT c.user_id, 0::BIGINT AS i, coalesce(any_value(k.have), []) AS have, 0 AS n, NULL::BIGINT AS cand_id FROM c LEFT JOIN k USING (user_id) GROUP BY 1
+UNION ALL SELECT user_id, i, CASE WHEN ok THEN list_append(have, [start, "end"]) ELSE have END, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN cluster_no END FROM (SELECT w.user_id, c.i, w.have, w.n, c.start, c."end", c.cluster_no::BIGINT AS cluster_no,
+w.n < 2 AND len(list_filter(w.have, lambda h: greatest(0, least(h[2], c."end") - greatest(h[1], c.start)) / (greatest(h[2], c."end") - least(h[1], c.start)) >= 0.5)) = 0 AS ok FROM w JOIN c ON c.user_id = w.user_id AND c.i = w.i + 1))
+SELECT user_id, cand_id FROM w WHERE cand_id IS NOT NULL"""
+)
 def promote_with_iou(spark: SparkSession, d: str) -> DataFrame:
     """At most two candidates a key that overlap nothing kept."""
     cand = _clusters(spark, d, "view").withColumnRenamed("cluster_no", "cand_id")
@@ -275,20 +284,27 @@ def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return iv.overlap_join(a, b, "user_id", CELL, "closed").select("user_id", "gt", "cand", "gt_t", "cand_t", F.abs(F.col("gt_t") - F.col("cand_t")).alias("dist")).where(F.col("dist") <= 12 * HOUR)
 
 
-@query(
-    f"""WITH RECURSIVE {P}, j AS (SELECT l.user_id, l.event_id AS gt, r.event_id AS cand, abs(l.t - r.t) AS dist FROM p l JOIN p r ON l.user_id = r.user_id AND l.event_type = 'purchase' AND r.event_type = 'click' AND abs(l.t - r.t) <= {12 * HOUR}),
-o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY dist, gt, cand) AS i FROM j),
-w AS (SELECT user_id, i, gt, cand, dist, true AS taken, [gt] AS ug, [cand] AS uc FROM o WHERE i = 1
-UNION ALL SELECT o.user_id, o.i, o.gt, o.cand, o.dist, NOT (list_contains(ug, o.gt) OR list_contains(uc, o.cand)), CASE WHEN list_contains(ug, o.gt) OR list_contains(uc, o.cand) THEN ug ELSE list_append(ug, o.gt) END, CASE WHEN list_contains(ug, o.gt) OR list_contains(uc, o.cand) THEN uc ELSE list_append(uc, o.cand) END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
-SELECT user_id, gt, cand, round(dist, 6) AS dist FROM w WHERE taken"""
-)
+def _sql_match(pairs: str, order: str) -> str:
+    """Pairs (user_id, x, y, v) in order, taken if both ends are free."""
+    busy = "(list_contains(ux, o.x) OR list_contains(uy, o.y))"
+    return f"""WITH RECURSIVE {pairs}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS i FROM j),
+w AS (SELECT user_id, i, x, y, v, true AS taken, [x] AS ux, [y] AS uy FROM o WHERE i = 1
+UNION ALL SELECT o.user_id, o.i, o.x, o.y, o.v, NOT {busy}, CASE WHEN {busy} THEN ux ELSE list_append(ux, o.x) END, CASE WHEN {busy} THEN uy ELSE list_append(uy, o.y) END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
+
+
+_NEAR = f"{P}, j AS (SELECT l.user_id, l.event_id AS x, r.event_id AS y, abs(l.t - r.t) AS v, l.t AS xt FROM p l JOIN p r ON l.user_id = r.user_id AND l.event_type = 'purchase' AND r.event_type = 'click' AND abs(l.t - r.t) <= {12 * HOUR})"
+_MEET = f"""{P}, {sql_clusters('a', 'p', chr(39).join(['event_type = ', 'purchase', '']), gap=40 * HOUR)}, {sql_clusters('b', 'p', chr(39).join(['event_type = ', 'view', '']), gap=40 * HOUR)},
+j AS (SELECT a.user_id, a.cluster_no::BIGINT AS x, b.cluster_no::BIGINT AS y, least(a."end", b."end") - greatest(a.start, b.start) AS v FROM a JOIN b ON a.user_id = b.user_id AND a.start < b."end" AND a."end" > b.start)"""
+
+
+@query(_sql_match(_NEAR, "v, x, y") + " SELECT user_id, x AS gt, y AS cand, round(v, 6) AS dist FROM w WHERE taken")
 def greedy_one_to_one_match(spark: SparkSession, d: str) -> DataFrame:
     """Closest pairs first, each end once."""
     out = folds.greedy_pairs(_near_pairs(spark, d), "user_id", "gt", "cand", [("dist", True), ("gt", True), ("cand", True)])
     return out.select("user_id", "gt", "cand", F.round("dist", 6).alias("dist"))
 
 
-@query()
+@query(_sql_match(_MEET, "v DESC, x, y") + " SELECT user_id, x AS a_no, y AS b_no, v AS overlap FROM w WHERE taken")
 def greedy_overlap_match(spark: SparkSession, d: str) -> DataFrame:
     """Largest overlaps first, each interval once."""
     a = _clusters(spark, d, "purchase", 40 * HOUR).select("user_id", F.col("cluster_no").alias("a_no"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
@@ -297,18 +313,18 @@ def greedy_overlap_match(spark: SparkSession, d: str) -> DataFrame:
     return folds.greedy_pairs(pairs, "user_id", "a_no", "b_no", [("overlap", False), ("a_no", True), ("b_no", True)])
 
 
-@query()
+@query(_sql_match(_NEAR, "xt, x, v, y") + " SELECT user_id, x AS gt, y AS cand, round(v, 6) AS dist FROM w WHERE taken")
 def greedy_match_by_left(spark: SparkSession, d: str) -> DataFrame:
     """Left rows in time order take their best free right row."""
     pairs = _near_pairs(spark, d).withColumn("score", -F.col("dist"))
     return folds.greedy_by_left(pairs, "user_id", "gt", "cand", "gt_t", "score").select("user_id", "gt", "cand", F.round("dist", 6).alias("dist"))
 
 
-@query(
-    f"""WITH RECURSIVE {P}, n AS (SELECT * FROM p WHERE user_id % 10 = user_id % 10 AND event_type IN ('click', 'view')), e AS (SELECT a.event_id AS x, b.event_id AS y FROM n a JOIN n b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND abs(a.t - b.t) <= {2 * HOUR}),
-r AS (SELECT event_id AS node, event_id AS reach FROM n WHERE event_id IN (SELECT x FROM e) UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x)
-SELECT node, min(reach) AS component FROM r GROUP BY 1""".replace("user_id % 10 = user_id % 10 AND ", "")
-)
+_GRAPH = f"""WITH RECURSIVE {P}, n AS (SELECT * FROM p WHERE event_type IN ('click', 'view')), e AS (SELECT a.event_id AS x, b.event_id AS y FROM n a JOIN n b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND abs(a.t - b.t) <= {2 * HOUR}),
+r AS (SELECT event_id AS node, event_id AS reach FROM n WHERE event_id IN (SELECT x FROM e) UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x), g AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)"""
+
+
+@query(_GRAPH + " SELECT * FROM g")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     """Components over edges between two sources near in time: a true graph."""
     a = points(spark, d, "click").select("user_id", F.col("event_id").alias("x"), F.col("t").alias("l_start"), (F.col("t") + 0.0).alias("l_end"))
@@ -317,14 +333,17 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(edges.select(F.col("x").alias("src"), F.col("y").alias("dst")))
 
 
-@query()
+@query(
+    _GRAPH
+    + """ SELECT component, coalesce(min(t) FILTER (event_type = 'click'), min(t)) AS canonical_t, count(*) AS n, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS relation, string_agg(event_type || ':' || node, ';' ORDER BY t, node) AS members FROM g JOIN n ON n.event_id = g.node GROUP BY 1"""
+)
 def anchor_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Components with a canonical member: the earliest of the first source, else of the second."""
     comp = connected_components(spark, d)
     rows = points(spark, d, "click", "view").withColumnRenamed("event_id", "node").join(comp, "node")
     first = F.when(F.col("event_type") == "click", 0).otherwise(1)
-    members = F.array_sort(F.collect_list(F.struct("t", "event_type", "node")))
-    return rows.groupBy("component").agg(F.min_by("t", F.struct(first, "t")).alias("canonical_t"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), "+").alias("relation"), F.to_json(members).alias("members"))
+    members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "node", "event_type"))), lambda m: F.concat_ws(":", m["event_type"], m["node"])), ";")
+    return rows.groupBy("component").agg(F.min_by("t", F.struct(first, "t")).alias("canonical_t"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), "+").alias("relation"), members.alias("members"))
 
 
 @query(
