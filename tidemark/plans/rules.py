@@ -42,7 +42,7 @@ def _machine(spark: SparkSession, d: str, name: str) -> DataFrame:
 def sql_walk(cues: str, lim: fsm.Limits) -> str:
     """The current machine as a recursive walk: one row a step, with what it emits."""
     return f"""WITH RECURSIVE {cues},
-w AS (SELECT user_id, 0::BIGINT AS i, 'outside' AS st, NULL::DOUBLE AS a, NULL::DOUBLE AS pt, NULL::BIGINT AS pi, NULL::VARCHAR AS pw, NULL::DOUBLE AS lh, NULL::DOUBLE AS sf, 0 AS sn, NULL::VARCHAR AS kind, NULL::DOUBLE AS os, NULL::DOUBLE AS oe, NULL::VARCHAR AS ow FROM (SELECT DISTINCT user_id FROM q)
+w AS (SELECT user_id, 0::BIGINT AS i, 'outside' AS st, NULL::DOUBLE AS a, NULL::DOUBLE AS pt, NULL::BIGINT AS pi, NULL::VARCHAR AS pw, NULL::DOUBLE AS lh, NULL::DOUBLE AS sf, 0 AS sn, NULL::VARCHAR AS kind, NULL::DOUBLE AS os, NULL::DOUBLE AS oe, NULL::VARCHAR AS ow, 0 AS seq, false AS took, NULL::BIGINT AS pk FROM (SELECT DISTINCT user_id FROM q)
 UNION ALL
 SELECT user_id, i, nst,
   CASE WHEN nst = 'outside' THEN NULL WHEN st = 'outside' AND nst = 'inside' THEN t WHEN st = 'opening' AND nst = 'inside' THEN pt ELSE a END,
@@ -52,13 +52,14 @@ SELECT user_id, i, nst,
   CASE WHEN st = 'closing' AND nst = 'outside' THEN NULL ELSE nlh END, CASE WHEN st = 'closing' AND nst = 'outside' THEN NULL ELSE nsf END, CASE WHEN st = 'closing' AND nst = 'outside' THEN 0 ELSE nsn END,
   CASE WHEN st = 'closing' AND nst = 'outside' THEN 'closed' WHEN nst = 'outside' AND (st = 'opening' OR opening_only) THEN 'review' END,
   CASE WHEN st = 'closing' THEN a WHEN st = 'opening' THEN pt ELSE t END, CASE WHEN st = 'closing' THEN pt ELSE t END,
-  CASE WHEN st = 'closing' THEN pw WHEN st = 'opening' AND end_support THEN 'cancelled by end support' WHEN st = 'opening' THEN 'not confirmed in time' ELSE 'opening notice' END
+  CASE WHEN st = 'closing' THEN pw WHEN st = 'opening' AND end_support THEN 'cancelled by end support' WHEN st = 'opening' THEN 'not confirmed in time' ELSE 'opening notice' END,
+  CASE WHEN nst = 'inside' AND st IN ('outside', 'opening') THEN seq + 1 ELSE seq END, nst = 'inside' OR (st = 'inside' AND nst = 'closing'), CASE WHEN nst = 'inside' AND st = 'opening' THEN pi END
 FROM (SELECT *, CASE st
     WHEN 'outside' THEN CASE WHEN opening_only THEN 'outside' WHEN hard THEN 'inside' WHEN start_support AND NOT audio_only AND NOT scene_only THEN 'opening' ELSE 'outside' END
     WHEN 'opening' THEN CASE WHEN hard THEN 'inside' WHEN end_support THEN 'outside' WHEN t - pt > {lim.opening_sec} OR i - pi + 1 > {lim.opening_rows} THEN 'outside' ELSE 'opening' END
     WHEN 'inside' THEN CASE WHEN (end_support AND NOT hard) OR t - coalesce(nlh, a) > {lim.fresh_sec} OR coalesce(t - nsf > {lim.support_sec} AND nsn > {lim.support_rows}, false) THEN 'closing' ELSE 'inside' END
     ELSE CASE WHEN hard OR (continuity AND NOT end_support) THEN 'inside' WHEN end_support OR t - pt >= {min(lim.close_sec, lim.fresh_sec)} THEN 'outside' ELSE 'closing' END END AS nst
-  FROM (SELECT w.user_id, w.st, w.a, w.pt, w.pi, w.pw, q.i, q.t, q.hard, q.start_support, q.continuity, q.end_support, q.opening_only, q.audio_only, q.scene_only,
+  FROM (SELECT w.user_id, w.st, w.a, w.pt, w.pi, w.pw, w.seq, q.i, q.t, q.hard, q.start_support, q.continuity, q.end_support, q.opening_only, q.audio_only, q.scene_only,
     CASE WHEN q.hard THEN q.t ELSE w.lh END AS nlh, CASE WHEN q.hard THEN NULL WHEN q.start_support OR q.continuity THEN coalesce(w.sf, q.t) ELSE w.sf END AS nsf, CASE WHEN q.hard THEN 0 WHEN q.start_support OR q.continuity THEN w.sn + 1 ELSE w.sn END AS nsn
     FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i + 1)))"""
 
@@ -119,14 +120,34 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("cand_id", windows.row_rank("user_id", "start", "end"))
 
 
-@query()
+_SCORED = f"""{_WALK},
+made AS (SELECT user_id, seq, kind, os AS start, oe AS "end", ow AS why FROM w WHERE kind = 'closed' UNION ALL SELECT w.user_id, w.seq, 'open', w.a, q.t, 'end of rows' FROM w JOIN (SELECT user_id, max(i) AS i, max(t) AS t FROM q GROUP BY 1) q ON w.user_id = q.user_id AND w.i = q.i WHERE w.a IS NOT NULL),
+took AS (SELECT w.user_id, w.seq, q.* EXCLUDE (user_id) FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i WHERE w.took UNION ALL SELECT w.user_id, w.seq, q.* EXCLUDE (user_id) FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.pk),
+spans AS (SELECT user_id, seq, g, max(t) FILTER (NOT weak) - min(t) FILTER (weak) AS span FROM (SELECT *, sum(CASE WHEN weak THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM took) GROUP BY 1, 2, 3),
+n AS (SELECT user_id, seq, count(*) AS n, count(*) FILTER (hard) AS hard, count(*) FILTER (start_support) AS ss, count(*) FILTER (continuity) AS ct, count(*) FILTER (event_type = 'purchase' AND value >= 60) AS oh, count(*) FILTER (event_type = 'purchase' AND value >= 50) AS rh,
+count(*) FILTER (event_type = 'click' AND value >= 24) AS au, bool_or(opening_only) AS oo, bool_and(audio_only) AS ao FROM took GROUP BY 1, 2),
+f AS (SELECT made.*, n.* EXCLUDE (user_id, seq), greatest(1, (made."end" - made.start) / {HOUR}) AS len, coalesce((SELECT max(span) FROM spans s WHERE s.user_id = made.user_id AND s.seq = made.seq), 0) / {HOUR} AS weak_span FROM made JOIN n ON made.user_id = n.user_id AND made.seq = n.seq),
+g AS (SELECT *, hard / greatest(1, len / 60) AS hd FROM f),
+b AS (SELECT *, least(1, hd / 4) AS dens, least(1, CASE WHEN hard > 0 THEN 1 ELSE 0.62 END + least(0.18, 0.04 * ss)) * 0.3 + least(1, (hard + 0.5 * ct + 0.3 * ss) / n) * 0.22 + CASE WHEN why = 'end support' THEN 0.86 WHEN why = 'freshness' THEN 0.68 WHEN why = 'support cap' THEN 0.58 ELSE 0.35 END * 0.16 + least(1, hd / 4) * 0.17 + least(1, (rh + 0.5 * oh) / n) * 0.1 + least(1, au / n) * 0.05 AS base FROM g),
+c AS (SELECT *, CASE WHEN weak_span > 35 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 THEN 0.08 ELSE 0 END + CASE WHEN oo THEN 0.3 ELSE 0 END + CASE WHEN ao THEN 0.28 ELSE 0 END + CASE WHEN len > 240 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 AND dens < 0.35 THEN 0.12 ELSE 0 END AS penalty FROM b),
+x AS (SELECT *, greatest(0, least(1, base - penalty)) AS score FROM c), y AS (SELECT *, least(1, score / greatest(1, len / 60)) AS sd FROM x),
+z AS (SELECT *, least(1, 0.65 * score + 0.35 * sd) AS rank_score, score >= 0.85 AND sd >= 0.35 AND hard >= 3 AND hd >= 1 AND oh >= 2 AND NOT (oo OR ao) AS ultra,
+concat_ws(';', CASE WHEN score < 0.45 THEN 'low score' END, CASE WHEN sd < 0.2 THEN 'low score density' END, CASE WHEN hard < 1 THEN 'too little hard evidence' END, CASE WHEN hd < 0.35 THEN 'thin hard evidence' END) AS failed, row_number() OVER (PARTITION BY user_id ORDER BY start, "end") AS cand_id FROM y)"""
+
+
+@query(_SCORED + ' SELECT user_id, cand_id, start, "end", round(score, 6) AS score, round(sd, 6) AS score_density, round(rank_score, 6) AS rank_score, round(hd, 6) AS hard_density, round(penalty, 6) AS penalty, ultra, failed, CASE WHEN failed = \'\' THEN \'prediction\' ELSE \'review\' END AS status FROM z')
 def candidate_score_filter(spark: SparkSession, d: str) -> DataFrame:
     """Scored candidates with failed thresholds and status."""
     out = _candidates(spark, d)
     return out.select("user_id", "cand_id", "start", "end", *[F.round(c, 6).alias(c) for c in ("score", "score_density", "rank_score", "hard_density", "penalty")], "ultra", "failed", "status")
 
 
-@query()
+@query(
+    _SCORED
+    + f""", s AS (SELECT *, "end" - start AS d, sum("end" - start) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY ultra DESC, rank_score DESC, sd DESC, score DESC, cand_id) AS pos FROM z WHERE failed = ''),
+v AS (SELECT user_id, 0::BIGINT AS pos, 0.0::DOUBLE AS used, NULL::BIGINT AS cand_id, false AS kept, NULL::DOUBLE AS total FROM (SELECT DISTINCT user_id FROM s) UNION ALL SELECT s.user_id, s.pos, CASE WHEN s.ultra OR used + s.d <= {0.15 * 30 * 24 * HOUR} THEN used + s.d ELSE used END, s.cand_id, s.ultra OR used + s.d <= {0.15 * 30 * 24 * HOUR}, s.total FROM v JOIN s ON s.user_id = v.user_id AND s.pos = v.pos + 1)
+SELECT user_id, cand_id, total <= {0.18 * 30 * 24 * HOUR} OR kept AS kept FROM v WHERE pos > 0"""
+)
 def budget_after_fsm(spark: SparkSession, d: str) -> DataFrame:
     """Predictions of the whole path from cues to budget."""
     rows = _candidates(spark, d).where("status = 'prediction'").withColumn("len", F.col("end") - F.col("start"))
