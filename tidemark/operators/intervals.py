@@ -44,7 +44,8 @@ def _cells(start: Column, end: Column, width: float) -> Column:
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float, how_touch: str = "open") -> DataFrame:
     """Pairs of one key with left.start < right.end and left.end > right.start (open), or with
     <= and >= (closed). Columns besides the key must differ; both sides name their ends
-    l_start, l_end and r_start, r_end."""
+    l_start, l_end and r_start, r_end. width is the size of a bucket: a row is copied to every
+    bucket it touches, so about the length of the longer side's rows suits."""
     a = left.withColumn("_cell", F.explode(_cells(F.col("l_start"), F.col("l_end"), width)))
     b = right.withColumn("_cell", F.explode(_cells(F.col("r_start"), F.col("r_end"), width)))
     first = F.greatest(F.floor(F.col("l_start") / width), F.floor(F.col("r_start") / width))

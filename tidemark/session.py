@@ -45,6 +45,12 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file:///" + full[len("file:/") :].lstrip("/") if full.startswith("file:/") else full
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of any store Spark writes to, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder and drop its lineage."""
     shared_dir(frame.sparkSession)
