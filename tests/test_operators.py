@@ -207,6 +207,44 @@ def test_casts_and_clocks(spark):
     assert got == (0.0, None, "01:30", "01:32", 3723.0, 0.0, 3.0, "see [URL] [EMAIL] [PHONE]")
 
 
+def test_minutes_and_seconds_in_cells(spark):
+    rows = frame(spark, [("1", "30"), ("1", "75"), (None, "5"), ("x", None)], "m string, s string")
+    value, issue = scalar.minute_second("m", "s")
+    assert [tuple(r) for r in rows.select(value, issue).collect()] == [(90.0, "ok"), (None, "second_range"), (None, "minute_missing"), (None, "both_missing")]
+
+
+def test_signals(spark):
+    from tidemark.functions import signal
+
+    rows = frame(spark, [(1, float(t), b) for t, b in ((0, True), (1, True), (2, False), (3, True), (5, True), (6, True))], "k long, t double, b boolean")
+    got = sorted((r.start, r.end, r.seconds) for r in signal.dark_runs(rows, "k", "t", "b", 1.0).collect())
+    assert got == [(0.0, 1.0, 2.0), (3.0, 3.0, 1.0), (5.0, 6.0, 2.0)]
+    made = spark.range(1).select(
+        signal.frames(F.array(*[F.lit(float(x)) for x in range(5)]), 4, 1).alias("f"), signal.frames(F.array(F.lit(1.0)), 3, 1).alias("p"), signal.peaks(F.array(*[F.lit(float(x)) for x in (0, 2, 1, 3, 3, 0)]), F.lit(1.5)).alias("n"),
+        signal.polygon_area(F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (2, 0), (2, 2), (0, 2))])).alias("a"), signal.polygon_area(F.array().cast("array<array<double>>")).alias("z"),
+        signal.histogram_distance(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("h"), signal.similarity(F.array(F.lit(3.0), F.lit(9.0)), F.array(F.lit(3.0), F.lit(9.0))).alias("s"),
+    ).first()
+    assert made.f == [[0.0, 1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0]] and made.p == [[1.0, 0.0, 0.0]] and made.n == 2 and made.a == 4.0 and made.z == 0.0 and made.h == 1.0 and made.s == pytest.approx(1.0)
+
+
+def test_sound_features_of_a_tone_and_of_silence():
+    import numpy as np
+
+    from tidemark.functions.signal import sound_features
+
+    tone = sound_features(np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000))
+    assert tone["centroid"] == pytest.approx(1000, abs=20) and tone["rms"] == pytest.approx(np.sqrt(0.5), abs=0.01) and tone["zcr"] == pytest.approx(0.125, abs=0.01)
+    assert sound_features(np.zeros(0))["rms"] == 0.0 and sound_features(np.zeros(4096))["rms"] == 0.0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(-50, 50), st.integers(0, 9)), min_size=1, max_size=40))
+def test_running_sums_by_buckets(spark, items):
+    rows = frame(spark, [(float(x), v) for x, v in items], "x double, v long")
+    got = sorted((r.x, r.run_v, r.all_v) for r in windows.running_sums(rows, "x", ["v"], 4).collect())
+    assert got == sorted((float(x), sum(v for y, v in items if y <= x), sum(v for _, v in items)) for x, _ in items)
+
+
 def test_text_helpers(spark):
     got = spark.range(1).select(text.occurrences(F.lit("aXaXa"), "X").alias("a"), text.starts_of(F.lit("abxxab"), "ab").alias("b"), text.within_reach(F.lit("ab12345cd"), "ab", "cd", 6).alias("c"), text.within_reach(F.lit("ab12345cd"), "ab", "cd", 7).alias("e")).first()
     assert got == (2, [0, 4], False, True)
