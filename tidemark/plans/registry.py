@@ -44,6 +44,10 @@ CELL = 48 * HOUR
 P = "p AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id, event_type, value FROM events)"
 
 
+def of(kind: str) -> str:
+    return f"event_type = '{kind}'"
+
+
 def sql_clusters(name: str, source: str, where: str, gap: float = GAP, least: int = 2) -> str:
     """Intervals (user_id, cluster_no, start, end, n, score) of gap clusters, as common tables."""
     return f"""{name}_a AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {gap} THEN 1 ELSE 0 END AS fresh FROM {source} WHERE {where}),

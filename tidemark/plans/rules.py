@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar
 from tidemark.operators import folds, fsm, graph, scoring, windows
 from tidemark.operators import intervals as iv
-from tidemark.plans.registry import CELL, GAP, HOUR, P, points, query, sql_clusters, table
+from tidemark.plans.registry import CELL, GAP, HOUR, P, of, points, query, sql_clusters, table
 
 _T0 = 1704067200.0
 
@@ -156,7 +156,7 @@ def budget_after_fsm(spark: SparkSession, d: str) -> DataFrame:
     return kept
 
 
-_IV = f"{P}, {sql_clusters('a', 'p', chr(39).join(['event_type = ', 'purchase', '']))}, {sql_clusters('b', 'p', chr(39).join(['event_type = ', 'view', '']))}"
+_IV = f"{P}, {sql_clusters('a', 'p', of('purchase'))}, {sql_clusters('b', 'p', of('view'))}"
 
 
 def _clusters(spark: SparkSession, d: str, kind: str, gap: float = GAP) -> DataFrame:
@@ -314,7 +314,7 @@ UNION ALL SELECT o.user_id, o.i, o.x, o.y, o.v, NOT {busy}, CASE WHEN {busy} THE
 
 
 _NEAR = f"{P}, j AS (SELECT l.user_id, l.event_id AS x, r.event_id AS y, abs(l.t - r.t) AS v, l.t AS xt FROM p l JOIN p r ON l.user_id = r.user_id AND l.event_type = 'purchase' AND r.event_type = 'click' AND abs(l.t - r.t) <= {12 * HOUR})"
-_MEET = f"""{P}, {sql_clusters('a', 'p', chr(39).join(['event_type = ', 'purchase', '']), gap=40 * HOUR)}, {sql_clusters('b', 'p', chr(39).join(['event_type = ', 'view', '']), gap=40 * HOUR)},
+_MEET = f"""{P}, {sql_clusters('a', 'p', of('purchase'), gap=40 * HOUR)}, {sql_clusters('b', 'p', of('view'), gap=40 * HOUR)},
 j AS (SELECT a.user_id, a.cluster_no::BIGINT AS x, b.cluster_no::BIGINT AS y, least(a."end", b."end") - greatest(a.start, b.start) AS v FROM a JOIN b ON a.user_id = b.user_id AND a.start < b."end" AND a."end" > b.start)"""
 
 

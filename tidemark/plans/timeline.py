@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar
 from tidemark.operators import intervals as iv
 from tidemark.operators import stats, windows
-from tidemark.plans.registry import CELL, GAP, HOUR, P, points, query, sql_clusters, sql_union, table
+from tidemark.plans.registry import CELL, GAP, HOUR, P, of, points, query, sql_clusters, sql_union, table
 
 
 def _clusters(spark: SparkSession, d: str, kind: str, gap: float = GAP) -> DataFrame:
@@ -21,7 +21,7 @@ def session_gap_clusters(spark: SparkSession, d: str) -> DataFrame:
     return iv.cluster_intervals(points(spark, d), "user_id", "t", GAP, score="value")
 
 
-_BUY_VIEW = f"{P}, {sql_clusters('a', 'p', chr(39).join(['event_type = ', 'purchase', '']))}, {sql_clusters('b', 'p', chr(39).join(['event_type = ', 'view', '']))}"
+_BUY_VIEW = f"{P}, {sql_clusters('a', 'p', of('purchase'))}, {sql_clusters('b', 'p', of('view'))}"
 
 
 @query(f'WITH {_BUY_VIEW}, s AS (SELECT * FROM a UNION ALL SELECT * FROM b), {sql_union("u", "s")} SELECT user_id, start, "end" FROM u')
@@ -124,7 +124,7 @@ def nearest_with_priority(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {P}, {sql_clusters('c', 'p', chr(39).join(['event_type = ', 'view', '']))}, l AS (SELECT * FROM p WHERE event_type = 'signup')
+    f"""WITH {P}, {sql_clusters('c', 'p', of('view'))}, l AS (SELECT * FROM p WHERE event_type = 'signup')
 SELECT l.user_id, l.event_id, min(greatest(0, c.start - l.t, l.t - c."end")) AS distance, bool_or(l.t BETWEEN c.start AND c."end") AS inside
 FROM l JOIN c ON l.user_id = c.user_id GROUP BY l.user_id, l.event_id"""
 )
@@ -144,7 +144,7 @@ def point_interval_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {P}, {sql_clusters('c', 'p', chr(39).join(['event_type = ', 'purchase', '']))},
+    f"""WITH {P}, {sql_clusters('c', 'p', of('purchase'))},
 j AS (SELECT c.user_id, c.cluster_no, x.event_type, x.value FROM p x JOIN c ON x.user_id = c.user_id AND x.t BETWEEN c.start AND c."end")
 SELECT CASE WHEN grouping(user_id) = 1 THEN NULL ELSE user_id END AS user_id, CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS event_type, count(*) AS n, max(value) AS strongest, round(avg(value), 6) AS mean
 FROM j GROUP BY GROUPING SETS ((user_id, event_type), (user_id), (event_type), ())"""
@@ -159,7 +159,7 @@ def point_in_interval_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {P}, {sql_clusters('c', 'p', chr(39).join(['event_type = ', 'purchase', '']))},
+    f"""WITH {P}, {sql_clusters('c', 'p', of('purchase'))},
 j AS (SELECT c.user_id, c.cluster_no, c.start, c."end", x.t, x.value FROM c LEFT JOIN p x ON x.user_id = c.user_id AND x.event_type = 'click' AND x.t BETWEEN c.start AND c."end")
 SELECT user_id, cluster_no::BIGINT AS cluster_no, count(t) AS n, max(value) AS max_strength, round(avg(value), 6) AS mean_strength, arg_max(t, value) AS strongest_at, min(t - start) AS from_start, min("end" - t) AS to_end FROM j GROUP BY user_id, cluster_no"""
 )
@@ -201,7 +201,7 @@ def window_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {P}, {sql_clusters('c', 'p', chr(39).join(['event_type = ', 'view', '']))},
+    f"""WITH {P}, {sql_clusters('c', 'p', of('view'))},
 u AS (SELECT user_id, max(t) - {_T0} AS duration FROM p GROUP BY user_id),
 w AS (SELECT user_id, unnest(range(0, ceil(duration / {24 * HOUR})::BIGINT)) AS window_index, duration FROM u),
 x AS (SELECT user_id, window_index, {_T0} + window_index * {24 * HOUR} AS s, {_T0} + least(window_index * {24 * HOUR} + {24 * HOUR}, duration) AS e FROM w),
@@ -464,7 +464,7 @@ def phase_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {P}, {sql_clusters('c', 'p', chr(39).join(['event_type = ', 'purchase', '']))}, u AS (SELECT user_id, max(t) - {_T0} - {240 * HOUR} AS duration FROM p GROUP BY user_id)
+    f"""WITH {P}, {sql_clusters('c', 'p', of('purchase'))}, u AS (SELECT user_id, max(t) - {_T0} - {240 * HOUR} AS duration FROM p GROUP BY user_id)
 SELECT user_id, cluster_no::BIGINT AS cluster_no, greatest(start - {_T0 + 240 * HOUR}, 0) AS start, least("end" - {_T0 + 240 * HOUR}, duration) AS "end", start - {_T0 + 240 * HOUR} < 0 OR "end" - {_T0 + 240 * HOUR} > duration AS was_clipped
 FROM c JOIN u USING (user_id) WHERE least("end" - {_T0 + 240 * HOUR}, duration) > greatest(start - {_T0 + 240 * HOUR}, 0)"""
 )
