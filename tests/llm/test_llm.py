@@ -241,6 +241,15 @@ def test_null_ids_are_kept(spark):
     assert simhash.near_copies(rows).count() == 3 and simhash.without_near_copies(rows).count() == 2
 
 
+def test_every_near_group_keeps_a_row_of_its_own(spark):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four", "red green blue black", "north east south west")
+    rows = [(None, a), (None, b), (None, c), (1, c), (2, a + " x y z"), (2, d), (3, d), (2, d), (None, None), (None, "")]
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, a), (0, b), (1, c), (2, a + " x y z"), (2, d), (0, "")])
+    pair = spark.createDataFrame([(None, "a"), (None, "b"), (1, "b")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in simhash.without_near_copies(pair).collect()} == {(None, "a"), (1, "b")}
+
+
 # byte-level BPE
 
 

@@ -54,11 +54,12 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the fingerprint in the place of the text, which is the last column."""
     for batch in batches:
         for at in range(0, batch.num_rows, _SLICE):
             part = batch.slice(at, _SLICE)
-            fp = np.fromiter((fingerprint(t) for t in part.column(1).to_pylist()), dtype=np.uint64, count=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t) for t in part.columns[-1].to_pylist()), dtype=np.uint64, count=part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp.view(np.int64))], names=[*part.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,6 +180,17 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return found.unionByName(pairs.repartition("cell").sortWithinPartitions("cell").mapInPandas(_link, "src long, dst long"))
 
 
+def _groups(marked: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of each fingerprint of rows (doc_id, fp): its group, named by
+    the smallest fingerprint, and the group's smallest id."""
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = connected_components(links(distinct))
+    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp")
+    heads = named.groupBy("component").agg(F.min("least").alias("head"))
+    linked = cut(cut(named.select("fp", "component")).join(cut(heads), "component").select("fp", "component", "head"))
+    return cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("head", "least").alias("component_id")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id (smallest reachable id).
 
@@ -186,23 +198,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links and never names a component unless all its ids are null; repeated rows each get a row.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(links(distinct))
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp")
-    heads = named.groupBy("component").agg(F.min("least").alias("head"))
-    linked = cut(cut(named.select("fp", "component")).join(cut(heads), "component").select("fp", "head"))
-    heads_of = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id")))
-    return marked.join(heads_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(_groups(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _digest(text: F.Column) -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The row of the smallest id of each group, columns unchanged; repeats of that id stay once.
+    """One row of each group, of the group's smallest id, columns unchanged.
+
+    A null id is a group's smallest only where all its ids are null. Groups that share their
+    smallest id, null too, each keep a row of their own; among rows of that id in one group the
+    text of the smallest digest stays, and its repeats stay once. Null text counts as empty.
 
-    Ids join as text, null as a word of its own, so that the join and the choice among repeated
-    rows share one exchange of the documents."""
+    Rows are found again by id and digest of the text; ids join as text, null as a word of its
+    own, so that the join and the choice among repeated rows share one exchange of the documents."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
-    heads = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name)
-    kept = whole.join(heads, "_id", "left_semi")
-    once = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
+    digest = _digest(F.col("text")).alias("_digest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, F.col("text").cast("string").alias("text"))
+    marked = cut(rows.mapInArrow(_fingerprints, "doc_id long, _digest binary, fp long"))
+    least = marked.join(_groups(marked), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = least.groupBy("component", "doc_id").agg(F.min("_digest").alias("_digest")).select(name, "_digest")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name, digest)
+    kept = whole.join(heads, ["_id", "_digest"], "left_semi")
+    once = Window.partitionBy("_id", "_digest").orderBy(F.xxhash64("_row"))
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
