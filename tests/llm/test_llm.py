@@ -170,6 +170,17 @@ def test_pieces_equal_whole_texts(t):
     assert own.encode([t, None]) == [own._whole([t])[0], b""]
 
 
+def test_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = token_files.PieceEncoder(path), Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>", "é<|endoftext|>x", "日<|endoftext|>", "<|EndOfText|> <|endoftext", "hello world", "endoftext |> startoftext"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3306, 49407, 1002]
+    assert [np.frombuffer(raw, own.dtype).tolist() for raw in own.encode(texts)] == want
+
+
 # licences
 
 

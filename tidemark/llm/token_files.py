@@ -55,7 +55,8 @@ class PieceEncoder:
     The tokenizer lower-cases, drops white space and encodes each match of its splitting pattern
     by itself. On text of Latin-1 characters, where normalisation only lower-cases, the same
     matches are found here and their ids remembered, new ones coming from the library; any other
-    text, and any tokenizer of another build, goes to the library whole.
+    text, one that holds an added token's literal, and any tokenizer of another build goes to the
+    library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,7 +64,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
         size = self._library.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         #: Whether an id ends a word, by which the ids of a line of words part.
@@ -72,6 +72,8 @@ class PieceEncoder:
         build = json.loads(self._library.to_str())
         split = (build["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         kinds = [n["type"] for n in (build["normalizer"] or {}).get("normalizers", [])]
+        #: Literals that the library takes whole before it splits; in any case, as some match lower-cased text.
+        self._added = sorted({t["content"].lower() for t in build["added_tokens"]})
         self._by_piece = split == _SPLIT and kinds == ["NFC", "Replace", "Lowercase"]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -97,7 +99,10 @@ class PieceEncoder:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return None
-        return _PIECE.findall(text.lower())
+        low = text.lower()
+        if any(a in low for a in self._added):
+            return None
+        return _PIECE.findall(low)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(got.ids, dtype=self.dtype).tobytes() for got in self._library.encode_batch_fast(texts, add_special_tokens=False)]
