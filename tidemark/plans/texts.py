@@ -33,7 +33,7 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 SELECT token, n_in, n_out, round(((n_in / t_in) + 1e-6) / ((n_out / t_out) + 1e-6), 6) AS lift, round(ln(((n_in + 0.5) / (t_in + 0.5 * v)) / ((n_out + 0.5) / (t_out + 0.5 * v))), 6) AS log_lift FROM c, s WHERE n_in + n_out >= 5"""
 )
 def token_frequency_lift(spark: SparkSession, d: str) -> DataFrame:
-    """Token counts inside and outside a class, both lifts."""
+    """Token counts inside and outside a class, both lifts (A30, A32, X03); only tokens that occur 5 times or more, as in the SQL."""
     rows = _tokens(spark, d).join(table(spark, d, "labels", "doc_id", "quality"), "doc_id").select("token", (F.col("quality") == 1).alias("good"))
     out = stats.lift(rows, "token", "good").where(F.col("n_in") + F.col("n_out") >= 5)
     return out.select("token", "n_in", "n_out", F.round("lift", 6).alias("lift"), F.round("log_lift", 6).alias("log_lift"))
@@ -45,7 +45,7 @@ SELECT token, n, docs, sources, first_doc, CASE WHEN regexp_matches(token, '^[0-
 CASE WHEN token IN ('license', 'gnu', 'mit', 'apache') THEN 'legal' WHEN token IN ('the', 'and', 'of', 'to') THEN 'function' WHEN n / docs >= 2 AND sources >= 2 THEN 'candidate' WHEN n / docs >= 2 THEN 'single_group' ELSE 'common' END AS category FROM c WHERE docs >= 3"""
 )
 def token_document_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Spread of every token over documents and sources, its type and category."""
+    """Spread of tokens over documents and sources, their type and category (A31, X13, X14); only tokens in 3 documents or more, as in the SQL."""
     # Once per token, source and document first: two distinct counts in one pass would expand every row.
     per_doc = _tokens(spark, d).groupBy("token", "source", "doc_id").agg(F.count("*").alias("n"))
     per_source = per_doc.groupBy("token", "source").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
