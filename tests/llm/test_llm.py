@@ -300,6 +300,16 @@ def test_language(docs, odd, empty):
     assert {r.lang_pred for r in language.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{k:03d}" for k in range(260)]
+    word = lambda k: chr(0x4E00 + 7 * k) + chr(0x4E03 + 7 * k)
+    rows = [(k * 100 + i, " ".join([word(k)] * (3 + i % 5)), n) for k, n in enumerate(names) for i in range(8 if k == 259 else 12)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == names
+    said = language.predict(spark.createDataFrame([(1, " ".join([word(259)] * 4))], "doc_id long, text string"), model).first()
+    assert said.lang_pred == "l259"
+
+
 def test_letters():
     assert [language.has_letter(t) for t in (None, "", "12 _ ²½", "²é", "日", "a")] == [False, False, False, True, True, True]
 

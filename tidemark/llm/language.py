@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Learning documents of each language, about, and languages at most.
-PER_LANG, LANGS = 700, 256
+#: Learning documents of each language, about.
+PER_LANG = 700
 BITS = 14
 SIZE = 1 << BITS
 _SLICE = 64
@@ -155,10 +155,11 @@ def frequencies(learning: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """The calibrated model, or None where nothing can be learned from."""
     learning = _learning(docs)
-    sizes = learning.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    sizes = learning.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return None
     langs = sorted(r["lang"] for r in sizes)
+    place = {x: k for k, x in enumerate(langs)}
     df, n = frequencies(learning)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     # Each language's share of rows by hash: about per_lang rows, so at most a few MB a language.
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
 
     got = sorted(sample.mapInArrow(run, "doc_id long, lang string, i binary, v binary").collect())
     rows = [(np.frombuffer(r["i"], "<u2").astype(np.int64), np.frombuffer(r["v"], "<f2").astype(np.float64)) for r in got]
-    labels = [langs.index(r["lang"]) for r in got]
+    labels = [place[r["lang"]] for r in got]
     aside = [k for k in range(len(rows)) if k % 5 == 4]
     w, bias = ftrl([r for k, r in enumerate(rows) if k % 5 != 4], [x for k, x in enumerate(labels) if k % 5 != 4], len(langs))
     logits = np.array([w[:, rows[k][0]] @ rows[k][1] + bias for k in aside]).reshape(len(aside), len(langs))
