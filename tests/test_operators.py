@@ -316,3 +316,15 @@ def test_decision_plans_read_no_labels(spark, small):
     from tidemark.plans.rules import _cues
 
     assert tabular.guarded(_cues(spark, small).drop("event_type"))
+
+
+def test_book_reads_the_sheet_of_the_best_header(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = lambda *rows: f"<worksheet {ns}><sheetData>" + "".join("<row>" + "".join(f'<c r="{c}{k}" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in zip("AB", r, strict=False)) + "</row>" for k, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet(("notes",), ("start",)))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(("x",), ("Video ID", "Start"), ("7", "1:30")))
+    read = lambda **k: [(r.video_id, r.start) for r in tabular.read_book(spark, str(tmp_path / "b.xlsx"), {"video_id": ["video id"], "start": []}, **k).collect()]
+    assert read() == [("7", "1:30")] and read(sheet=1) == []

@@ -136,6 +136,7 @@ def term_usage(spark: SparkSession, pattern: str, terms: list[str]) -> DataFrame
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def sheet_rows(content: bytes, sheet: int = 1) -> list[list[str | None]]:
@@ -160,6 +161,18 @@ def sheet_rows(content: bytes, sheet: int = 1) -> list[list[str | None]]:
     return out
 
 
+def sheet_numbers(content: bytes) -> list[int]:
+    """Numbers of a book's sheet parts, in the order of the book where it tells one."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        have = sorted(int(m.group(1)) for m in (re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n) for n in z.namelist()) if m)
+        if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(z.namelist()):
+            return have
+        targets = {r.get("Id"): re.search(r"worksheets/sheet(\d+)\.xml$", r.get("Target", "")) for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        told = [targets.get(s.get(f"{_REL}id")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+    first = [int(m.group(1)) for m in told if m and int(m.group(1)) in have]
+    return first + [k for k in have if k not in first]
+
+
 def header_of(rows: list[list[str | None]], names: dict[str, list[str]]) -> tuple[int, dict[str, int]]:
     """(row number, name to column) of the row that names most of the wanted columns."""
     best: tuple[int, dict[str, int]] = (0, {})
@@ -171,14 +184,16 @@ def header_of(rows: list[list[str | None]], names: dict[str, list[str]]) -> tupl
     return best
 
 
-def read_book(spark: SparkSession, path: str, names: dict[str, list[str]], sheet: int = 1) -> DataFrame:
-    """Rows of XLSX files with columns found by their header, all text, one task a file."""
+def read_book(spark: SparkSession, path: str, names: dict[str, list[str]], sheet: int | None = None) -> DataFrame:
+    """Rows of XLSX files with columns found by their header, all text, one task a file. Without
+    a sheet number, the sheet whose header names most of the columns is read, the first of equals."""
     wanted = list(names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for where, content in zip(frame["path"], frame["content"], strict=True):
-                rows = sheet_rows(content, sheet)
+                sheets = [sheet_rows(content, k) for k in (sheet_numbers(content) if sheet is None else [sheet])]
+                rows = max(sheets, key=lambda s: len(header_of(s, names)[1]), default=[])
                 at, columns = header_of(rows, names)
                 body = [[where, *((r[columns[n]] if n in columns and columns[n] < len(r) else None) for n in wanted)] for r in rows[at + 1 :]]
                 yield pd.DataFrame(body, columns=["path", *wanted], dtype=object)
