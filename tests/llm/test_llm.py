@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import duck_rows, rows_of
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -264,18 +264,55 @@ def test_every_near_group_keeps_a_row_of_its_own(spark):
 # byte-level BPE
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.characters(max_codepoint=0x250, exclude_categories=["Cs"]) | st.sampled_from(" \n\t'srelvmd12!\x1c\x85 日"), max_size=120), st.sampled_from([1, 2, 7, 30]), st.sampled_from([1, 3, 16]))
-def test_tree_equals_the_library(t, leaf, window):
-    own, before = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken")), bpe.WINDOW
-    bpe.WINDOW = window
-    try:
-        ids = bpe.encode(own, t, leaf).ids
-    finally:
-        bpe.WINDOW = before
+@pytest.fixture
+def small_windows(monkeypatch):
+    def put(window, ids):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        monkeypatch.setattr(bpe, "IDS", ids)
+
+    return put
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(alphabet=st.characters(max_codepoint=0x250, exclude_categories=["Cs"]) | st.sampled_from(" \n\t'srelvmd12!\x1c\x85 日"), max_size=120), st.sampled_from([1, 2, 7, 30]), st.sampled_from([1, 3, 16]))
+def test_tree_equals_the_library(small_windows, t, leaf, window):
+    own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    small_windows(window, 2)
+    ids = bpe.encode(own, t, leaf).ids
     assert ids == own.encode_ordinary(t) and bpe.decode(own, ids, 3) == t.encode()
 
 
+def test_runs_equal_the_library(small_windows):
+    own, rnd = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(1)
+    parts = ["'s", "'", "s", "ll", " ", "  ", "\n", "\n\n", "\t", "\x85", "\x1c", "\xa0", "é", "日", "。", "1", "12", "!", "!!", "^", "x", "xx", "abc", "the", "\u3000", "'ll", "'x", "\u0301", "²"]
+    for _ in range(2000):
+        pool = rnd.sample(parts, rnd.randint(1, 5))
+        t = "".join(rnd.choice(pool) * rnd.choice([1, 1, 1, 2, 5, 30, 80]) for _ in range(rnd.randint(1, 15)))
+        small_windows(rnd.choice([1, 4, 16, 64]), rnd.choice([1, 2, 8]))
+        assert bpe.encode(own, t, rnd.choice([1, 2, 3, 7, 30, 100])).ids == own.encode_ordinary(t)
+
+
+@pytest.mark.parametrize(("unit", "n"), [(" ", 5_000_000), ("\n", 1_000_001), (" \n", 5_000_000), ("x", 1_000_000), ("^", 1_000_000), ("ab1!", 5_000_000)])
+def test_long_runs(unit, n):
+    """Against the library where it survives; white space against its encoding as one piece,
+    which for white space alone the pattern makes it, and against other cuts of the tree."""
+    own, t = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken")), unit * (n // len(unit))
+    ids = bpe.encode(own, t).ids
+    assert ids == (own._encode_single_piece(t.encode()) if t.isspace() else own.encode_ordinary(t))
+    assert bpe.decode(own, ids) == t.encode()
+
+
+def test_long_white_space_between_words():
+    own, half = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken")), " " * 500_000 + "\n" * 500_001
+    for t in ("ab" + half + "c d", half + "c", "a" + half, "a" + half + " b" + half + "'s"):
+        ids = bpe.encode(own, t).ids
+        assert bpe.decode(own, ids) == t.encode()
+        for cut in (1, len(t) // 4, len(t) // 2, len(t) - 1):
+            assert bpe.join(own, bpe.encode(own, t[:cut]), bpe.encode(own, t[cut:])).ids == ids
+    short = "ab" + " " * 300 + "\n" * 301 + "c d"
+    assert bpe.encode(own, short, 16).ids == own.encode_ordinary(short)
+
+
 def test_encodings(docs, texts, odd, odd_texts, empty):
     own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     for frame, rows in ((docs, texts), (odd, odd_texts)):
