@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -96,6 +97,42 @@ def licences(t: str | None) -> tuple:
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def notices(rows: list[tuple], posted: int = 8, slip: int = 2, least: float = 0.6) -> dict:
+    """(labels, score) of each row, by trying every passage at every offset."""
+    import math
+
+    from tidemark.llm.notices import PASSAGES, SPELLINGS
+
+    def spell(ws):
+        return [SPELLINGS.get(w, w) for w in ws]
+
+    texts = {i: spell(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(t))) for i, t in rows}
+    sets, n = [set(w) for w in texts.values()], len(texts)
+    idf = functools.cache(lambda w: math.log((1 + n) / (1 + sum(w in s for s in sets))) + 1e-3)
+    out = {}
+    for i, t in rows:
+        v, labels, best = texts[i], set(), 0.0
+        for label, text, keys in PASSAGES:
+            notice = spell(text.split())
+            rare = sorted(sorted({notice.index(w) for w in notice}, key=lambda k: (-idf(notice[k]), k))[:posted])
+            if sum(notice[k] in v for k in rare) < 2:
+                continue
+            for o in range(-len(notice), len(v)):
+                at = lambda k: v[k] if 0 <= k < len(v) else None  # noqa: B023, E731
+                if sum(at(o + k) == notice[k] for k in rare) < 2:
+                    continue
+                share = sum(idf(w) for k, w in enumerate(notice) if w in v[max(0, o + k - slip) : max(0, o + k + slip + 1)]) / sum(map(idf, notice))
+                phrases = [spell(k.split()) for k in keys]
+                starts = [next(k for k in range(len(notice)) if notice[k : k + len(p)] == p) for p in phrases]
+                keyed = any(o + s + d >= 0 and v[o + s + d : o + s + d + len(p)] == p for p, s in zip(phrases, starts, strict=True) for d in range(-slip, slip + 1))
+                if keyed and share >= least - 1e-12:
+                    labels.add(label)
+                    best = max(best, share)
+        labels |= set(filter(None, licences(t)[4].split(",")))
+        out[i] = (",".join(sorted(labels)), round(min(1.0, best), 6))
+    return out
+
+
 def tokens(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 

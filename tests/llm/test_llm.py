@@ -195,6 +195,32 @@ def test_licences(docs, texts, odd, odd_texts, empty, spark):
     assert licences.scanned(empty).count() == 0
 
 
+NOTES = [
+    (1, "we used source and binary forms of the word in grammar"),
+    (2, "free and unencumbered software talk"),
+    (3, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public Licence as published by the Free Software Foundation; either version 3 of the Licence, or (at your option) any later version."),
+    (4, "x y Permission is hereby granted, free of charge, to any human obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    (5, "The above copyright notice and this permission notice shall be included with all copies or substantial portions of the Software."),
+    (6, "This work is licensed under the GNU General Public License, version 3."),
+    (7, "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met:"),
+    (8, "gnu general public license"),
+    (9, None),
+    (10, "Licensed under CC BY-NC 4.0. Unless required by applicable law or agreed to in writing, software"),
+    (11, "license version 2 0 the license software " * 300),
+    (12, "permission is granted by the host to any person with a copy of this"),
+]
+
+
+def test_notices(spark, docs, texts, odd, odd_texts):
+    """Labels and scores against trying every passage at every offset."""
+    for frame, rows in ((spark.createDataFrame(NOTES, "doc_id long, text string"), NOTES), (docs, texts), (odd, [(i, t) for i, t in odd_texts if i not in (8, 9)])):
+        want = brute.notices(rows)
+        got = {r.doc_id: (r.labels, round(r.score, 6)) for r in licences.scanned(frame if frame is not odd else odd.where("doc_id not in (8, 9)")).collect()}
+        assert got == want
+        if rows is NOTES:
+            assert [got[k][0] for k in range(1, 11)] == ["", "", "lgpl", "mit", "mit", "gpl", "bsd", "gpl", "", "cc-by,cc-by-nc"] and got[8][1] == 0 and got[12][0] == ""
+
+
 # near and exact copies
 
 

@@ -1,19 +1,22 @@
 """License scans over a positional rare-token index, in DataFrame functions only.
 
-Licence notices are kept as word templates. Document frequencies of all their words are counted
-over the whole corpus; the RARE words of highest IDF of each template are posted with their
-positions. Per file, its posted words are looked up, highest IDF first, each hit votes for the
-offset at which a template would lie, offsets are intersected with the other postings of the
-template by direct look at the words there, and a template counts where its mandatory key phrase
-stands in place. The score is the share of the template's IDF that matches at the best offset.
+Licence notices are kept as passages of words (tidemark.llm.notices). Document frequencies of all
+their words are counted over the whole corpus, and the POSTED words of highest IDF of each passage
+are posted with their positions in it. Per file, the posted words it holds are looked up; each
+stands for the offset at which its passage would lie, and a passage is a candidate only at
+offsets where the postings of two or more of its words agree. There the IDF share of its words
+that stand in place (or within SLIP places of it, so that a word put in or left out moves no
+other out of reach) must reach LEAST_SHARE, and one of its mandatory key phrases must stand in
+place. The score is the best share of the file's accepted passages.
 
 All work on a file happens within its row, so no shuffle carries texts and no word of many files
-gathers anywhere; only the word counts (one row a template word) reach the driver.
+gathers anywhere; only the word counts (one row a passage word) reach the driver.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import operator
 import string
@@ -21,36 +24,22 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Posted words of a template, at least.
-RARE = 3
+from tidemark.llm.notices import PASSAGES, SPELLINGS
+
+#: Posted words of a passage at most.
+POSTED = 8
+#: Places that a word may stand off its own.
+SLIP = 2
+#: Share of a passage's IDF that must stand in place.
+LEAST_SHARE = 0.6
 
 #: Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: (label, notice, mandatory key phrase), in words.
-TEMPLATES = (
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("gpl", "terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    ("lgpl", "terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    ("agpl", "terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "copy modify and or distribute"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("epl", "terms of the eclipse public license v 2 0", "eclipse public license"),
-    ("cc-by", "content available under cc by 4 0", "cc by"),
-    ("cc-by-nc", "content available under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "content available under cc by sa 4 0", "cc by sa"),
-    ("cc-by-nd", "content available under cc by nd 4 0", "cc by nd"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
-
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-VOCABULARY = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()} | {w for p, _ in PHRASES for w in p.split()})
+#: Passages with their words in one spelling.
+NOTICES = tuple((label, [SPELLINGS.get(w, w) for w in text.split()], [[SPELLINGS.get(w, w) for w in k.split()] for k in keys]) for label, text, keys in PASSAGES)
+VOCABULARY = sorted({w for _, notice, _ in NOTICES for w in notice} | {w for p, _ in PHRASES for w in p.split()})
 
 
 def words(text: F.Column) -> F.Column:
@@ -58,91 +47,134 @@ def words(text: F.Column) -> F.Column:
     return F.array_remove(F.split(low, GAP), "")
 
 
+def _spelled(word: F.Column) -> F.Column:
+    """A word in its one spelling."""
+    return functools.reduce(lambda out, p: F.when(word == p[0], F.lit(p[1])).otherwise(out), SPELLINGS.items(), word)
+
+
 def _strings(values: list[str]) -> F.Column:
     return F.array(*[F.lit(v) for v in values])
 
 
 def idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Smoothed IDF of each template word over all rows."""
-    seen = F.array_union(F.array_intersect(_strings(VOCABULARY), words(F.col(text_col))), F.array(F.lit("*")))
+    """Smoothed IDF of each passage word over all rows."""
+    wanted = _strings([*VOCABULARY, *SPELLINGS])
+    found = F.array_distinct(F.transform(F.array_intersect(wanted, words(F.col(text_col))), _spelled))
+    seen = F.concat(found, F.array(F.lit("*")))
     counts = {r["w"]: r["n"] for r in docs.select(F.explode(seen).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     n = counts.get("*", 0)
     return {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1e-3 for w in VOCABULARY}
 
 
-def _posted(notice: list[str], key: list[str], weight: dict[str, float]) -> list[int]:
-    """Positions of the template's posted words: those of highest IDF, within its key phrase first
-    among equals, since without that phrase the template cannot count."""
-    start = _at(notice, key)
-    inside = range(start, start + len(key))
-    best = max(inside, key=lambda i: (weight[notice[i]], -i))
-    rest = sorted((i for i in range(len(notice)) if i != best), key=lambda i: (-weight[notice[i]], i not in inside, i))
-    return [best, *rest[: RARE - 1]]
+def posted(notice: list[str], weight: dict[str, float]) -> list[int]:
+    """Positions of the passage's posted words: the first places of those of highest IDF."""
+    first = [i for i, w in enumerate(notice) if notice.index(w) == i]
+    return sorted(sorted(first, key=lambda i: (-weight[notice[i]], i))[:POSTED])
 
 
-def _at(notice: list[str], key: list[str]) -> int:
+def place_of(notice: list[str], key: list[str]) -> int:
     return next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
 
 
 def _stands(at: F.Column, phrase: list[str]) -> F.Column:
-    """The phrase stands at word number at."""
+    """The base phrase stands at word number at."""
     out = F.lit(True)
     for k, w in enumerate(phrase):
         out = out & F.coalesce(F.get("_w", at + k) == w, F.lit(False))
     return out
 
 
+#: Offsets are packed below the passage number; one may be negative.
+_SPAN, _ZERO = 1 << 40, 1 << 32
+
+
+def _votes(weight: dict[str, float]) -> F.Column:
+    """For each hit of a posted word, (passage, offset) packed, over all passages that post it."""
+    postings: dict[str, list[int]] = {}
+    for k, (_, notice, _) in enumerate(NOTICES):
+        for i in posted(notice, weight):
+            postings.setdefault(notice[i], []).append(k * _SPAN + _ZERO - i)
+    table = F.from_json(F.lit(json.dumps(postings)), "map<string, array<bigint>>")
+    return F.flatten(F.transform("_hits", lambda h: F.transform(F.coalesce(F.element_at(table, h["w"]), F.array().cast("array<bigint>")), lambda v: v + h["p"])))
+
+
+def _passages(weight: dict[str, float]) -> F.Column:
+    """The passages as one constant array: label, words with weights, and key phrases with places."""
+    out = []
+    for label, notice, keys in NOTICES:
+        total = sum(weight[w] for w in notice)
+        phrases = [{"words": k, "at": place_of(notice, k)} for k in keys]
+        out.append({"label": label, "facts": [{"w": w, "x": weight[w] / total} for w in notice], "keys": phrases})
+    kind = "array<struct<label: string, facts: array<struct<w: string, x: double>>, keys: array<struct<words: array<string>, at: int>>>>"
+    return F.from_json(F.lit(json.dumps(out)), kind)
+
+
+def _share(offset: F.Column, facts: F.Column) -> F.Column:
+    """Share of the weights of the words that stand within SLIP places of offset plus their own."""
+
+    def stands(fact: F.Column, i: F.Column) -> F.Column:
+        first = F.greatest(F.lit(0), offset + i - SLIP)
+        size = offset + i + SLIP + 1 - first
+        near = F.when(size > 0, F.array_contains(F.slice("_v", first + 1, F.greatest(F.lit(0), size)), fact["w"])).otherwise(False)
+        return F.when(near, fact["x"]).otherwise(0.0)
+
+    return F.aggregate(F.transform(facts, stands), F.lit(0.0), lambda a, x: a + x)
+
+
+def _keyed(offset: F.Column, keys: F.Column) -> F.Column:
+    def stands(key: F.Column) -> F.Column:
+        slips = [offset + key["at"] + d for d in range(-SLIP, SLIP + 1)]
+        return functools.reduce(operator.or_, [(s >= 0) & (F.slice("_v", F.greatest(F.lit(0), s) + 1, F.size(key["words"])) == key["words"]) for s in slips])
+
+    return F.exists(keys, stands)
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null text counts as empty: no words, no labels (empty strings), null places, score 0. Each
-    row is answered by itself, repeated or not.
+    row is answered by itself, repeated or not, a null id too; an empty table gives no rows.
     """
     weight = idf(docs, text_col)
-    plans = []
-    for label, notice, key in TEMPLATES:
-        n, k = notice.split(), key.split()
-        plans.append((label, n, k, _posted(n, k, weight)))
-    posted = {n[i] for _, n, _, at in plans for i in at} | {p.split()[0] for p, _ in PHRASES}
-    index = sorted(posted, key=lambda w: (-weight[w], w))
+    rare = {notice[i] for _, notice, _ in NOTICES for i in posted(notice, weight)}
+    index = sorted(rare | {p.split()[0] for p, _ in PHRASES}, key=lambda w: (-weight[w], w))
 
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col).cast("string")).alias("_w"))
-    frame = frame.withColumn("_top", F.array_intersect(_strings(index), F.col("_w")))
-    hit = F.transform("_w", lambda w, i: F.when(F.array_contains("_top", w), F.struct(w.alias("w"), i.alias("p"))))
+    others = list(SPELLINGS)
+    frame = frame.withColumn("_top", F.array_intersect(_strings([*index, *others]), F.col("_w")))
+    hit = F.transform("_w", lambda w, i: F.when(F.array_contains("_top", w), F.struct(_spelled(w).alias("w"), i.alias("p"))))
     frame = frame.withColumn("_hits", F.when(F.size("_top") > 0, F.filter(hit, lambda h: h.isNotNull())))
-
-    def places(word: str) -> F.Column:
-        return F.transform(F.filter("_hits", lambda h: h["w"] == word), lambda h: h["p"])
+    frame = frame.withColumn("_v", F.when(F.arrays_overlap("_top", _strings(others)), F.transform("_w", _spelled)).otherwise(F.col("_w")))
 
     def standing(phrase: list[str]) -> F.Column:
-        return F.filter(places(phrase[0]), lambda at: _stands(at, phrase))
+        places = F.transform(F.filter("_hits", lambda h: h["w"] == phrase[0]), lambda h: h["p"])
+        return F.when(F.array_contains("_top", phrase[0]), F.filter(places, lambda at: _stands(at, phrase)))
 
-    def offsets(word: str, i: int) -> F.Column:
-        return F.transform(places(word), lambda p: p - i)
+    # Two or more words of a passage must agree on an offset: equal neighbours of the sorted votes.
+    frame = frame.withColumn("_votes", F.when(F.size("_top") > 1, F.array_sort(_votes(weight))))
+    agreed = F.array_distinct(F.filter("_votes", lambda v, i: (i > 0) & (F.get("_votes", i - 1) == v)))
+    some = frame.withColumn("_agreed", agreed)
 
-    def share(notice: list[str], o: F.Column) -> F.Column:
-        total = sum(weight[w] for w in notice)
-        parts = [F.when(F.coalesce(F.get("_w", o + i) == w, F.lit(False)), weight[w] / total).otherwise(0.0) for i, w in enumerate(notice)]
-        return functools.reduce(operator.add, parts)
+    passages = _passages(weight)
 
-    def best_share(notice: list[str], key: list[str], at: list[int]) -> F.Column:
-        votes = F.array_distinct(F.flatten(F.array(*[offsets(notice[i], i) for i in at])))
-        start = _at(notice, key)
-        placed = F.filter(votes, lambda o: _stands(o + start, key))
-        return F.array_max(F.transform(placed, lambda o: share(notice, o)))
+    def tried(vote: F.Column) -> F.Column:
+        offset = (vote % _SPAN - _ZERO).cast("int")
+        passage = F.element_at(passages, (F.shiftright(vote, 40) + 1).cast("int"))
+        share = F.when(_keyed(offset, passage["keys"]), _share(offset, passage["facts"])).otherwise(0.0)
+        return F.struct(passage["label"].alias("label"), share.alias("share"))
 
-    on = F.col("_hits").isNotNull()
-    some = frame.select(
+    accepted = F.filter(F.transform("_agreed", tried), lambda c: c["share"] >= LEAST_SHARE)
+    some = some.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
-        *[F.when(on, standing(p.split())).alias(f"_base{k}") for k, (p, _) in enumerate(PHRASES)],
-        *[F.when(on, best_share(notice, key, at)).alias(f"_s{k}") for k, (_, notice, key, at) in enumerate(plans)],
+        *[standing(p.split()).alias(f"_base{k}") for k, (p, _) in enumerate(PHRASES)],
+        F.when(F.size("_agreed") > 0, accepted).alias("_found"),
     )
     starts = [F.coalesce(F.col(f"_base{k}"), F.array().cast("array<int>")) for k in range(len(PHRASES))]
     every = F.concat(*starts)
     base_labels = F.array_compact(F.array(*[F.when(F.size(s) > 0, label) for s, (_, label) in zip(starts, PHRASES, strict=True)]))
-    more = F.array_compact(F.array(*[F.when(F.col(f"_s{k}").isNotNull(), label) for k, (label, *_) in enumerate(plans)]))
-    best = F.greatest(*[F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) for k in range(len(plans))])
+    more = F.coalesce(F.transform("_found", lambda c: c["label"]), F.array().cast("array<string>"))
+    best = F.coalesce(F.array_max(F.transform("_found", lambda c: c["share"])), F.lit(0.0))
     return some.select(
         "doc_id",
         "n_words",
