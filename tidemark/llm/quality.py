@@ -59,13 +59,15 @@ def structure(text: bytes, words: list[bytes], counts: Counter) -> list[float]:
 
 
 def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(index, value) pairs: words by bucket (of unit length together), then one bin a statistic."""
+    """(index, value) pairs, each index once: words summed by bucket (of unit length together),
+    then one bin a statistic; so at most WORDS and a few entries, however long the text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     counts = Counter(words)
     crc = zlib.crc32
-    index = np.fromiter((crc(w) for w in counts), np.int64, len(counts)) % WORDS
-    value = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
+    bucket = np.fromiter((crc(w) for w in counts), np.int64, len(counts)) % WORDS
+    index, place = np.unique(bucket, return_inverse=True)
+    value = np.bincount(place, np.log1p(np.fromiter(counts.values(), np.float64, len(counts))), len(index)).astype(np.float32)
     norm = float(np.sqrt((value * value).sum())) or 1.0
     stats = [*structure(raw, words, counts), min(1.0, np.log1p(max(0, n_chars or 0)) / 14), float(n_chars is None)]
     bins = np.minimum((np.sqrt(np.clip(stats, 0, 1)) * BINS).astype(np.int64), BINS - 1)
@@ -169,13 +171,20 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null and empty texts are scored too."""
+    """Per row: doc_id, held_out, score, predicted.
+
+    Null and empty texts are scored as empty. Each row is answered by itself, repeated or not; a
+    null id is not held out and has no label. Without labelled rows, or with one class only, the
+    score is the prior; an empty table gives no rows."""
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score 0.5 or more, columns unchanged, in one pass without a join."""
+    """The rows of docs that score 0.5 or more, columns unchanged, in one pass without a join.
+
+    Each row is judged by itself: null text as empty, null ids and repeated rows like any other;
+    an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     has_chars = "n_chars" in docs.columns
 
