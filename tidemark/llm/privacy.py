@@ -5,7 +5,8 @@ signs the field then scores whole candidate segments of up to MAX_TOKENS white-s
 features of the entire span (digits and their grouping, check sum, octets, brackets, context
 words); a bounded-length dynamic programme picks boundaries and kinds of a stretch jointly. Its
 segments are added where they touch no base span, for instance phone numbers without a country
-code. The field is trained by gradient ascent on the conditional likelihood of made-up lines
+code. An entity is bounded by MAX_TOKENS tokens and MAX_CHARS characters, and its tokens stand no
+more than MAX_GAP characters of blanks, brackets and dashes apart; base spans have no such bound. The field is trained by gradient ascent on the conditional likelihood of made-up lines
 (seeded, no corpus rows), once per process.
 """
 
@@ -27,6 +28,9 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MAX_TOKENS = 5
+#: Characters of an entity of the field: the longest address that mail allows.
+MAX_CHARS = 320
+MAX_GAP = 4
 _SLICE = 256
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -174,7 +178,7 @@ def _active(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _joins(between: str) -> bool:
-    return len(between) <= 4 and all(c in " ()-" for c in between)
+    return len(between) <= MAX_GAP and all(c in " ()-" for c in between)
 
 
 def _segments(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, tuple[int, int]]]:
@@ -183,7 +187,7 @@ def _segments(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, tup
     for i in range(len(run)):
         for j in range(i + 1, min(len(run), i + MAX_TOKENS) + 1):
             s, e = _trimmed(text, run[i][0], run[j - 1][1])
-            if e > s and e - s <= 80:
+            if e > s and e - s <= MAX_CHARS:
                 out.append((i, j, (s, e)))
     return out
 
@@ -206,7 +210,9 @@ class Field:
         arcs = []
         for k, (s, e) in enumerate(run):
             place = _trimmed(text, s, e)
-            arcs.append((k, k + 1, "none", place, self._ids(span_features(text[place[0] : place[1]][:80], "none", left), grow)))
+            # A token too long for an entity has no rival, so its weight does not matter.
+            shown = text[place[0] : place[1]] if place[1] - place[0] <= MAX_CHARS else ""
+            arcs.append((k, k + 1, "none", place, self._ids(span_features(shown, "none", left), grow)))
         for i, j, place in _segments(text, run):
             span = text[place[0] : place[1]]
             arcs += [(i, j, kind, place, self._ids(span_features(span, kind, left), grow)) for kind in KINDS]
@@ -371,7 +377,8 @@ def joined(spans: list[Span]) -> str:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all).
-    Null text counts as empty; each row is answered by itself."""
+    Null text counts as empty; each row is answered by itself, repeated or not, a null id too; an
+    empty table gives no rows. The bounds of added spans are those of the module."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = trained()
