@@ -16,16 +16,29 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 SALTS = 16
+#: A text of more than one part in HOT of all rows has its copies joined over the salts; there are
+#: fewer than HOT such texts at any size of the table.
+HOT = 4096
 
 
 def normalised(text: F.Column) -> F.Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def row_hash(docs: DataFrame) -> F.Column:
+    """A hash of a row kept in the struct _row; maps, which Spark does not hash, go in as text."""
+    parts = []
+    for f in docs.schema.fields:
+        part = F.col(f"_row.`{f.name}`")
+        parts.append(F.to_json(F.struct(part)) if "map<" in f.dataType.simpleString() else part)
+    return F.xxhash64(*parts)
+
+
 def copy_groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(digest, norm, keep_id, group_size), one row a distinct text, from rows (doc_id, norm, digest)."""
+    """(digest, norm, keep_id, group_size), one row a distinct text, from rows (doc_id, norm, digest).
+    The salt is that of the map task, which has merged its own copies before."""
     salted = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("digest", "salt", "norm")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
@@ -46,7 +59,13 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = winners.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     ids = rows.select("doc_id", "digest")
     if shared.isEmpty():
-        joined = ids.join(winners, "digest")
+        total = winners.agg(F.sum("group_size")).first()[0] or 0
+        hot = winners.where(F.col("group_size") * HOT > total).select("digest", F.lit(True).alias("hot"))
+        spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        by_salt = winners.withColumn("hot", F.col("group_size") * HOT > total).withColumn("salt", F.explode(spread)).drop("hot")
+        salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+        # Fewer than HOT rows of 33 bytes: small at any size of the input.
+        joined = ids.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).join(by_salt, ["digest", "salt"])
     else:
         joined = rows.join(copy_groups(rows, salts), ["digest", "norm"])
     return joined.select(
@@ -65,7 +84,7 @@ def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), digest.alias("_digest"))
     kept = whole.join(winners, ["_digest", "_id"], "left_semi")
-    once = Window.partitionBy("_digest", "_id").orderBy(F.xxhash64("_row"))
+    once = Window.partitionBy("_digest", "_id").orderBy(row_hash(docs))
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
 
 
