@@ -46,6 +46,17 @@ def near_copies(rows: list[tuple]) -> dict:
     return {i: (f"{fp[i]:016x}", head[i]) for i in ids}
 
 
+def near_texts(rows: list[tuple], least: float = 0.8, width: int = 5) -> dict:
+    """Smallest id of each row's group, where pairs link by the Jaccard of their shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower_ascii(t))
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)}
+    ids = list(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
+    return components(ids, links)
+
+
 def near_vectors(rows: list[tuple], threshold: float = 0.9) -> dict:
     def usable(v):
         return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)

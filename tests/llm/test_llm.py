@@ -93,6 +93,45 @@ def test_machine_score_equals_all_pairs():
     assert m.scores([(index, value)])[0] == pytest.approx(1 / (1 + np.exp(-raw)), rel=1e-4)
 
 
+def test_words_of_one_bucket_are_one_feature():
+    import itertools
+
+    seen: dict[int, str] = {}
+    for k in itertools.count():
+        b = zlib.crc32(f"w{k}".encode()) % quality.WORDS
+        if b in seen:
+            pair = (seen[b], f"w{k}")
+            break
+        seen[b] = f"w{k}"
+    index, value = quality.features(f"{pair[0]} {pair[1]} other", 10)
+    assert len(set(index.tolist())) == len(index)
+    at = zlib.crc32(pair[0].encode()) % quality.WORDS
+    one, other = 2 * np.log(2), np.log(2)
+    assert value[index.tolist().index(at)] == pytest.approx(one / np.hypot(one, other))
+
+
+def test_ratings_equal_the_machine_written_out(docs, labels):
+    """Scores of the query against all pairs of features, one by one."""
+    machine = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.rated(docs, labels).collect()}
+    for r in docs.orderBy("doc_id").limit(25).collect():
+        x: dict[int, float] = {}
+        counts: dict[bytes, int] = {}
+        for w in r.text.encode().split():
+            counts[w] = counts.get(w, 0) + 1
+        for w, n in counts.items():
+            b = zlib.crc32(w) % quality.WORDS
+            x[b] = x.get(b, 0.0) + float(np.log1p(n))
+        norm = sum(v * v for v in x.values()) ** 0.5 or 1.0
+        x = {b: v / norm for b, v in x.items()}
+        facts = {int(i): 0.5 for i in quality.features(r.text, r.n_chars)[0] if i >= quality.WORDS}
+        items = list((x | facts).items())
+        v = np.array([machine.v[i] * a for i, a in items], dtype=float)
+        gram = v @ v.T
+        raw = machine.bias + sum(float(machine.w[i]) * a for i, a in items) + (gram.sum() - np.trace(gram)) / 2
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-raw)), abs=2e-3)
+
+
 # personal data
 
 
@@ -139,6 +178,15 @@ def test_field_picks_the_best_of_all_segmentations():
     assert field.best(text, run) == max(paths(0), key=lambda x: x[0])[1]
 
 
+def test_long_addresses_are_candidates():
+    field = privacy.trained()
+    text = "x " + "a1" * 90 + "@" + "b" * 15 + ".com y"
+    (run,) = privacy.stretches(text)
+    place = (2, len(text) - 2)
+    assert place[1] - place[0] == 200 and any(a[2] == "email" and a[3] == place for a in field.lattice(text, run))
+    assert field.best(text, run) == [("email", *place)]
+
+
 # token files
 
 
@@ -231,7 +279,36 @@ def test_near_copies(docs, texts, odd, odd_texts, empty):
         assert len(got) == len(rows) and all(want[r.doc_id] == (r.fingerprint, r.component_id) for r in got)
     assert simhash.near_copies(empty).count() == 0
     kept = simhash.without_near_copies(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted({h for _, h in brute.near_copies(odd_texts).values()})
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(brute.near_texts(odd_texts).values()))
+    assert simhash.without_near_copies(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 6])
+def test_near_texts(spark, block):
+    """Copies with a few words changed, and chains of them, whole and by blocks."""
+    rnd, rows = random.Random(4), []
+    pool = [f"w{k}" for k in range(4000)]
+    for group in range(12):
+        base = [rnd.choice(pool) for _ in range(rnd.choice([40, 120, 400]))]
+        for _ in range(rnd.randint(1, 18)):
+            copy = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 50))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(pool)
+            rows.append((1000 - len(rows), " ".join(copy)))
+            base = copy if group % 3 == 0 else base
+    want = set(brute.near_texts(rows).values())
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_copies(frame, hot=64, block=block).collect()} == want
+    assert len(want) < len(rows) / 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 12), max_size=8), min_size=1, max_size=12))
+def test_near_edges_equal_all_pairs(sets):
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    found = list(simhash.near_edges([np.array(sorted(s), dtype="<u8") for s in sets]))
+    ids = list(range(len(sets)))
+    assert brute.components(ids, found) == brute.components(ids, links)
 
 
 @pytest.mark.parametrize("hot", [simhash.HOT, 8])
@@ -373,6 +450,39 @@ def test_every_language_is_learned(spark):
     assert said.lang_pred == "l259"
 
 
+def test_regression_equals_its_steps_written_out():
+    """FTRL-proximal coordinate by coordinate, and the temperature by its loss."""
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6).astype(np.float32)) for _ in range(30)]
+    labels = rng.integers(0, 3, 30).tolist()
+    w, bias = language.ftrl(rows, labels, 3, epochs=2)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    z, n = {}, {}
+
+    def weight(c, i):
+        zi = z.get((c, i), 0.0)
+        return 0.0 if abs(zi) <= l1 else -np.sign(zi) * (abs(zi) - l1) / ((beta + n.get((c, i), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            items = [*zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True), (language.SIZE, 1.0)]
+            have = {(c, i): weight(c, i) for c in range(3) for i, _ in items}
+            p = language.softmax(np.array([sum(have[c, i] * v for i, v in items) for c in range(3)]))
+            for c in range(3):
+                for i, v in items:
+                    g = (p[c] - (labels[k] == c)) * v
+                    old = n.get((c, i), 0.0)
+                    z[c, i] = z.get((c, i), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * have[c, i]
+                    n[c, i] = old + g * g
+    assert all(w[c, i] == pytest.approx(weight(c, i), abs=1e-5) for c in range(3) for i in range(40))
+    assert all(bias[c] == pytest.approx(weight(c, language.SIZE), abs=1e-5) for c in range(3))
+    logits, gold = rng.normal(size=(50, 3)) * 4, rng.integers(0, 3, 50)
+    loss = lambda t: -np.log(language.softmax(logits / t)[np.arange(50), gold]).mean()
+    best = language.temperature(logits, gold)
+    assert loss(best) <= min(loss(t) for t in np.geomspace(0.05, 5, 200)) + 1e-3
+
+
 def test_letters():
     assert [language.has_letter(t) for t in (None, "", "12 _ ²½", "²é", "日", "a")] == [False, False, False, True, True, True]
 

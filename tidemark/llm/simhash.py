@@ -10,10 +10,23 @@ its pairs, and components of the stars are the groups.
 
 Equal fingerprints are one row before anchors are looked up. Anchors with more than HOT
 fingerprints are cut into blocks whose pairs are compared in separate tasks.
+
+The bits of an anchor are fixed (26 of 31), so the comparisons at an anchor grow with the square
+of the table; at ten thousand million fingerprints an anchor holds some two thousand.
+
+Near copies of five-word similarity NEAR (without_near_copies) differ in up to 14 of the 64 bits
+above, which no anchors cover selectively. A few changed words change far fewer of the distinct
+words than of the shingles, so the filter takes WORD_PRINTS fingerprints over the distinct words,
+each bit a vote of them, looks each up by the same anchors, and calls a pair a candidate where one
+of these differs in WORD_BITS bits at most and meets at an anchor. Candidates gather in groups,
+and within a group all texts are compared exactly by their shingles, through an index of the
+shingles and not by pairs; large groups are compared by pairs of blocks.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.exact_dedup import row_hash
 from tidemark.operators.graph import connected_components
 from tidemark.session import cut
 
@@ -31,20 +45,32 @@ SHINGLE = 3
 SEED = 42
 #: Most fingerprints that one task compares at one anchor.
 HOT = 16384
+#: Fingerprints over distinct words (an even number), and bits in which candidates may differ.
+WORD_PRINTS, WORD_BITS = 6, 8
+#: Words of a shingle and Jaccard similarity of near copies.
+NEAR_WIDTH, NEAR = 5, 0.8
+#: Texts and bytes of text that one task compares exactly.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Bytes of the candidates' names up to which they are broadcast.
+SMALL = 8 << 20
 _SLICE = 256
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(words: list[bytes], width: int) -> Iterator[bytes]:
+    """Space-joined runs of width words, repeats included; fewer words are one run, none is none."""
+    if len(words) < width:
+        return iter([b" ".join(words)] if words else [])
+    return map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """Unsigned SimHash of whole text: a bit is set where over half the shingle hashes set it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+    hashes = np.fromiter((digest(s, SEED) for s in shingles(_words(text), width)), dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -53,6 +79,21 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def _word_hash(word: bytes) -> bytes:
+    return b"".join(xxhash.xxh3_128_digest(word, seed) for seed in range(WORD_PRINTS // 2))
+
+
+def word_prints(text: str | None) -> np.ndarray:
+    """WORD_PRINTS SimHashes of the distinct words of a whole text."""
+    words = set(_words(text))
+    ones = np.zeros(64 * WORD_PRINTS, dtype=np.int64)
+    for part in itertools.batched(words, 4096):
+        raw = b"".join(_word_hash(w) if len(w) <= 64 else _word_hash(xxhash.xxh3_128_digest(w)) for w in part)
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * WORD_PRINTS), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((ones * 2 > len(words)).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Puts the fingerprint in the place of the text, which is the last column."""
     for batch in batches:
@@ -90,26 +131,28 @@ def anchors_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (cell, fp, and the row's name where it has one) of fingerprints; a fingerprint of a
+    set k is copied to the anchors of that set."""
     for frame in frames:
         fp = frame["fp"].to_numpy(np.int64)
         bits = fp.view(np.uint64)
+        sets = frame["k"].to_numpy(np.int64) << np.int64(32) if "k" in frame else np.zeros(len(fp), np.int64)
         for half in (0, 1):
             row, anchor = anchors_of((bits >> np.uint64(32 * half)).astype(np.uint32))
-            yield pd.DataFrame({"cell": anchor.astype(np.int64) | np.int64(half << 31), "fp": fp[row]})
-
+            out = {"cell": anchor.astype(np.int64) | np.int64(half << 31) | sets[row], "fp": fp[row]}
+            if "name" in frame:
+                out["name"] = frame["name"].to_numpy(np.int64)[row]
+            yield pd.DataFrame(out)
 
-def _far(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ b) > THRESHOLD
 
-
-def _stars(fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges that join what is linked within one group: a search that compares each reached
-    fingerprint only with those not reached yet."""
-    left, right, rest = [], [], fp
+def _stars(fp: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges, as places, that join what is linked within one group: a search that compares each
+    reached fingerprint only with those not reached yet."""
+    left, right, rest = [], [], np.arange(len(fp))
     while len(rest) > 1:
         root, queue, rest = rest[0], [rest[0]], rest[1:]
         while queue and len(rest):
-            far = _far(rest, queue.pop())
+            far = np.bitwise_count(fp[rest] ^ fp[queue.pop()]) > threshold
             if not far.all():
                 near = rest[~far]
                 left.append(near)
@@ -119,55 +162,65 @@ def _stars(fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return left, right
 
 
-def _compare(cell: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-    """Edges within each run of equal cells; cell is sorted."""
+def _compare(cell: np.ndarray, fp: np.ndarray, name: np.ndarray, threshold: int) -> pd.DataFrame:
+    """Edges between names within each run of equal cells; cell is sorted."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
-    left, right = [], []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for start, size in zip(starts[sizes > 24], sizes[sizes > 24], strict=True):
-        a, b = _stars(np.unique(fp[start : start + size]))
-        left += a
-        right += b
+        own, first = np.unique(fp[start : start + size], return_index=True)
+        a, b = _stars(own, threshold)
+        left += [name[start + first[x]] for x in a]
+        right += [name[start + first[x]] for x in b]
     small = np.repeat((sizes > 1) & (sizes <= 24), sizes)
-    cell, fp = cell[small], fp[small]
+    cell, fp, name = cell[small], fp[small], name[small]
     for shift in range(1, 24):
         if shift >= len(cell):
             break
         same = np.flatnonzero(cell[shift:] == cell[:-shift])
         if not len(same):
             break
-        near = same[~_far(fp[same], fp[same + shift])]
-        left.append(fp[near])
-        right.append(fp[near + shift])
-    a = np.concatenate(left) if left else np.empty(0, np.uint64)
-    b = np.concatenate(right) if right else np.empty(0, np.uint64)
+        near = same[np.bitwise_count(fp[same] ^ fp[same + shift]) <= threshold]
+        left.append(name[near])
+        right.append(name[near + shift])
+    a, b = np.concatenate(left), np.concatenate(right)
     keep = a != b
-    return pd.DataFrame({"src": a[keep].view(np.int64), "dst": b[keep].view(np.int64)}).drop_duplicates()
+    return pd.DataFrame({"src": a[keep], "dst": b[keep]}).drop_duplicates()
 
 
-def _link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _link(threshold: int):
     """Streams rows sorted by cell; the last group of a batch waits for the next batch."""
-    cell, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-    for frame in frames:
-        cell = np.r_[cell, frame["cell"].to_numpy(np.int64)]
-        fp = np.r_[fp, frame["fp"].to_numpy(np.int64).view(np.uint64)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, fp, name = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        for frame in frames:
+            cell = np.r_[cell, frame["cell"].to_numpy(np.int64)]
+            fp = np.r_[fp, frame["fp"].to_numpy(np.int64).view(np.uint64)]
+            name = np.r_[name, frame["name" if "name" in frame else "fp"].to_numpy(np.int64)]
+            if len(cell):
+                done = int(np.searchsorted(cell, cell[-1]))
+                if done:
+                    yield _compare(cell[:done], fp[:done], name[:done], threshold)
+                    cell, fp, name = cell[done:], fp[done:], name[done:]
         if len(cell):
-            done = int(np.searchsorted(cell, cell[-1]))
-            if done:
-                yield _compare(cell[:done], fp[:done])
-                cell, fp = cell[done:], fp[done:]
-    if len(cell):
-        yield _compare(cell, fp)
+            yield _compare(cell, fp, name, threshold)
 
+    return run
 
-def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """(src, dst) edges between distinct fingerprints (fp) that connect all within THRESHOLD."""
-    cells = distinct.select("fp").mapInPandas(_cells, "cell long, fp long")
+
+def links(distinct: DataFrame, hot: int = HOT, threshold: int = THRESHOLD) -> DataFrame:
+    """(src, dst) edges that connect all distinct fingerprints (fp) within the threshold of each
+    other that meet at an anchor, which within THRESHOLD all do. Rows may carry a name, which
+    edges then give in place of the fingerprint, and the number k of a set; sets do not mix."""
+    columns = [c for c in ("k", "fp", "name") if c in distinct.columns]
+    carried = [c for c in columns if c != "k"]
+    cells = distinct.select(*columns).mapInPandas(_cells, "cell long, " + ", ".join(f"{c} long" for c in carried))
+    compare = _link(threshold)
     crowded = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
     if crowded.isEmpty():
-        return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_link, "src long, dst long")
+        return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "src long, dst long")
     usual = cells.join(crowded, "cell", "left_anti").repartition("cell")
-    found = usual.sortWithinPartitions("cell").mapInPandas(_link, "src long, dst long")
+    found = usual.sortWithinPartitions("cell").mapInPandas(compare, "src long, dst long")
     blocks = F.ceil(F.col("n") * 2 / hot).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
     pairs = (
@@ -175,9 +228,9 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
+        .select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *carried)
     )
-    return found.unionByName(pairs.repartition("cell").sortWithinPartitions("cell").mapInPandas(_link, "src long, dst long"))
+    return found.unionByName(pairs.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "src long, dst long"))
 
 
 def _groups(marked: DataFrame) -> DataFrame:
@@ -205,22 +258,115 @@ def _digest(text: F.Column) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group, of the group's smallest id, columns unchanged.
-
-    A null id is a group's smallest only where all its ids are null. Groups that share their
-    smallest id, null too, each keep a row of their own; among rows of that id in one group the
-    text of the smallest digest stays, and its repeats stay once. Null text counts as empty.
+def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the word fingerprints in the place of the text, which is the last column."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(at, _SLICE)
+            prints = pa.array([word_prints(t) for t in part.columns[-1].to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], prints], names=[*part.schema.names[:-1], "prints"])
+
+
+def _candidates(marked: DataFrame, hot: int) -> DataFrame:
+    """(_digest, head, n, bytes) of the distinct texts of rows (doc_id, _digest, bytes, prints)
+    that lie in a group of candidates, with the size of the group named head."""
+    texts = cut(marked.groupBy("_digest").agg(F.first("prints").alias("prints"), F.first("bytes").alias("bytes")).withColumn("node", F.xxhash64("prints")))
+    sets = cut(texts.select("node", F.posexplode("prints").alias("k", "fp")).groupBy("k", "fp").agg(F.min("node").alias("name"), F.max("node").alias("other")))
+    # Texts that share a fingerprint are joined to the one that gives it its name.
+    shared = sets.where("name <> other").select("k", "fp", "name")
+    equal = texts.select("node", F.posexplode("prints").alias("k", "fp")).join(shared, ["k", "fp"]).where("node <> name").select(F.col("node").alias("src"), F.col("name").alias("dst"))
+    groups = connected_components(equal.unionByName(links(sets, hot, WORD_BITS)))
+    named = texts.join(groups, "node", "left").select("_digest", "bytes", F.coalesce("component", "node").alias("head"))
+    named = cut(named)
+    sizes = cut(named.groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")).where("n > 1"))
+    return cut(named.join(sizes, "head").select("_digest", "head", "n", "all_bytes"))
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the distinct hashed shingles in the place of the text, which is the last column."""
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(at, _SLICE)
+            sets = [np.fromiter({digest(s, SEED) for s in shingles(_words(t), NEAR_WIDTH)}, "<u8").tobytes() for t in part.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], names=[*part.schema.names[:-1], "shingles"])
+
+
+def near_edges(sets: list[np.ndarray], least: float = NEAR) -> Iterator[tuple[int, int]]:
+    """(place, root) edges that join all sets linked through pairs of similarity least or more.
+    Empty sets are equal. Shared shingles are counted through an index of all shingles; each set
+    reached is compared with those not reached yet."""
+    sizes = np.array([len(s) for s in sets])
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    ends = np.cumsum(np.bincount(place, minlength=len(every)))
+    begins = np.r_[0, ends[:-1]]
+    bounds = np.r_[0, np.cumsum(sizes)]
+    rest = np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        if not rest[root]:
+            continue
+        rest[root] = False
+        queue = [root]
+        while queue and rest.any():
+            now = queue.pop()
+            own = place[bounds[now] : bounds[now + 1]]
+            own = own[ends[own] - begins[own] > 1]
+            held = [holders[begins[x] : ends[x]] for x in own]
+            both = np.bincount(np.concatenate(held), minlength=len(sets)) if held else np.zeros(len(sets), np.int64)
+            near = np.flatnonzero(rest & (both * (1 + least) >= least * (sizes[now] + sizes) - 1e-9))
+            rest[near] = False
+            queue.extend(near.tolist())
+            yield from ((int(x), root) for x in near)
+
+
+def _exact(frame: pd.DataFrame) -> pd.DataFrame:
+    names = frame["_digest"].to_list()
+    found = list(near_edges([np.frombuffer(s, "<u8") for s in frame["shingles"]]))
+    return pd.DataFrame({"src": [names[a] for a, _ in found], "dst": [names[b] for _, b in found]}, columns=["src", "dst"])
+
+
+def _near_texts(docs: DataFrame, marked: DataFrame, hot: int, block: int) -> DataFrame:
+    """(node, component) of the digests of texts linked by the similarity of their shingles."""
+    wanted = _candidates(marked, hot)
+    if wanted.count() * 128 <= SMALL:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(_digest(F.col("text")).alias("_digest"), F.col("text").cast("string").alias("text"))
+    found = texts.join(wanted, "_digest").groupBy("_digest", "head", "n", "all_bytes").agg(F.first("text").alias("text"))
+    blocks = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("all_bytes") * 2 / BLOCK_BYTES)).cast("int")
+    whole = (F.col("n") <= block) & (F.col("all_bytes") <= BLOCK_BYTES)
+    sets = cut(found.mapInArrow(_shingle_sets, "_digest binary, head long, n long, all_bytes long, shingles binary").withColumn("blocks", F.when(whole, 1).otherwise(blocks)))
+    own = F.pmod(F.xxhash64("_digest"), F.col("blocks").cast("long")).cast("int")
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
+    dealt = dealt.select("head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "_digest", "shingles")
+    return connected_components(cut(dealt.groupBy("head", "lo", "hi").applyInPandas(_exact, "src binary, dst binary")))
+
+
+def without_near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """One row of each group of near copies, of the group's smallest id, columns unchanged.
+
+    Two texts are near copies where their sets of five-word shingles (fewer words: the whole
+    sequence) have a Jaccard similarity of 0.8 or more; groups are what such pairs connect. Every
+    pair that is linked was compared exactly; which pairs are compared is left to the word
+    fingerprints, whose measured recall the README gives.
+
+    Null text counts as empty, and texts of no words are equal. A null id is a group's smallest
+    only where all its ids are null. Groups that share their smallest id, null too, each keep a
+    row of their own; among rows of that id in one group the text of the smallest digest stays,
+    and its repeats stay once. An empty table gives no rows.
 
     Rows are found again by id and digest of the text; ids join as text, null as a word of its
     own, so that the join and the choice among repeated rows share one exchange of the documents."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
     digest = _digest(F.col("text")).alias("_digest")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, F.col("text").cast("string").alias("text"))
-    marked = cut(rows.mapInArrow(_fingerprints, "doc_id long, _digest binary, fp long"))
-    least = marked.join(_groups(marked), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = least.groupBy("component", "doc_id").agg(F.min("_digest").alias("_digest")).select(name, "_digest")
+    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("bytes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, size, F.col("text").cast("string").alias("text"))
+    marked = cut(rows.mapInArrow(_word_prints, "doc_id long, _digest binary, bytes long, prints array<long>"))
+    near = cut(_near_texts(docs, marked, hot, block))
+    grouped = marked.join(near.withColumnRenamed("node", "_digest"), "_digest", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")).alias("least")
+    heads = grouped.groupBy(F.coalesce("component", "_digest")).agg(least).select("least.doc_id", "least._digest").select(name, "_digest")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name, digest)
     kept = whole.join(heads, ["_id", "_digest"], "left_semi")
-    once = Window.partitionBy("_id", "_digest").orderBy(F.xxhash64("_row"))
+    once = Window.partitionBy("_id", "_digest").orderBy(row_hash(docs))
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
