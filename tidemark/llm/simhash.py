@@ -162,30 +162,49 @@ def _stars(fp: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.nd
     return left, right
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest place linked with each of n places, through any of the edges."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _compare(cell: np.ndarray, fp: np.ndarray, name: np.ndarray, threshold: int) -> pd.DataFrame:
-    """Edges between names within each run of equal cells; cell is sorted."""
+    """Within each run of equal cells, an edge from each linked row to the smallest name that it
+    is linked with there, through any links: cells that hold the same rows give the same edges."""
+    order = np.lexsort((name, cell))
+    cell, fp, name = cell[order], fp[order], name[order]
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for start, size in zip(starts[sizes > 24], sizes[sizes > 24], strict=True):
-        own, first = np.unique(fp[start : start + size], return_index=True)
-        a, b = _stars(own, threshold)
-        left += [name[start + first[x]] for x in a]
-        right += [name[start + first[x]] for x in b]
-    small = np.repeat((sizes > 1) & (sizes <= 24), sizes)
-    cell, fp, name = cell[small], fp[small], name[small]
+        a, b = _stars(fp[start : start + size], threshold)
+        left += [start + x for x in a]
+        right += [start + x for x in b]
+    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 24), sizes))
+    near_cell, near_fp = cell[small], fp[small]
     for shift in range(1, 24):
-        if shift >= len(cell):
+        if shift >= len(small):
             break
-        same = np.flatnonzero(cell[shift:] == cell[:-shift])
+        same = np.flatnonzero(near_cell[shift:] == near_cell[:-shift])
         if not len(same):
             break
-        near = same[np.bitwise_count(fp[same] ^ fp[same + shift]) <= threshold]
-        left.append(name[near])
-        right.append(name[near + shift])
+        near = same[np.bitwise_count(near_fp[same] ^ near_fp[same + shift]) <= threshold]
+        left.append(small[near])
+        right.append(small[near + shift])
     a, b = np.concatenate(left), np.concatenate(right)
-    keep = a != b
-    return pd.DataFrame({"src": a[keep], "dst": b[keep]}).drop_duplicates()
+    linked = np.unique(np.r_[a, b])
+    root = _roots(np.searchsorted(linked, a), np.searchsorted(linked, b), len(linked))
+    src, dst = name[linked], name[linked[root]]
+    keep = src != dst
+    return pd.DataFrame({"src": src[keep], "dst": dst[keep]}).drop_duplicates()
 
 
 def _link(threshold: int):
