@@ -184,7 +184,9 @@ def sequence_id(prefix: str, number: Column | str, width: int = 5) -> Column:
 def redact(text: Column | str, limit: int | None = None) -> Column:
     """URLs, e-mail addresses and phone numbers as marks, white space squeezed, cut at limit."""
     t = F.regexp_replace(_c(text), r"https?://[^ \t\r\n]+", "[URL]")
-    t = F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
+    # A match takes its whole run of local characters, so that none starts within one: without
+    # this every character of a long run would be tried as a start.
+    t = F.regexp_replace(t, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
     t = F.regexp_replace(t, r"\+?[0-9][0-9() -]{7,}[0-9]", "[PHONE]")
     t = F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "))
     return t if limit is None else F.substring(t, 1, limit)

@@ -68,8 +68,9 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, t: st
 def nearest_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, carry: list[str], tolerance: float | None = None) -> DataFrame:
     """Left rows with the nearest right row of the key on either side: carry columns and distance.
 
-    Both sides go in one ordered pass per key: the last right row before and the first after are
-    compared, and of equal distances the earlier wins. Right rows of one time count by their
+    Both sides go in two ordered passes per key, forward for the last right row before and
+    backward for the first after, each a running last, so that a key's rows cost one step each.
+    Of equal distances the earlier wins. Right rows of one time count by their
     smallest carried values. Without a match, or beyond tolerance, the carried columns are null.
     """
     fact = F.struct(F.col(rt).alias("t"), *[F.col(c) for c in carry])
@@ -78,7 +79,8 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
     both = rows.unionByName(once, allowMissingColumns=True)
     along = Window.partitionBy(key).orderBy("_t", "_side")
     back = F.last("_fact", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_fact", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    against = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side"))
+    ahead = F.last("_fact", ignorenulls=True).over(against.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("_back", back).withColumn("_ahead", ahead).where("_side = 1")
     db, da = F.col("_t") - F.col("_back.t"), F.col("_ahead.t") - F.col("_t")
     pick = F.when(F.col("_back").isNull(), F.col("_ahead")).when(F.col("_ahead").isNull() | (db <= da), F.col("_back")).otherwise(F.col("_ahead"))
