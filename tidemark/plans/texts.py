@@ -30,26 +30,26 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_TOK}, g AS (SELECT t.token, quality = 1 AS good FROM t JOIN labels USING (doc_id)), c AS (SELECT token, count(*) FILTER (good) AS n_in, count(*) FILTER (NOT good) AS n_out FROM g GROUP BY 1), s AS (SELECT sum(n_in) AS t_in, sum(n_out) AS t_out, count(*) AS v FROM c)
-SELECT token, n_in, n_out, round(((n_in / t_in) + 1e-6) / ((n_out / t_out) + 1e-6), 6) AS lift, round(ln(((n_in + 0.5) / (t_in + 0.5 * v)) / ((n_out + 0.5) / (t_out + 0.5 * v))), 6) AS log_lift FROM c, s WHERE n_in + n_out >= 5"""
+SELECT token, n_in, n_out, round(((n_in / t_in) + 1e-6) / ((n_out / t_out) + 1e-6), 6) AS lift, round(ln(((n_in + 0.5) / (t_in + 0.5 * v)) / ((n_out + 0.5) / (t_out + 0.5 * v))), 6) AS log_lift FROM c, s"""
 )
 def token_frequency_lift(spark: SparkSession, d: str) -> DataFrame:
-    """Token counts inside and outside a class, both lifts (A30, A32, X03); only tokens that occur 5 times or more, as in the SQL."""
+    """Token counts inside and outside a class, both lifts, of every token."""
     rows = _tokens(spark, d).join(table(spark, d, "labels", "doc_id", "quality"), "doc_id").select("token", (F.col("quality") == 1).alias("good"))
-    out = stats.lift(rows, "token", "good").where(F.col("n_in") + F.col("n_out") >= 5)
+    out = stats.lift(rows, "token", "good")
     return out.select("token", "n_in", "n_out", F.round("lift", 6).alias("lift"), F.round("log_lift", 6).alias("log_lift"))
 
 
 @query(
     f"""WITH {_TOK}, c AS (SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM t GROUP BY 1)
 SELECT token, n, docs, sources, first_doc, CASE WHEN regexp_matches(token, '^[0-9][0-9.,%]*$') THEN 'numeric' WHEN regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(token, '^[A-Za-z]+$') THEN 'latin' ELSE 'other' END AS kind,
-CASE WHEN token IN ('license', 'gnu', 'mit', 'apache') THEN 'legal' WHEN token IN ('the', 'and', 'of', 'to') THEN 'function' WHEN n / docs >= 2 AND sources >= 2 THEN 'candidate' WHEN n / docs >= 2 THEN 'single_group' ELSE 'common' END AS category FROM c WHERE docs >= 3"""
+CASE WHEN token IN ('license', 'gnu', 'mit', 'apache') THEN 'legal' WHEN token IN ('the', 'and', 'of', 'to') THEN 'function' WHEN n / docs >= 2 AND sources >= 2 THEN 'candidate' WHEN n / docs >= 2 THEN 'single_group' ELSE 'common' END AS category FROM c"""
 )
 def token_document_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Spread of tokens over documents and sources, their type and category (A31, X13, X14); only tokens in 3 documents or more, as in the SQL."""
+    """Spread of every token over documents and sources, its type and category."""
     # Once per token, source and document first: two distinct counts in one pass would expand every row.
     per_doc = _tokens(spark, d).groupBy("token", "source", "doc_id").agg(F.count("*").alias("n"))
     per_source = per_doc.groupBy("token", "source").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
-    c = per_source.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.count("source").alias("sources"), F.min("first_doc").alias("first_doc")).where("docs >= 3")
+    c = per_source.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.count("source").alias("sources"), F.min("first_doc").alias("first_doc"))
     kinds = {"legal": ("license", "gnu", "mit", "apache"), "function": ("the", "and", "of", "to")}
     return c.select("token", "n", "docs", "sources", "first_doc", text.token_type("token").alias("kind"), text.token_category(F.col("token"), F.col("n") / F.col("docs"), F.col("sources"), kinds).alias("category"))
 
@@ -216,11 +216,18 @@ def longest_text(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT name AS feature, CASE WHEN regexp_matches(lower(name), 'mfcc') THEN 'spectral_shape' WHEN regexp_matches(lower(name), 'spectral|centroid|rolloff|flatness|bandwidth') THEN 'spectral' WHEN regexp_matches(lower(name), 'onset|flux') THEN 'change' WHEN regexp_matches(lower(name), 'rms|energy|silence|loud') THEN 'level' WHEN regexp_matches(lower(name), 'zcr|zero') THEN 'noise' ELSE 'other' END AS grp FROM (SELECT unnest(['rms_mean', 'mfcc_1', 'spectral_centroid', 'onset_rate', 'zcr', 'duration']) AS name)")
+_FEATURES = ("RMS_mean", "mfcc_1", "Spectral_centroid", "onset_rate", "zcr", "duration")
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, {list(_FEATURES)!r}[1 + p_partkey % {len(_FEATURES)}] || '_' || p_size AS feature FROM part)
+SELECT p_partkey, feature, CASE WHEN lower(feature) LIKE '%mfcc%' THEN 'spectral_shape' WHEN regexp_matches(lower(feature), 'spectral|centroid|rolloff|flatness|bandwidth') THEN 'spectral' WHEN regexp_matches(lower(feature), 'onset|flux') THEN 'change' WHEN regexp_matches(lower(feature), 'rms|energy|silence|loud') THEN 'level' WHEN regexp_matches(lower(feature), 'zcr|zero') THEN 'noise' ELSE 'other' END AS grp FROM f"""
+)
 def feature_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Feature names as groups."""
-    rows = spark.createDataFrame([(n,) for n in ("rms_mean", "mfcc_1", "spectral_centroid", "onset_rate", "zcr", "duration")], "feature string")
-    return rows.select("feature", scalar.feature_group("feature").alias("grp"))
+    """Feature names, one a part, as groups."""
+    name = F.element_at(F.array(*[F.lit(x) for x in _FEATURES]), (F.col("p_partkey") % len(_FEATURES) + 1).cast("int"))
+    rows = table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", F.concat_ws("_", name, "p_size").alias("feature"))
+    return rows.select("p_partkey", "feature", scalar.feature_group("feature").alias("grp"))
 
 
 @query(
