@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, text
 from tidemark.functions.text import best_ratio
-from tidemark.operators import folds, fsm, graph, stats, windows
+from tidemark.operators import folds, fsm, graph, scoring, stats, windows
 from tidemark.operators import intervals as iv
 from tidemark.sources import tabular
 
@@ -139,7 +139,64 @@ def test_machine_confirms_absorbs_and_closes_at_the_pending_time():
     kind, start, end, *_ = m.out[0]
     assert (kind, start, end) == ("closed", 0.0, 12.0) and m.out[0][6] == 4
     strict = fsm.StrictEvidence(fsm.Limits(), 0.0).walk(_rows((0, "start_support"), (5, "hard"), (10, "continuity"), (12, "end_support"), (14, "end_support")))
-    assert strict.out[0][6] == 3
+    assert strict.out[0][6] == 4
+
+
+def _strict(*cues):
+    lim = fsm.Limits(opening_sec=15, support_sec=15, support_rows=3)
+    return [(o[0], o[1], o[2], o[4]) for o in fsm.StrictEvidence(lim, 0.0).walk(_rows(*cues)).out]
+
+
+def test_strict_machine_by_hand():
+    # a start is confirmed by hard evidence within 15 s and two rows, or goes to review
+    assert _strict((0, "start_support"), (15, "hard"))[0] == ("open", 0.0, 15.0, "end of rows")
+    assert _strict((0, "start_support"), (16, "hard")) == [("review", 0.0, 16.0, "not confirmed in time")]
+    assert _strict((0, "start_support"), (1, "weak"), (2, "weak"), (3, "hard")) == [("review", 0.0, 3.0, "not confirmed in time")]
+    # end support does not cancel a start, and the second row after it may still confirm it
+    assert _strict((0, "continuity"), (5, "end_support"), (6, "hard"))[0][:2] == ("open", 0.0)
+    # support is capped above 15 s from the third row on
+    inside = _strict((0, "hard"), (1, "continuity"), (10, "continuity"), (17, "continuity"), (40, "weak"))
+    assert inside == [("closed", 0.0, 17.0, "no hard evidence in time")]
+    assert _strict((0, "hard"), (1, "continuity"), (17, "continuity"), (20, "weak"))[0][0] == "open"
+    # end support ends on a hard row too; a waiting end is resumed by hard evidence alone
+    assert _strict((0, "hard"), (5, "hard end_support"), (7, "end_support")) == [("closed", 0.0, 5.0, "low flow")]
+    assert _strict((0, "hard"), (5, "end_support"), (7, "continuity"), (9, "end_support")) == [("closed", 0.0, 5.0, "low flow")]
+    assert _strict((0, "hard"), (5, "end_support"), (7, "hard"))[0][0] == "open"
+    # weak, sound or scene rows alone are reviewed, but for plainly weak ones
+    assert [o[3] for o in _strict((0, "fuzzy_only weak"), (1, "audio_start weak"), (2, ""))] == ["weak, sound or scene alone"] * 3
+    assert _strict((0, "weak")) == []
+    # what is left open over 180 s is unresolved besides
+    long_ = _strict(*((k, "hard") for k in range(0, 200, 10)))
+    assert long_ == [("open", 0.0, 190.0, "end of rows"), ("unresolved", 0.0, 190.0, "long, left open")]
+
+
+def test_weak_span_runs_to_the_last_weak_row():
+    span = lambda *cues: fsm.Evidence(fsm.Limits(), 0.0).walk(_rows(*cues)).out[0][fsm.SCHEMA.split(", ").index("weak_span double")]
+    assert span((0, "hard"), (4, "weak"), (9, "weak"), (20, "hard"), (22, "weak"), (24, "weak")) == 5.0
+    assert span((0, "hard"), (4, "weak"), (12, "weak")) == 8.0
+    assert span((0, "hard"), (4, "weak"), (9, "hard")) == 0.0
+
+
+def test_ultra_needs_two_kinds(spark):
+    columns = "start double, end double, end_reason string, n_rows long, n_hard long, n_start_support long, n_continuity long, n_ocr_hard long, n_recent_hard long, n_audio long, weak_span double, opening_only boolean, fuzzy_only boolean, audio_only boolean, scene_only boolean, kinds long"
+    rows = [(0.0, 60.0, "end support", 4, 4, 0, 0, 4, 4, 4, 0.0, False, False, False, False, k) for k in (1, 2)]
+    assert [r.ultra for r in scoring.scored(frame(spark, rows, columns)).orderBy("kinds").collect()] == [False, True]
+    limits = frame(spark, [(False, 2, 0.18, 0.65), (False, 1, 0.9, 0.9), (True, 0, 0.0, 0.0), (False, 3, 0.17, 0.9)], "u boolean, h int, d double, s double")
+    assert [r.x for r in limits.select(scoring.relaxed_ultra(F.col("u"), F.col("h"), F.col("d"), F.col("s")).alias("x")).collect()] == [True, False, True, False]
+
+
+def test_redaction_takes_each_address_and_is_linear(spark):
+    rows = [("a@b.com_x@y.org and z@q.net",), ("no@domain x.y+z@mail.co.uk.",), ("x" * 400_000,), ("a@b" * 3,)]
+    got = [r.t for r in frame(spark, rows, "s string").select(scalar.redact("s").alias("t")).collect()]
+    assert got == ["[EMAIL][EMAIL] and [EMAIL]", "no@domain [EMAIL].", "x" * 400_000, "a@b" * 3]
+
+
+def test_nearest_join_takes_many_rows_of_one_key(spark):
+    left = spark.range(60_000).select(F.lit(1).alias("k"), (F.col("id") * 1.0).alias("lt"))
+    right = spark.range(6_000).select(F.lit(1).alias("k"), (F.col("id") * 10.0).alias("rt"), F.col("id").alias("x"))
+    got = iv.nearest_join(left, right, "k", "lt", "rt", ["x"])
+    wrong = got.where(F.col("distance") != F.abs(F.col("lt") - F.least(F.round((F.col("lt") - 0.01) / 10) * 10, F.lit(59990.0))))
+    assert got.count() == 60_000 and wrong.count() == 0
 
 
 def test_machine_reviews_notice_and_unconfirmed_support():

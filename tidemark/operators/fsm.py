@@ -22,12 +22,12 @@ OUTSIDE, OPENING, INSIDE, CLOSING = "outside", "opening", "inside", "closing"
 #: Cues that a row may carry; one that is absent is false.
 CUES = (
     "hard", "start_support", "continuity", "end_support", "weak", "opening_only", "fuzzy_only", "audio_only", "scene_only", "audio", "ocr_hard",
-    "recent_hard", "strong", "support", "known_low", "conflict", "start_high", "start_medium", "audio_start", "unreliable", "text", "product", "rise", "confirm",
+    "recent_hard", "strong", "support", "known_low", "conflict", "start_high", "start_medium", "audio_start", "unreliable", "text", "product", "rise", "confirm", "kind_product", "kind_call",
 )
 #: A row as machines see it; it pickles, so that a stream can keep the one it waits on.
 Row = namedtuple("Row", ["t", *CUES])
 COUNTS = ("hard", "start_support", "continuity", "end_support", "weak", "ocr_hard", "recent_hard", "audio")
-SCHEMA = "kind string, start double, end double, start_reason string, end_reason string, confidence string, n_rows long, " + ", ".join(f"n_{c} long" for c in COUNTS) + ", weak_span double, opening_only boolean, fuzzy_only boolean, audio_only boolean, scene_only boolean"
+SCHEMA = "kind string, start double, end double, start_reason string, end_reason string, confidence string, n_rows long, " + ", ".join(f"n_{c} long" for c in COUNTS) + ", weak_span double, opening_only boolean, fuzzy_only boolean, audio_only boolean, scene_only boolean, kinds long"
 
 
 @dataclass
@@ -71,6 +71,7 @@ class Open:
     weak_from: float | None = None
     weak_span: float = 0.0
     last_hard: float | None = None
+    kinds: int = 0
 
     def take(self, row) -> Open:
         self.end = row.t
@@ -81,10 +82,13 @@ class Open:
             self.any_[c] |= getattr(row, c)
         for c in self.all_:
             self.all_[c] &= getattr(row, c)
+        self.kinds = max(self.kinds, row.kind_product + row.kind_call)
+        # From the first weak row of a run to its last; a run that the interval ends with counts too.
         if row.weak:
             self.weak_from = row.t if self.weak_from is None else self.weak_from
-        elif self.weak_from is not None:
-            self.weak_span, self.weak_from = max(self.weak_span, row.t - self.weak_from), None
+            self.weak_span = max(self.weak_span, row.t - self.weak_from)
+        else:
+            self.weak_from = None
         if row.hard:
             self.last_hard = row.t
         return self
@@ -101,7 +105,7 @@ class Machine:
 
     def emit(self, kind: str, start: float, end: float, why: str, made: Open | None = None, confidence: str = "") -> None:
         o = made or Open(start, "", "")
-        self.out.append((kind, start, end, o.reason, why, confidence or o.confidence, o.n, *(o.counts[c] for c in COUNTS), o.weak_span, o.any_["opening_only"], o.any_["fuzzy_only"], bool(o.n) and o.all_["audio_only"], bool(o.n) and o.all_["scene_only"]))
+        self.out.append((kind, start, end, o.reason, why, confidence or o.confidence, o.n, *(o.counts[c] for c in COUNTS), o.weak_span, o.any_["opening_only"], o.any_["fuzzy_only"], bool(o.n) and o.all_["audio_only"], bool(o.n) and o.all_["scene_only"], o.kinds))
 
     def review(self, start: float, end: float, why: str) -> str:
         self.emit("review", start, end, why)
@@ -146,11 +150,7 @@ class Machine:
 
 
 class Evidence(Machine):
-    """Hard evidence opens; support alone waits for it; freshness and support caps close.
-
-    strict is the earlier form: the waiting row is not taken in when it is confirmed."""
-
-    strict = False
+    """Hard evidence opens; support alone waits for it; freshness and support caps close."""
 
     def __init__(self, limits: Limits, duration: float) -> None:
         super().__init__(limits, duration)
@@ -179,9 +179,7 @@ class Evidence(Machine):
         p = self.pend
         if row.hard:
             self.now = Open(p["t"], "support confirmed by hard evidence", "medium")
-            if not self.strict:
-                self.now.take(p["row"])
-            self.now.take(row)
+            self.now.take(p["row"]).take(row)
             self.pend = None
             return INSIDE
         if row.end_support:
@@ -209,8 +207,79 @@ class Evidence(Machine):
         return CLOSING
 
 
-class StrictEvidence(Evidence):
-    strict = True
+class StrictEvidence(Machine):
+    """The earlier form. A start waits for hard evidence within a time and a number of rows, and
+    end support does not cancel it; weak, sound or scene rows alone go to review. Freshness, the
+    support cap or end support, on a hard row too, make an end wait, and only hard evidence
+    resumes. What is left open is reported open, and when long as unresolved besides. Weak spans
+    count from the first weak row, though it came before the interval."""
+
+    def __init__(self, limits: Limits, duration: float) -> None:
+        super().__init__(limits, duration)
+        self.last_hard = self.span_from = self.weak_since = None
+        self.span_rows = 0
+
+    def before(self, row) -> None:
+        if row.hard:
+            self.last_hard, self.span_from, self.span_rows = row.t, None, 0
+        elif row.start_support or row.continuity:
+            self.span_from = row.t if self.span_from is None else self.span_from
+            self.span_rows += 1
+        if not row.weak:
+            self.weak_since = None
+        elif self.weak_since is None:
+            self.weak_since = row.t
+
+    def outside(self, i: int, row) -> str:
+        if row.opening_only:
+            return self.review(row.t, row.t, "opening notice")
+        if row.hard:
+            self.now = Open(row.t, "hard evidence", "high").take(row)
+            return INSIDE
+        if row.start_support or row.continuity:
+            self.wait(i, row, "support")
+            return OPENING
+        if row.fuzzy_only or row.audio_start or not row.weak:
+            return self.review(row.t, row.t, "weak, sound or scene alone")
+        return OUTSIDE
+
+    def opening(self, i: int, row) -> str:
+        p = self.pend
+        late = row.t - p["t"] > self.lim.opening_sec or i - p["i"] > self.lim.opening_rows
+        if late:
+            return self.review(p["t"], row.t, "not confirmed in time")
+        if row.hard:
+            self.now = Open(p["t"], "support confirmed by hard evidence", "medium").take(row)
+            self.now.n += 1
+            self.now.counts["start_support"] += 1
+            self.pend = None
+            return INSIDE
+        return OPENING
+
+    def inside(self, i: int, row) -> str:
+        span = self.now.weak_span
+        self.now.take(row)
+        self.now.weak_span = max(span, 0.0 if self.weak_since is None else row.t - self.weak_since)
+        stale = row.t - (self.now.start if self.last_hard is None else self.last_hard) > self.lim.fresh_sec
+        capped = self.span_from is not None and row.t - self.span_from > self.lim.support_sec and self.span_rows >= self.lim.support_rows
+        if stale or capped or row.end_support:
+            self.wait(i, row, "freshness or low flow")
+            return CLOSING
+        return INSIDE
+
+    def closing(self, i: int, row) -> str:
+        if row.hard:
+            return self.resume()
+        timed = row.t - self.pend["t"] >= self.lim.close_sec
+        if timed or row.end_support:
+            self.last_hard, self.span_from, self.span_rows = None, None, 0
+            return self.close("no hard evidence in time" if timed else "low flow", "medium" if timed else "high")
+        return CLOSING
+
+    def left_open(self, last) -> None:
+        super().left_open(last)
+        if last.t - self.now.start > self.lim.unresolved_sec:
+            self.emit("unresolved", self.now.start, last.t, "long, left open", self.now)
 
 
 def _level_start(machine: Machine, i: int, row, guarded: bool) -> str:

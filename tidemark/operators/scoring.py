@@ -12,7 +12,9 @@ WEIGHTS = {"start": 0.30, "continuity": 0.22, "end": 0.16, "density": 0.17, "tim
 PENALTIES = {"weak_span": 0.08, "overlong": 0.08, "opening_only": 0.30, "fuzzy_only": 0.24, "audio_only": 0.28, "scene_only": 0.32, "excess": 0.08, "thin": 0.12}
 LEAST = {"score": 0.45, "score_density": 0.20, "hard": 1, "hard_density": 0.35}
 WEAK_SPAN, LONG, THIN = 35.0, 180.0, 0.35
-ULTRA = {"score": 0.85, "score_density": 0.35, "hard": 3, "hard_density": 1.0, "ocr_hard": 2}
+ULTRA = {"score": 0.85, "score_density": 0.35, "hard": 3, "hard_density": 1.0, "ocr_hard": 2, "kinds": 2}
+#: The earlier, relaxed form.
+RELAXED_ULTRA = {"score": 0.65, "score_density": 0.18, "hard": 2}
 
 
 def scored(candidates: DataFrame, unit: float = 1.0, duration: str | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ def scored(candidates: DataFrame, unit: float = 1.0, duration: str | None = None
     out = out.withColumn("score_density", clip(F.col("score") / F.greatest(F.lit(1.0), F.col("length") / 60.0)))
     out = out.withColumn("rank_score", clip(0.65 * F.col("score") + 0.35 * F.col("score_density")))
     flags = F.col("opening_only") | F.col("fuzzy_only") | F.col("audio_only") | F.col("scene_only")
-    ultra = (F.col("score") >= ULTRA["score"]) & (F.col("score_density") >= ULTRA["score_density"]) & (F.col("n_hard") >= ULTRA["hard"]) & (F.col("hard_density") >= ULTRA["hard_density"]) & (F.col("n_ocr_hard") >= ULTRA["ocr_hard"]) & ~flags
+    ultra = (F.col("score") >= ULTRA["score"]) & (F.col("score_density") >= ULTRA["score_density"]) & (F.col("n_hard") >= ULTRA["hard"]) & (F.col("hard_density") >= ULTRA["hard_density"]) & (F.col("n_ocr_hard") >= ULTRA["ocr_hard"]) & (F.col("kinds") >= ULTRA["kinds"]) & ~flags
     return out.withColumn("ultra", ultra)
 
 
@@ -56,6 +58,11 @@ def filtered(candidates: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("failed") == "", "prediction").otherwise("review"))
 
 
+def relaxed_ultra(ultra: Column, hard: Column, score_density: Column, score: Column) -> Column:
+    """The ultra flag of the earlier budget: that of the score, or a lower set of limits."""
+    return ultra | ((hard >= RELAXED_ULTRA["hard"]) & (score_density >= RELAXED_ULTRA["score_density"]) & (score >= RELAXED_ULTRA["score"]))
+
+
 def phase_adjusted(score: Column, intro: Column, body: Column, tail: Column, after: Column, before: Column, length: Column) -> Column:
     """Rescoring by phases: an intro and a dense body add, a drop after the end and quiet around
     add, cues that go on after the end cost."""
@@ -65,12 +72,18 @@ def phase_adjusted(score: Column, intro: Column, body: Column, tail: Column, aft
     )
 
 
-def objectives(recall: Column, precision: Column, boundary: Column, false_ratio: Column) -> dict[str, Column]:
-    """Composite objectives of a configuration."""
-    return {
-        "balanced": 0.4 * recall + 0.35 * precision + 0.25 * boundary,
-        "recall_first": 0.6 * recall + 0.2 * precision + 0.2 * boundary,
-        "precision_first": 0.2 * recall + 0.6 * precision + 0.2 * boundary,
-        "boundary_first": 0.25 * recall + 0.25 * precision + 0.5 * boundary,
-        "low_false": 0.35 * recall + 0.35 * precision + 0.3 * (1.0 - F.least(F.lit(1.0), false_ratio)),
-    }
+# Weights of the composite objectives over the metrics of a configuration.
+OBJECTIVES = {
+    "balanced": {"recall": 0.35, "precision": 0.25, "boundary": 0.15, "false_ratio": -0.15, "over": -0.05, "review": -0.05},
+    "precision_safe": {"precision": 0.42, "boundary": 0.22, "recall": 0.16, "false_ratio": -0.14, "review": -0.06},
+    "recall_safe": {"recall": 0.50, "precision": 0.18, "boundary": 0.12, "missed_ratio": -0.10, "false_ratio": -0.05, "review": -0.05},
+    "low_overprediction": {"precision": 0.36, "boundary": 0.22, "recall": 0.18, "unused": 0.14, "false_ratio": -0.10},
+    "short_safe": {"short_recall": 0.40, "recall": 0.25, "precision": 0.15, "boundary": 0.10, "false_ratio": -0.10},
+}
+
+
+def objectives(metrics: dict[str, Column], predicted_ratio: Column) -> dict[str, Column]:
+    """The five composite objectives; unused is what predictions leave of the whole, and a
+    missing metric counts as 0."""
+    known = {k: F.coalesce(c, F.lit(0.0)) for k, c in metrics.items()} | {"unused": 1 - clip(F.coalesce(predicted_ratio, F.lit(0.0)))}
+    return {name: sum((known[k] * w for k, w in weights.items()), F.lit(0.0)) for name, weights in OBJECTIVES.items()}

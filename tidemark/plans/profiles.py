@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import folds, stats, windows
+from tidemark.operators import folds, scoring, stats, windows
 from tidemark.plans.registry import P, points, query, table
 
 
@@ -294,14 +294,47 @@ def scalar_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT * FROM (VALUES (1, ' 12.50 ', 'Yes', '1:30', 'o'), (2, 'nan', 'TRUE ', '01:02:03', ''), (3, '', 'no', '75', 'maybe'), (4, 'abc', NULL, 'x', 'N'), (5, '3', '1', NULL, 'yes')) v(id, a, b, c, e))
-SELECT id::INTEGER AS id, coalesce(CASE WHEN isfinite(try_cast(trim(a) AS DOUBLE)) THEN try_cast(trim(a) AS DOUBLE) END, 0) AS lenient, CASE WHEN isfinite(try_cast(trim(a) AS DOUBLE)) THEN try_cast(trim(a) AS DOUBLE) END AS strict, coalesce(lower(trim(b)) IN ('true', '1', 'yes', 'y'), false) AS truth,
-CASE id WHEN 1 THEN 90.0 WHEN 2 THEN 3723.0 WHEN 3 THEN 75.0 END::DOUBLE AS seconds, CASE id WHEN 1 THEN 'true' WHEN 2 THEN 'missing' WHEN 3 THEN 'uncertain' WHEN 4 THEN 'false' ELSE 'true' END AS tri FROM s"""
+    """WITH s AS (SELECT o_orderkey AS id, o_orderkey % 97 AS n, CASE o_orderkey % 5 WHEN 0 THEN ' ' || (o_orderkey % 97) || '.50 ' WHEN 1 THEN 'nan' WHEN 2 THEN '' WHEN 3 THEN 'abc' ELSE (o_orderkey % 97)::VARCHAR END AS a,
+CASE o_custkey % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'TRUE ' WHEN 2 THEN 'no' WHEN 3 THEN '1' END AS b, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 59) || ':' || (o_custkey % 60) WHEN 1 THEN (o_orderkey % 3) || ':' || (o_orderkey % 59) || ':' || (o_custkey % 60) WHEN 2 THEN (o_orderkey % 97)::VARCHAR ELSE 'x' END AS c,
+CASE o_custkey % 4 WHEN 0 THEN 'o' WHEN 1 THEN '' WHEN 2 THEN 'maybe' ELSE 'N' END AS e, CASE WHEN o_custkey % 7 > 0 THEN (o_orderkey % 59)::VARCHAR END AS m, CASE WHEN o_orderkey % 6 > 0 THEN (o_custkey % 75)::VARCHAR END AS z FROM orders),
+u AS (SELECT *, string_split(c, ':') AS part FROM s)
+SELECT id, coalesce(CASE WHEN isfinite(try_cast(trim(a) AS DOUBLE)) THEN try_cast(trim(a) AS DOUBLE) END, 0) AS lenient, CASE WHEN isfinite(try_cast(trim(a) AS DOUBLE)) THEN try_cast(trim(a) AS DOUBLE) END AS strict, coalesce(lower(trim(b)) IN ('true', '1', 'yes', 'y'), false) AS truth,
+CASE len(part) WHEN 3 THEN part[1]::DOUBLE * 3600 + part[2]::DOUBLE * 60 + part[3]::DOUBLE WHEN 2 THEN part[1]::DOUBLE * 60 + part[2]::DOUBLE ELSE try_cast(c AS DOUBLE) END AS seconds, CASE e WHEN 'o' THEN 'true' WHEN '' THEN 'missing' WHEN 'N' THEN 'false' ELSE 'uncertain' END AS tri,
+CASE WHEN m IS NOT NULL AND z IS NOT NULL AND z::DOUBLE < 60 THEN m::DOUBLE * 60 + z::DOUBLE END AS at, CASE WHEN m IS NULL AND z IS NULL THEN 'both_missing' WHEN m IS NULL THEN 'minute_missing' WHEN z IS NULL THEN 'second_missing' WHEN z::DOUBLE >= 60 THEN 'second_range' ELSE 'ok' END AS issue FROM u"""
 )
 def lenient_casts(spark: SparkSession, d: str) -> DataFrame:
-    """Text as numbers, truths, times and three-valued answers."""
-    rows = spark.createDataFrame([(1, " 12.50 ", "Yes", "1:30", "o"), (2, "nan", "TRUE ", "01:02:03", ""), (3, "", "no", "75", "maybe"), (4, "abc", None, "x", "N"), (5, "3", "1", None, "yes")], "id int, a string, b string, c string, e string")
-    return rows.select("id", scalar.lenient_number("a").alias("lenient"), scalar.strict_number("a").alias("strict"), scalar.truth("b").alias("truth"), scalar.seconds_of("c").alias("seconds"), scalar.tri_state("e").alias("tri"))
+    """Text cells made of order rows as numbers, truths, times, three-valued answers, and minutes
+    beside seconds (P01-P04, P18, P36)."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    text, part = lambda x: x.cast("string"), lambda x, n: (x % n).cast("string")
+    rows = table(spark, d, "orders", "o_orderkey", "o_custkey").select(
+        o.alias("id"),
+        F.when(o % 5 == 0, F.concat(F.lit(" "), part(o, 97), F.lit(".50 "))).when(o % 5 == 1, "nan").when(o % 5 == 2, "").when(o % 5 == 3, "abc").otherwise(text(o % 97)).alias("a"),
+        F.when(c % 5 == 0, "Yes").when(c % 5 == 1, "TRUE ").when(c % 5 == 2, "no").when(c % 5 == 3, "1").alias("b"),
+        F.when(o % 4 == 0, F.concat_ws(":", part(o, 59), part(c, 60))).when(o % 4 == 1, F.concat_ws(":", part(o, 3), part(o, 59), part(c, 60))).when(o % 4 == 2, text(o % 97)).otherwise("x").alias("c"),
+        F.when(c % 4 == 0, "o").when(c % 4 == 1, "").when(c % 4 == 2, "maybe").otherwise("N").alias("e"),
+        F.when(c % 7 > 0, part(o, 59)).alias("m"),
+        F.when(o % 6 > 0, part(c, 75)).alias("z"),
+    )
+    at, issue = scalar.minute_second("m", "z")
+    return rows.select("id", scalar.lenient_number("a").alias("lenient"), scalar.strict_number("a").alias("strict"), scalar.truth("b").alias("truth"), scalar.seconds_of("c").alias("seconds"), scalar.tri_state("e").alias("tri"), at.alias("at"), issue.alias("issue"))
+
+
+_METRIC_NAMES = ("recall", "precision", "boundary", "false_ratio", "over", "review", "missed_ratio", "short_recall")
+
+
+@query(
+    f"""WITH m AS (SELECT p_partkey, {', '.join(f"(p_partkey * {37 + 12 * k} % 101) / 100.0 AS {n}" for k, n in enumerate(_METRIC_NAMES))}, (p_size * 7 % 130) / 100.0 AS used FROM part)
+SELECT p_partkey, round(0.35 * recall + 0.25 * "precision" + 0.15 * boundary - 0.15 * false_ratio - 0.05 * "over" - 0.05 * review, 6) AS balanced, round(0.42 * "precision" + 0.22 * boundary + 0.16 * recall - 0.14 * false_ratio - 0.06 * review, 6) AS precision_safe,
+round(0.5 * recall + 0.18 * "precision" + 0.12 * boundary - 0.1 * missed_ratio - 0.05 * false_ratio - 0.05 * review, 6) AS recall_safe, round(0.36 * "precision" + 0.22 * boundary + 0.18 * recall + 0.14 * (1 - least(1, greatest(0, used))) - 0.1 * false_ratio, 6) AS low_overprediction,
+round(0.4 * short_recall + 0.25 * recall + 0.15 * "precision" + 0.1 * boundary - 0.1 * false_ratio, 6) AS short_safe FROM m""".replace(" AS precision,", ' AS "precision",').replace(" AS over,", ' AS "over",')
+)
+def objective_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The five composite objectives over metric rows, one a part."""
+    p = F.col("p_partkey")
+    metrics = {n: p * (37 + 12 * k) % 101 / 100.0 for k, n in enumerate(_METRIC_NAMES)}
+    scores = scoring.objectives(metrics, F.col("p_size") * 7 % 130 / 100.0)
+    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", *[F.round(c, 6).alias(n) for n, c in scores.items()])
 
 
 _ORDERS = "r AS (SELECT o_custkey, o_orderkey, o_totalprice / 1000.0 AS len, (o_orderkey * 37 % 101) / 100.0 AS score, o_orderkey % 7 = 0 AS ultra, sum(o_totalprice / 1000.0) OVER (PARTITION BY o_custkey) AS total FROM orders)"
@@ -326,10 +359,11 @@ def budget_guard(spark: SparkSession, d: str) -> DataFrame:
     return folds.budget_guard(_budget_rows(spark, d), "o_custkey", "o_orderkey", "len", order, F.lit(900.0), F.lit(1200.0), F.col("ultra"))
 
 
-@query(_sql_budget("score DESC, o_orderkey", "ultra", "false", 1200.0))
+@query(_sql_budget("score DESC, o_orderkey", "(ultra OR (k.o_orderkey % 4 >= 2 AND (k.o_orderkey * 53 % 101) / 100.0 >= 0.18 AND score >= 0.65))", "false", 1200.0))
 def budget_guard_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The same in rank order alone, with the relaxed ultra flag."""
-    return folds.budget_guard(_budget_rows(spark, d), "o_custkey", "o_orderkey", "len", [F.desc("score"), F.col("o_orderkey")], F.lit(900.0), F.lit(1200.0), F.col("ultra"))
+    relaxed = scoring.relaxed_ultra(F.col("ultra"), F.col("o_orderkey") % 4, F.col("o_orderkey") * 53 % 101 / 100.0, F.col("score"))
+    return folds.budget_guard(_budget_rows(spark, d), "o_custkey", "o_orderkey", "len", [F.desc("score"), F.col("o_orderkey")], F.lit(900.0), F.lit(1200.0), relaxed)
 
 
 @query(_sql_budget("score DESC, len, o_orderkey", "false", "true", 1500.0))

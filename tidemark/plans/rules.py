@@ -13,7 +13,7 @@ from tidemark.plans.registry import CELL, GAP, HOUR, P, of, points, query, sql_c
 _T0 = 1704067200.0
 
 _CUES = f"""{P}, q AS (SELECT *, event_type = 'purchase' AND value >= 40 AS hard, event_type = 'click' AND value >= 20 AS start_support, event_type = 'view' AS continuity, event_type = 'error' AND value >= 25 AS end_support, event_type = 'signup' AS weak,
-event_type = 'purchase' AND t - {_T0} < {36 * HOUR} AND value < 80 AS opening_only, event_type = 'click' AND value < 24 AS audio_only, false AS scene_only, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM p)"""
+event_type = 'purchase' AND t - {_T0} < {36 * HOUR} AND value < 80 AS opening_only, event_type = 'click' AND value < 24 AS audio_only, false AS scene_only, event_type = 'click' AND value >= 50 AS audio_start, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END + CASE WHEN event_type = 'purchase' AND value >= 70 THEN 1 ELSE 0 END AS kinds, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM p)"""
 
 
 def _limits() -> fsm.Limits:
@@ -31,6 +31,7 @@ def _cues(spark: SparkSession, d: str) -> DataFrame:
         "opening_only": (k == "purchase") & (t < 36 * HOUR) & (v < 80), "fuzzy_only": F.lit(False), "audio_only": (k == "click") & (v < 24), "scene_only": F.lit(False), "audio": (k == "click") & (v >= 24), "ocr_hard": (k == "purchase") & (v >= 60),
         "recent_hard": (k == "purchase") & (v >= 50), "strong": (k == "purchase") & (v >= 30), "support": k.isin("click", "view"), "known_low": (k == "error") & (v >= 40), "conflict": (k == "error") & (v < 5), "start_high": (k == "purchase") & (v >= 60),
         "start_medium": (k == "purchase") & (v >= 20) & (v < 60), "audio_start": (k == "click") & (v >= 50), "unreliable": v < 15, "text": (k == "view") & (v >= 20), "product": (k == "signup") & (v >= 40), "rise": (k == "click") & (v >= 60), "confirm": k.isin("purchase", "view") & (v >= 15),
+        "kind_product": k.isin("purchase", "signup"), "kind_call": (k == "purchase") & (v >= 70),
     }
     return points(spark, d).select("*", *[c.alias(n) for n, c in flags.items()], F.lit(30 * 24 * HOUR).alias("duration"))
 
@@ -64,8 +65,29 @@ FROM (SELECT *, CASE st
     FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i + 1)))"""
 
 
+def sql_strict(cues: str, lim: fsm.Limits) -> str:
+    """The earlier machine as a recursive walk: what waits, starts, pauses and ends at each row."""
+    return f"""WITH RECURSIVE {cues},
+w AS (SELECT user_id, 0::BIGINT AS i, 'outside' AS st, NULL::DOUBLE AS a, NULL::DOUBLE AS pt, NULL::BIGINT AS pi, NULL::DOUBLE AS lh, NULL::DOUBLE AS sf, 0 AS sn, NULL::VARCHAR AS kind, NULL::DOUBLE AS os, NULL::DOUBLE AS oe, NULL::VARCHAR AS ow FROM (SELECT DISTINCT user_id FROM q)
+UNION ALL
+SELECT user_id, i, nst, CASE WHEN nst IN ('outside', 'opening') THEN NULL WHEN st = 'outside' THEN t WHEN st = 'opening' THEN pt ELSE a END,
+  CASE WHEN nst IN ('opening', 'closing') THEN CASE WHEN st = nst THEN pt ELSE t END END, CASE WHEN nst IN ('opening', 'closing') THEN CASE WHEN st = nst THEN pi ELSE i END END,
+  CASE WHEN st = 'closing' AND nst = 'outside' THEN NULL ELSE nlh END, CASE WHEN st = 'closing' AND nst = 'outside' THEN NULL ELSE nsf END, CASE WHEN st = 'closing' AND nst = 'outside' THEN 0 ELSE nsn END,
+  CASE WHEN nst <> 'outside' THEN NULL WHEN st = 'closing' THEN 'closed' WHEN st = 'opening' OR opening_only OR audio_start OR NOT weak THEN 'review' END,
+  CASE st WHEN 'closing' THEN a WHEN 'opening' THEN pt ELSE t END, CASE WHEN st = 'closing' THEN pt ELSE t END,
+  CASE WHEN st = 'closing' AND t - pt >= {lim.close_sec} THEN 'no hard evidence in time' WHEN st = 'closing' THEN 'low flow' WHEN st = 'opening' THEN 'not confirmed in time' WHEN opening_only THEN 'opening notice' ELSE 'weak, sound or scene alone' END
+FROM (SELECT *, CASE st
+    WHEN 'outside' THEN CASE WHEN opening_only THEN 'outside' WHEN hard THEN 'inside' WHEN support THEN 'opening' ELSE 'outside' END
+    WHEN 'opening' THEN CASE WHEN hard AND t - pt <= {lim.opening_sec} AND i - pi <= {lim.opening_rows} THEN 'inside' WHEN t - pt > {lim.opening_sec} OR i - pi > {lim.opening_rows} THEN 'outside' ELSE 'opening' END
+    WHEN 'inside' THEN CASE WHEN t - coalesce(nlh, a) > {lim.fresh_sec} OR (t - coalesce(nsf, t) > {lim.support_sec} AND nsn >= {lim.support_rows}) OR end_support THEN 'closing' ELSE 'inside' END
+    ELSE CASE WHEN hard THEN 'inside' WHEN t - pt >= {lim.close_sec} OR end_support THEN 'outside' ELSE 'closing' END END AS nst
+  FROM (SELECT w.user_id, w.st, w.a, w.pt, w.pi, q.i, q.t, q.hard, q.weak, q.end_support, q.opening_only, q.audio_start, q.start_support OR q.continuity AS support,
+    CASE WHEN q.hard THEN q.t ELSE w.lh END AS nlh, CASE WHEN q.hard THEN NULL WHEN q.start_support OR q.continuity THEN coalesce(w.sf, q.t) ELSE w.sf END AS nsf, CASE WHEN q.hard THEN 0 WHEN q.start_support OR q.continuity THEN w.sn + 1 ELSE w.sn END AS nsn
+    FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i + 1)))"""
+
+
 _WALK = sql_walk(_CUES, _limits())
-_STRICT = fsm.Limits(**{**vars(_limits()), "opening_sec": 15 * HOUR})
+_STRICT = fsm.Limits(**{**vars(_limits()), "opening_sec": 15 * HOUR, "support_sec": 15 * HOUR, "support_rows": 3})
 _EMITTED = " SELECT user_id, kind, os AS start, oe AS \"end\", ow AS end_reason FROM w WHERE kind IS NOT NULL"
 _LEFT_OPEN = " UNION ALL SELECT w.user_id, 'open', w.a, q.t, 'end of rows' FROM w JOIN (SELECT user_id, max(i) AS i, max(t) AS t FROM q GROUP BY 1) q ON w.user_id = q.user_id AND w.i = q.i WHERE w.a IS NOT NULL"
 
@@ -84,9 +106,12 @@ def fsm_trace(spark: SparkSession, d: str) -> DataFrame:
     return numbered.groupBy("user_id", "state_after").agg(F.count("*").alias("n"), F.max("i").cast("long").alias("last_row"))
 
 
-@query(sql_walk(_CUES, _STRICT) + _EMITTED + _LEFT_OPEN)
+_LONG_OPEN = _LEFT_OPEN.replace("'open'", "'unresolved'").replace("'end of rows'", "'long, left open'") + f" AND q.t - w.a > {_STRICT.unresolved_sec}"
+
+
+@query(sql_strict(_CUES, _STRICT) + _EMITTED + _LEFT_OPEN + _LONG_OPEN)
 def fsm_strict(spark: SparkSession, d: str) -> DataFrame:
-    """The earlier form, which waits longer for a start and takes no waiting row in."""
+    """The earlier form: starts confirmed in time or reviewed, ends resumed by hard evidence alone."""
     return fsm.intervals(_cues(spark, d), "user_id", "t", "event_id", "strict", _STRICT, "duration").select("user_id", "kind", "start", "end", "end_reason")
 
 
@@ -123,15 +148,15 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 _SCORED = f"""{_WALK},
 made AS (SELECT user_id, seq, kind, os AS start, oe AS "end", ow AS why FROM w WHERE kind = 'closed' UNION ALL SELECT w.user_id, w.seq, 'open', w.a, q.t, 'end of rows' FROM w JOIN (SELECT user_id, max(i) AS i, max(t) AS t FROM q GROUP BY 1) q ON w.user_id = q.user_id AND w.i = q.i WHERE w.a IS NOT NULL),
 took AS (SELECT w.user_id, w.seq, q.* EXCLUDE (user_id) FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i WHERE w.took UNION ALL SELECT w.user_id, w.seq, q.* EXCLUDE (user_id) FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.pk),
-spans AS (SELECT user_id, seq, g, max(t) FILTER (NOT weak) - min(t) FILTER (weak) AS span FROM (SELECT *, sum(CASE WHEN weak THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM took) GROUP BY 1, 2, 3),
+spans AS (SELECT user_id, seq, g, max(t) FILTER (weak) - min(t) FILTER (weak) AS span FROM (SELECT *, sum(CASE WHEN weak THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM took) GROUP BY 1, 2, 3),
 n AS (SELECT user_id, seq, count(*) AS n, count(*) FILTER (hard) AS hard, count(*) FILTER (start_support) AS ss, count(*) FILTER (continuity) AS ct, count(*) FILTER (event_type = 'purchase' AND value >= 60) AS oh, count(*) FILTER (event_type = 'purchase' AND value >= 50) AS rh,
-count(*) FILTER (event_type = 'click' AND value >= 24) AS au, bool_or(opening_only) AS oo, bool_and(audio_only) AS ao FROM took GROUP BY 1, 2),
+count(*) FILTER (event_type = 'click' AND value >= 24) AS au, bool_or(opening_only) AS oo, bool_and(audio_only) AS ao, max(kinds) AS kinds FROM took GROUP BY 1, 2),
 f AS (SELECT made.*, n.* EXCLUDE (user_id, seq), greatest(1, (made."end" - made.start) / {HOUR}) AS len, coalesce((SELECT max(span) FROM spans s WHERE s.user_id = made.user_id AND s.seq = made.seq), 0) / {HOUR} AS weak_span FROM made JOIN n ON made.user_id = n.user_id AND made.seq = n.seq),
 g AS (SELECT *, hard / greatest(1, len / 60) AS hd FROM f),
 b AS (SELECT *, least(1, hd / 4) AS dens, least(1, CASE WHEN hard > 0 THEN 1 ELSE 0.62 END + least(0.18, 0.04 * ss)) * 0.3 + least(1, (hard + 0.5 * ct + 0.3 * ss) / n) * 0.22 + CASE WHEN why = 'end support' THEN 0.86 WHEN why = 'freshness' THEN 0.68 WHEN why = 'support cap' THEN 0.58 ELSE 0.35 END * 0.16 + least(1, hd / 4) * 0.17 + least(1, (rh + 0.5 * oh) / n) * 0.1 + least(1, au / n) * 0.05 AS base FROM g),
 c AS (SELECT *, CASE WHEN weak_span > 35 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 THEN 0.08 ELSE 0 END + CASE WHEN oo THEN 0.3 ELSE 0 END + CASE WHEN ao THEN 0.28 ELSE 0 END + CASE WHEN len > 240 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 AND dens < 0.35 THEN 0.12 ELSE 0 END AS penalty FROM b),
 x AS (SELECT *, greatest(0, least(1, base - penalty)) AS score FROM c), y AS (SELECT *, least(1, score / greatest(1, len / 60)) AS sd FROM x),
-z AS (SELECT *, least(1, 0.65 * score + 0.35 * sd) AS rank_score, score >= 0.85 AND sd >= 0.35 AND hard >= 3 AND hd >= 1 AND oh >= 2 AND NOT (oo OR ao) AS ultra,
+z AS (SELECT *, least(1, 0.65 * score + 0.35 * sd) AS rank_score, score >= 0.85 AND sd >= 0.35 AND hard >= 3 AND hd >= 1 AND oh >= 2 AND kinds >= 2 AND NOT (oo OR ao) AS ultra,
 concat_ws(';', CASE WHEN score < 0.45 THEN 'low score' END, CASE WHEN sd < 0.2 THEN 'low score density' END, CASE WHEN hard < 1 THEN 'too little hard evidence' END, CASE WHEN hd < 0.35 THEN 'thin hard evidence' END) AS failed, row_number() OVER (PARTITION BY user_id ORDER BY start, "end") AS cand_id FROM y)"""
 
 
