@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import clip, reasons, safe_ratio
+from tidemark.functions.scalar import clip, reasons
 
 # Weights, thresholds and penalties of the candidate score.
 WEIGHTS = {"start": 0.30, "continuity": 0.22, "end": 0.16, "density": 0.17, "timeline": 0.10, "audio": 0.05}
@@ -63,13 +63,43 @@ def relaxed_ultra(ultra: Column, hard: Column, score_density: Column, score: Col
     return ultra | ((hard >= RELAXED_ULTRA["hard"]) & (score_density >= RELAXED_ULTRA["score_density"]) & (score >= RELAXED_ULTRA["score"]))
 
 
-def phase_adjusted(score: Column, intro: Column, body: Column, tail: Column, after: Column, before: Column, length: Column) -> Column:
-    """Rescoring by phases: an intro and a dense body add, a drop after the end and quiet around
-    add, cues that go on after the end cost."""
-    dense = safe_ratio(body, F.greatest(F.lit(1.0), length / 60.0))
-    return clip(
-        score + F.when(intro > 0, 0.05).otherwise(0.0) + F.least(F.lit(0.08), dense * 0.02) + F.when((tail > 0) & (after == 0), 0.05).otherwise(0.0) + F.when((before == 0) & (after == 0), 0.03).otherwise(0.0) - F.when(after > 0, 0.06).otherwise(0.0)
-    )
+# Weights of the phase variants, of the body in the density, and the penalty's cap.
+PHASES = {
+    "light": {"intro": 0.05, "body": 0.05, "drop": 0.06, "return": 0.03, "still": 0.10},
+    "balanced": {"intro": 0.08, "body": 0.08, "drop": 0.10, "return": 0.05, "still": 0.15},
+    "end_strict": {"intro": 0.05, "body": 0.06, "drop": 0.15, "return": 0.07, "still": 0.22},
+}
+BODY_IN_DENSITY, BODY_COUNTS, MOST_PENALTY = 0.05, 0.25, 0.45
+
+
+def phase_rescored(candidates: DataFrame, unit: float = 1.0) -> DataFrame:
+    """Candidates of scored() under each phase variant, with new strengths, scores and passes.
+
+    intro, tail and after are counts of cues at the start, before the end and past it, body those
+    of products and calls inside. Phases move the strengths before they are weighted; penalties
+    come off after, up to a cap."""
+    grid = F.array(*[F.struct(F.lit(name).alias("variant"), *[F.lit(w).alias(f"w_{k}") for k, w in weights.items()]) for name, weights in PHASES.items()])
+    rows = candidates.withColumn("_v", F.explode(grid)).select("*", "_v.*").drop("_v")
+    minutes = F.greatest(F.lit(1.0), F.col("length") / 60.0)
+    body = clip(F.col("body") / minutes / 4.0)
+    drop = F.when(F.col("tail") > 0, clip((F.col("tail") - F.col("after")) / F.col("tail"))).otherwise(0.0)
+    returned = ((F.col("tail") > 0) & (F.col("after") == 0)).cast("double")
+    still = (F.col("after") > 0).cast("double")
+    moved = {
+        "start": F.col("start_strength") + F.col("w_intro") * (F.col("intro") > 0).cast("double"),
+        "continuity": F.col("continuity_strength") + F.col("w_body") * body,
+        "end": F.col("end_strength") + F.col("w_drop") * drop + F.col("w_return") * returned - F.col("w_still") * still,
+        "density": F.col("density_strength") + BODY_IN_DENSITY * body,
+        "timeline": F.col("timeline_strength"),
+        "audio": F.col("audio_strength"),
+    }
+    base = sum((clip(moved[k]) * w for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
+    hard = F.col("n_hard") + ((F.col("body") > 0) & (body > BODY_COUNTS)).cast("long")
+    out = rows.withColumn("score", clip(base - F.least(F.lit(MOST_PENALTY), F.col("penalty")))).withColumn("n_hard", hard)
+    out = out.withColumn("score_density", clip(F.col("score") / minutes)).withColumn("hard_density", F.col("n_hard") / minutes)
+    out = out.withColumn("rank_score", clip(0.65 * F.col("score") + 0.35 * F.col("score_density")))
+    kept = (F.col("score") >= LEAST["score"]) & (F.col("score_density") >= LEAST["score_density"]) & (F.col("n_hard") >= LEAST["hard"]) & (F.col("hard_density") >= LEAST["hard_density"])
+    return out.withColumn("passes", kept & (F.col("weak_span") / unit <= WEAK_SPAN))
 
 
 # Weights of the composite objectives over the metrics of a configuration.

@@ -279,7 +279,8 @@ def leave_one_out_selection(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((CASE WHEN l_quantity > 25 THEN 0.5 * l_quantity ELSE 0 END + 0.3 * l_tax) / (CASE WHEN l_quantity > 25 THEN 0.8 ELSE 0.3 END), 9) AS weighted,
 round(1 / (1 + exp(-least(greatest(l_quantity - 25, -6), 6))), 9) AS squashed, CASE WHEN l_discount <= 0 THEN 0 ELSE l_tax / l_discount END AS ratio, CASE WHEN l_discount >= 0.065 THEN 'high' WHEN l_discount >= 0.035 THEN 'medium' ELSE 'low' END AS level,
-concat_ws(';', CASE WHEN l_quantity > 40 THEN 'large' END, CASE WHEN l_discount > 0.05 THEN 'cheap' END, CASE WHEN l_tax = 0 THEN 'untaxed' END) AS reasons, l_tax > 0.02 OR l_discount > 0.02 AS any_high, lpad((round_even(l_quantity * 7.3, 0)::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((round_even(l_quantity * 7.3, 0)::BIGINT % 60)::VARCHAR, 2, '0') AS clock FROM lineitem"""
+concat_ws(';', CASE WHEN l_quantity > 40 THEN 'large' END, CASE WHEN l_discount > 0.05 THEN 'cheap' END, CASE WHEN l_tax = 0 THEN 'untaxed' END) AS reasons, l_tax > 0.02 OR l_discount > 0.02 AS any_high, lpad((round_even(l_quantity * 7.3, 0)::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((round_even(l_quantity * 7.3, 0)::BIGINT % 60)::VARCHAR, 2, '0') AS clock,
+round((CASE WHEN l_quantity > 25 THEN l_quantity ELSE 0 END + l_tax + l_discount) / (CASE WHEN l_quantity > 25 THEN 3 ELSE 2 END), 9) AS mean FROM lineitem"""
 )
 def scalar_projection(spark: SparkSession, d: str) -> DataFrame:
     """Weighted means over present inputs, squashing, safe ratios, levels, reasons, clocks
@@ -290,6 +291,7 @@ def scalar_projection(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(weighted, 9).alias("weighted"), F.round(scalar.sigmoid(q - 25), 9).alias("squashed"), scalar.safe_ratio(t, c).alias("ratio"),
         scalar.banded(c, ((0.065, "high"), (0.035, "medium")), "low").alias("level"),
         scalar.reasons([(q > 40, "large"), (c > 0.05, "cheap"), (t == 0, "untaxed")]).alias("reasons"), scalar.any_positive([t - 0.02, c - 0.02]).alias("any_high"), scalar.clock(q * 7.3).alias("clock"),
+        F.round(scalar.row_mean([F.when(q > 25, q), t, c]), 9).alias("mean"),
     )
 
 

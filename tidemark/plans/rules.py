@@ -9,6 +9,7 @@ from tidemark.functions import scalar
 from tidemark.operators import folds, fsm, graph, scoring, windows
 from tidemark.operators import intervals as iv
 from tidemark.plans.registry import CELL, GAP, HOUR, P, of, points, query, sql_clusters, table
+from tidemark.sources.tabular import only_splits
 
 _T0 = 1704067200.0
 
@@ -188,21 +189,31 @@ def _clusters(spark: SparkSession, d: str, kind: str, gap: float = GAP) -> DataF
     return iv.cluster_intervals(points(spark, d, kind), "user_id", "t", gap, score="value")
 
 
+_VARIANTS = ", ".join(f"('{name}', {', '.join(str(w) for w in weights.values())})" for name, weights in scoring.PHASES.items())
+
+
 @query(
-    f"""WITH {_IV}, x AS (SELECT user_id, cluster_no, start, "end", n, score, ("end" - start) / {HOUR} AS len FROM a),
-f AS (SELECT x.*, count(*) FILTER (y.t < start AND y.event_type = 'view') AS before, count(*) FILTER (y.t >= start AND y.t <= start + {5 * HOUR}) AS intro, count(*) FILTER (y.t >= start AND y.t <= x."end") AS body, count(*) FILTER (y.t >= x."end" - {5 * HOUR} AND y.t <= x."end") AS tail, count(*) FILTER (y.t > x."end") AS after
-FROM x JOIN p y ON x.user_id = y.user_id AND y.t >= start - {15 * HOUR} AND y.t <= x."end" + {15 * HOUR} GROUP BY ALL)
-SELECT user_id, cluster_no::BIGINT AS cluster_no, round(least(1, greatest(0, score / 400 + CASE WHEN intro > 0 THEN 0.05 ELSE 0 END + least(0.08, body / greatest(1, len / 60) * 0.02) + CASE WHEN tail > 0 AND after = 0 THEN 0.05 ELSE 0 END + CASE WHEN before = 0 AND after = 0 THEN 0.03 ELSE 0 END - CASE WHEN after > 0 THEN 0.06 ELSE 0 END)), 6) AS adjusted FROM f"""
+    f"""{_SCORED}, e AS (SELECT z.*, count(*) FILTER (y.t >= z.start AND y.t <= z.start + {5 * HOUR} AND y.event_type = 'click' AND y.value >= 20) AS intro, count(*) FILTER (y.t >= z.start AND y.t <= z."end" AND y.event_type IN ('purchase', 'signup')) AS body,
+count(*) FILTER (y.t >= z."end" - {5 * HOUR} AND y.t <= z."end") AS tail, count(*) FILTER (y.t > z."end") AS after FROM z JOIN p y ON z.user_id = y.user_id AND y.t >= z.start AND y.t <= z."end" + {15 * HOUR} WHERE z.kind = 'closed' GROUP BY ALL),
+v AS (SELECT *, least(1, body / greatest(1, len / 60) / 4) AS bd, CASE WHEN tail > 0 THEN greatest(0, (tail - after) / tail) ELSE 0 END AS dr FROM e, (VALUES {_VARIANTS}) l(variant, wi, wb, wd, wr, ws)),
+m AS (SELECT *, 0.3 * least(1, least(1, CASE WHEN hard > 0 THEN 1 ELSE 0.62 END + least(0.18, 0.04 * ss)) + CASE WHEN intro > 0 THEN wi ELSE 0 END) + 0.22 * least(1, least(1, (hard + 0.5 * ct + 0.3 * ss) / n) + wb * bd)
++ 0.16 * greatest(0, least(1, CASE WHEN why = 'end support' THEN 0.86 WHEN why = 'freshness' THEN 0.68 WHEN why = 'support cap' THEN 0.58 ELSE 0.35 END + wd * dr + CASE WHEN tail > 0 AND after = 0 THEN wr ELSE 0 END - CASE WHEN after > 0 THEN ws ELSE 0 END))
++ 0.17 * least(1, dens + 0.05 * bd) + 0.1 * least(1, (rh + 0.5 * oh) / n) + 0.05 * least(1, au / n) AS weighed, hard + CASE WHEN body > 0 AND bd > 0.25 THEN 1 ELSE 0 END AS hard2 FROM v),
+h AS (SELECT *, greatest(0, least(1, weighed - least(0.45, penalty))) AS score2, hard2 / greatest(1, len / 60) AS hd2 FROM m), k AS (SELECT *, least(1, score2 / greatest(1, len / 60)) AS sd2 FROM h)
+SELECT user_id, cand_id, variant, round(score2, 6) AS score, round(sd2, 6) AS score_density, round(least(1, 0.65 * score2 + 0.35 * sd2), 6) AS rank_score, hard2::BIGINT AS n_hard, round(score2 - score, 6) AS moved, score2 >= 0.45 AND sd2 >= 0.2 AND hard2 >= 1 AND hd2 >= 0.35 AND weak_span <= 35 AS passes FROM k"""
 )
 def phase_rescoring(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates rescored by what happens before, in and after them."""
-    spans = _clusters(spark, d, "purchase").select("user_id", "cluster_no", "start", "end", "score", (F.col("start") - 15 * HOUR).alias("r_start"), (F.col("end") + 15 * HOUR).alias("r_end"))
-    near = iv.points_in_intervals(points(spark, d).select("user_id", "t", "event_type"), spans, "user_id", "t", CELL)
-    t, s, e = F.col("t"), F.col("start"), F.col("end")
-    f = near.groupBy("user_id", "cluster_no", "start", "end", "score").agg(
-        F.count_if((t < s) & (F.col("event_type") == "view")).alias("before"), F.count_if((t >= s) & (t <= s + 5 * HOUR)).alias("intro"), F.count_if((t >= s) & (t <= e)).alias("body"), F.count_if((t >= e - 5 * HOUR) & (t <= e)).alias("tail"), F.count_if(t > e).alias("after")
+    """Closed candidates rescored by their phases under three variants."""
+    closed = _candidates(spark, d).where("kind = 'closed'")
+    carried = F.struct("length", "penalty", "weak_span", "n_hard", F.col("score").alias("before"), *[f"{k}_strength" for k in scoring.WEIGHTS]).alias("_c")
+    spans = closed.select("user_id", "cand_id", "start", "end", carried, F.col("start").alias("r_start"), (F.col("end") + 15 * HOUR).alias("r_end"))
+    near = iv.points_in_intervals(points(spark, d).select("user_id", "t", "event_type", "value"), spans, "user_id", "t", CELL)
+    t, s, e, kind = F.col("t"), F.col("start"), F.col("end"), F.col("event_type")
+    f = near.groupBy("user_id", "cand_id").agg(
+        F.any_value("_c").alias("_c"), F.count_if((t >= s) & (t <= s + 5 * HOUR) & (kind == "click") & (F.col("value") >= 20)).alias("intro"), F.count_if((t >= s) & (t <= e) & kind.isin("purchase", "signup")).alias("body"), F.count_if((t >= e - 5 * HOUR) & (t <= e)).alias("tail"), F.count_if(t > e).alias("after")
     )
-    return f.select("user_id", "cluster_no", F.round(scoring.phase_adjusted(F.col("score") / 400, F.col("intro"), F.col("body"), F.col("tail"), F.col("after"), F.col("before"), (e - s) / HOUR), 6).alias("adjusted"))
+    out = scoring.phase_rescored(f.select("user_id", "cand_id", "intro", "body", "tail", "after", "_c.*"), HOUR)
+    return out.select("user_id", "cand_id", "variant", *[F.round(c, 6).alias(c) for c in ("score", "score_density", "rank_score")], F.col("n_hard").cast("long").alias("n_hard"), F.round(F.col("score") - F.col("before"), 6).alias("moved"), "passes")
 
 
 @query(
@@ -420,7 +431,7 @@ def anchor_fusion(spark: SparkSession, d: str) -> DataFrame:
     near = iv.points_in_intervals(points(spark, d).select("user_id", "t", "event_type", "value"), spans, "user_id", "t", CELL).where(F.abs(F.col("t") - F.col("at")) <= 20 * HOUR)
     view = F.col("event_type") == "view"
     f = near.groupBy("user_id", "event_id", "at").agg(F.count_if(view & (F.col("t") < F.col("at"))).alias("pre"), F.count_if(view & (F.col("t") > F.col("at"))).alias("post"), F.coalesce(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value) FILTER (WHERE event_type = 'click')"), F.lit(0.0)).alias("sound_p90"))
-    window = F.least(F.lit(45 * HOUR), F.greatest(F.lit(30 * HOUR), F.lit(0.02 * 30 * 24 * HOUR)))
+    window = scalar.opening_window(F.lit(30 * 24)) * HOUR
     return f.select("user_id", "event_id", "pre", "post", "sound_p90", (F.col("post") > F.col("pre")).alias("rises"), scalar.score_level(F.col("sound_p90") / 150).alias("sound_level"), (F.col("at") - _T0 <= window).alias("in_opening"))
 
 
@@ -430,8 +441,9 @@ def anchor_fusion(spark: SparkSession, d: str) -> DataFrame:
 def frozen_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """A threshold fitted on one split, frozen, and applied to the other."""
     rows = table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").withColumn("dev", F.col("s_nationkey") % 2 == 0)
+    rows = only_splits(rows.withColumn("part", F.when(F.col("dev"), "development").otherwise("held out")), "part", ["development", "held out"])
     cut = rows.where("dev").agg(F.percentile("s_acctbal", F.lit(0.7)).alias("cut"))
-    return rows.crossJoin(cut).groupBy(F.when(F.col("dev"), "development").otherwise("held out").alias("part")).agg(F.count("*").alias("n"), F.count_if(F.col("s_acctbal") >= F.col("cut")).alias("selected"))  # one row
+    return rows.crossJoin(cut).groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("s_acctbal") >= F.col("cut")).alias("selected"))  # one row
 
 
 @query(_CUES.replace("p AS", "WITH p AS", 1) + " SELECT event_id, hard, start_support, continuity, end_support, weak, opening_only, audio_only, concat_ws(';', CASE WHEN hard THEN 'hard' END, CASE WHEN start_support THEN 'start' END, CASE WHEN continuity THEN 'continuity' END, CASE WHEN end_support THEN 'end' END) AS why FROM q")

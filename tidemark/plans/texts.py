@@ -153,16 +153,16 @@ def proximity_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT * FROM (VALUES ('licence', 'license'), ('lisense', 'license'), ('mial', 'mail'), ('thee', 'the')) v(typo, canonical)), x AS (SELECT doc_id, lower(text) AS t, CASE WHEN len(trim(text)) = 0 THEN 'success_empty' ELSE 'success_text' END AS state FROM documents)
-SELECT x.doc_id, any_value(state) AS state, coalesce(string_agg(DISTINCT canonical, ';' ORDER BY canonical) FILTER (contains(t, typo)), '') AS corrected, CASE WHEN bool_or(contains(t, typo)) THEN 'typo' WHEN bool_or(contains(t, canonical)) THEN 'exact' ELSE 'none' END AS subtype FROM x, v GROUP BY 1"""
+    """WITH v AS (SELECT * FROM (VALUES ('licence', 'license'), ('lisense', 'license'), ('mial', 'mail'), ('thee', 'the')) v(typo, canonical)), x AS (SELECT doc_id, lower(text) AS t, regexp_replace(lower(text), '\\s+', '', 'g') AS c, CASE WHEN len(trim(text)) = 0 THEN 'success_empty' ELSE 'success_text' END AS state FROM documents)
+SELECT x.doc_id, any_value(state) AS state, coalesce(string_agg(DISTINCT canonical, ';' ORDER BY canonical) FILTER (contains(t, typo) OR contains(c, typo)), '') AS corrected, CASE WHEN bool_or(contains(t, typo) OR contains(c, typo)) THEN 'typo' WHEN bool_or(contains(t, canonical)) THEN 'exact' ELSE 'none' END AS subtype FROM x, v GROUP BY 1"""
 )
 def typo_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed misspellings as their canonical keyword, the way of the match, emptiness."""
+    """Fixed misspellings, also across blanks, as their canonical keyword, the way of the match, emptiness."""
     typos = (("licence", "license"), ("lisense", "license"), ("mial", "mail"), ("thee", "the"))
     low = F.lower("text")
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(low.contains(a), b) for a, b in typos]))))
+    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(low.contains(a) | text.compact(low).contains(a), b) for a, b in typos]))))
     rows = _docs(spark, d).select("doc_id", text.emptiness(F.lit("ok"), "text").alias("state"), found.alias("f"), F.exists(F.array(*[low.contains(b) for _, b in typos]), lambda x: x).alias("e"))
-    return rows.select("doc_id", "state", F.array_join("f", ";").alias("corrected"), F.when(F.size("f") > 0, "typo").when(F.col("e"), "exact").otherwise("none").alias("subtype"))
+    return rows.select("doc_id", "state", F.array_join("f", ";").alias("corrected"), F.when((F.size("f") > 0) | F.col("e"), text.subtype(F.when(F.size("f") > 0, "typo"))).otherwise("none").alias("subtype"))
 
 
 @query(
@@ -198,9 +198,9 @@ def review_transfer(spark: SparkSession, d: str) -> DataFrame:
     """Exact key, then a relaxed one; what is ambiguous is not transferred."""
     rows = _docs(spark, d).select("doc_id", "source", "n_chars")
     a = rows.where("doc_id % 2 = 0")
-    b = rows.where("doc_id % 2 = 1").select(F.col("doc_id").alias("bid"), "source", F.col("n_chars").alias("bn"))
-    near = a.withColumn("c", F.explode(F.sequence(F.col("n_chars") - 3, F.col("n_chars") + 3))).join(b, (F.col("c") == F.col("bn")) & (a["source"] == b["source"])).select("doc_id", "bid", (F.col("n_chars") == F.col("bn")).alias("same"))
-    facts = near.groupBy("doc_id").agg(F.count_if("same").alias("en"), F.min(F.when(F.col("same"), F.col("bid"))).alias("eg"), F.count("*").alias("rn"), F.min("bid").alias("rg"))
+    b = rows.where("doc_id % 2 = 1").select("source", F.col("n_chars").alias("bn"), "doc_id").groupBy("source", "bn").agg(F.count("*").alias("n"), F.min("doc_id").alias("bid"))
+    near = a.withColumn("c", F.explode(F.sequence(F.col("n_chars") - 3, F.col("n_chars") + 3))).join(b, (F.col("c") == F.col("bn")) & (a["source"] == b["source"])).select("doc_id", "bid", "n", (F.col("n_chars") == F.col("bn")).alias("same"))
+    facts = near.groupBy("doc_id").agg(F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("en"), F.min(F.when(F.col("same"), F.col("bid"))).alias("eg"), F.sum("n").alias("rn"), F.min("bid").alias("rg"))
     out = a.join(facts, "doc_id", "left")
     got = F.when(F.col("en") == 1, F.col("eg")).when((F.col("en") == 0) & (F.col("rn") == 1), F.col("rg"))
     method = F.when(F.col("en") == 1, "exact").when(F.col("en") > 1, "ambiguous").when(F.col("rn") == 1, "relaxed").when(F.col("rn") > 1, "ambiguous").otherwise("none")
