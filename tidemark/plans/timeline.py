@@ -516,10 +516,11 @@ def embedding_step_distance(spark: SparkSession, d: str) -> DataFrame:
     # Consecutive ids join by number within id ranges: no single task orders all vectors.
     width = 4096
     part = Window.partitionBy(F.floor(F.col("vec_id") / width)).orderBy("vec_id")
-    last = Window.partitionBy(F.floor(F.col("vec_id") / width))
     edges = rows.groupBy(F.floor(F.col("vec_id") / width).alias("g")).agg(F.max_by(F.struct("vec_id", "e"), "vec_id").alias("x"))
-    carried = edges.select("g", F.lag("x").over(Window.orderBy("g")).alias("x"))
-    local = rows.withColumn("g", F.floor(F.col("vec_id") / width)).withColumn("y", F.lag(F.struct("vec_id", "e")).over(part)).withColumn("n", F.count("*").over(last))
+    # The window without a key orders one number a range; the vectors are joined to it.
+    order = edges.select("g", F.lag("g").over(Window.orderBy("g")).alias("before"))
+    carried = order.join(edges.select(F.col("g").alias("before"), "x"), "before", "left").select("g", "x")
+    local = rows.withColumn("g", F.floor(F.col("vec_id") / width)).withColumn("y", F.lag(F.struct("vec_id", "e")).over(part))
     pairs = local.join(carried, "g").withColumn("b", F.coalesce("y", "x")).where(F.col("b").isNotNull())
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = lambda a: F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
