@@ -531,3 +531,12 @@ def test_quantisation_bound_holds():
     e = np.linalg.norm(u - q * s[:, None], axis=1)
     off = np.abs(u @ u.T - (q @ q.T) * s[:, None] * s)
     assert (off <= e[:, None] + e + 3 * e[:, None] * e + 1e-12).all()
+
+
+def test_bucket_digits_grow_with_the_table_and_change_no_result(spark, small, monkeypatch):
+    assert [mixing.bucket_digits(n) for n in (0, 1 << 26, (1 << 26) + 1, 10**10)] == [3, 3, 4, 5]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = sorted(map(str, mixing.mix_report(docs).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.001)
+    assert mixing.bucket_digits(docs.count()) > 3
+    assert sorted(map(str, mixing.mix_report(docs).collect())) == want

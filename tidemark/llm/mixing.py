@@ -5,7 +5,8 @@ that key into buckets, token counts are summed per bucket, bucket totals are pre
 a local running sum inside each bucket gives the document's position in its source's random
 order. The source's budget then cuts that order at an exact token: documents before the cut are
 taken once more than those after it, and the document on the cut gives part of its tokens.
-No source, however large, is ever ordered in one task: a task orders single buckets.
+No source, however large, is ever ordered in one task: a task orders single buckets, whose
+number grows with the table (a bucket is a prefix of the key, so their number changes no result).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tidemark.session import cut
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Rows of a bucket at most, were all rows of one source, and its least number of hex digits.
+BUCKET_ROWS, LEAST_DIGITS = 16384, 3
 
 
 def word_count(text: str | F.Column) -> F.Column:
@@ -26,13 +29,21 @@ def word_count(text: str | F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def measured(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix-1") -> DataFrame:
+def bucket_digits(rows: int) -> int:
+    """Hex digits of the key that name a bucket of a table of so many rows."""
+    digits = LEAST_DIGITS
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
+    return digits
+
+
+def measured(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix-1", digits: int = LEAST_DIGITS) -> DataFrame:
     """Adds _size, _src (a non-null source key), _key (hash-random) and _bucket (a range of keys)."""
     return (
         docs.withColumn("_size", word_count(text))
         .withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("~null")))
         .withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")))
-        .withColumn("_bucket", F.substring("_key", 1, 3))
+        .withColumn("_bucket", F.substring("_key", 1, digits))
     )
 
 
@@ -95,7 +106,7 @@ def placed(sized: DataFrame, totals_of: DataFrame | None = None, id_col: str = "
 
 def mix_report(docs: DataFrame, **rules) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, copies."""
-    sized = cut(measured(docs.select("doc_id", "source", "text")).drop("text"))
+    sized = cut(measured(docs.select("doc_id", "source", "text"), digits=bucket_digits(docs.count())).drop("text"))
     return placed(sized, **rules).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
@@ -107,7 +118,7 @@ def mix_documents(docs: DataFrame, **rules) -> DataFrame:
     """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("source"), F.col("text"))
-    sized = measured(rows).drop("text", "source")
+    sized = measured(rows, digits=bucket_digits(docs.count())).drop("text", "source")
     out = placed(sized, totals_of=sized.select("_src", "_bucket", "_size"), **rules)
     return out.where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
