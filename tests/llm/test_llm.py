@@ -516,6 +516,18 @@ def test_vectors(spark, tile):
     assert got == brute.near_vectors(rows)
 
 
+def test_vectors_of_many_dimensions(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(embeddings, "TILE_BYTES", 8 * 1100 * 7)
+    rows = [(k, [float(x) for x in np.sin(np.arange(1100) * (1 + k % 3)) + rng.normal(size=1100) * 0.3]) for k in range(30)]
+    rows += [(30 + k, [float(k + 1)] * 3) for k in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute.near_vectors(rows)
+    monkeypatch.setattr(embeddings, "TILE_BYTES", 1)
+    few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>").selectExpr("*", "1 as rep", "'x' as component", "map(1, 2) as key")
+    assert {r.vec_id: r.n_links for r in embeddings.near_vectors(few).collect()} == {i: n for i, (n, _, _) in brute.near_vectors(rows[:4]).items()}
+
+
 def test_vectors_empty_and_null_ids(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     rows = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")

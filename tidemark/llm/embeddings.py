@@ -30,7 +30,8 @@ from tidemark.operators.graph import connected_components
 from tidemark.session import cut
 
 THRESHOLD = 0.9
-TILE = 8192
+#: Vectors of a tile at most, and the bytes that they may have as doubles (one vector always fits).
+TILE, TILE_BYTES = 8192, 32 << 20
 _ROWS = 512
 
 
@@ -176,7 +177,8 @@ def _product(threshold: float):
 
 def _met(distinct: DataFrame, tile: int, make, compare, schema: str) -> DataFrame:
     """compare() over every pair of tiles of the distinct vectors, each group one or two rows."""
-    sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    fit = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))
+    sizes = distinct.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / fit).cast("int").alias("tiles"))
     dealt = distinct.join(sizes, "dim").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles").cast("long")).cast("int"))
     made = cut(dealt.groupBy("dim", "tile").applyInPandas(make, _TILE_SCHEMA))
     # A tile that hashing left empty has no row; its pairs come as one tile, which then meets nothing.
