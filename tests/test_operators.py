@@ -375,6 +375,20 @@ def test_decision_plans_read_no_labels(spark, small):
     assert tabular.guarded(_cues(spark, small).drop("event_type"))
 
 
+def test_pareto_front_equals_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, float("nan")]) if k % 40 == 0 else float(rng.randrange(6)), float(rng.randrange(6)), rng.randrange(6)) for k in range(1, 400)]
+    rows += [(1000 + k, a, b, c) for k, a, b, c in rows[:50]]
+    whole = [r for r in rows if r[1] is not None and r[1] == r[1]]
+    beats = lambda a, b: a[1] >= b[1] and a[2] <= b[2] and a[3] <= b[3] and a[1:] != b[1:]
+    want = sorted(b[0] for b in whole if not any(beats(a, b) for a in whole))
+    table = frame(spark, rows, "id long, gain double, cost double, risk int").repartition(7)
+    front = stats.pareto(table, "id", ["gain"], ["cost", "risk"], fan=3)
+    assert sorted(r.id for r in front.collect()) == want
+    assert "NestedLoop" not in front._jdf.queryExecution().toString()
+    assert stats.pareto(table.where("id < 0"), "id", ["gain"], ["cost"]).count() == 0
+
+
 def test_book_reads_the_sheet_of_the_best_header(spark, tmp_path):
     import zipfile
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,20 +154,42 @@ def leave_one_out(rows: DataFrame, group: str, config: str, metric: str) -> Data
     return scored.where(F.col("others").isNotNull()).groupBy(group).agg(best.alias("b")).select(group, f"b.{config}", F.col("b.others").alias("mean_others"), F.col(f"b.{metric}").alias("own"))
 
 
-def pareto(rows: DataFrame, name: str, more: list[str], less: list[str]) -> DataFrame:
-    """Rows that no other row matches everywhere and beats somewhere. A left anti join on the
-    dominance predicate over metric rows (one a configuration), after equal rows are one."""
+def _skyline(signs: list[int]):
+    """Streams points and gives those that no other one dominates; only the front is held. In
+    descending order a point is followed by all that it dominates, so the first that is left is
+    on the front."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = None
+        for frame in frames:
+            frame = frame if front is None else pd.concat([front, frame], ignore_index=True)
+            x = frame.to_numpy(np.float64) * signs
+            order = np.lexsort(-x.T[::-1])
+            kept = []
+            while len(order):
+                best, order = order[0], order[1:]
+                kept.append(best)
+                beaten = (x[best] >= x[order]).all(axis=1) & (x[best] > x[order]).any(axis=1)
+                order = order[~beaten]
+            front = frame.iloc[kept]
+        if front is not None:
+            yield front
+
+    return run
+
+
+def pareto(rows: DataFrame, name: str, more: list[str], less: list[str], fan: int = 16) -> DataFrame:
+    """Rows that no other row matches everywhere and beats somewhere; equal rows stand together.
+    A row with a missing metric (null or not a number) is not on the front and beats none.
+
+    Each partition keeps its own front, fan tasks merge those, and one merges theirs: points are
+    never paired, and no task holds more than a front and a batch. Metrics compare as doubles."""
     metrics = [*more, *less]
-    points = rows.select(*metrics).distinct()
-    other = points.select(*[F.col(m).alias(f"_{m}") for m in metrics])
-    as_good = F.lit(True)
-    better = F.lit(False)
-    for m in more:
-        as_good, better = as_good & (F.col(f"_{m}") >= F.col(m)), better | (F.col(f"_{m}") > F.col(m))
-    for m in less:
-        as_good, better = as_good & (F.col(f"_{m}") <= F.col(m)), better | (F.col(f"_{m}") < F.col(m))
-    front = points.join(other, as_good & better, "left_anti")
-    return rows.join(front, metrics, "left_semi").select(name, *metrics)
+    front = _skyline([1] * len(more) + [-1] * len(less))
+    points = rows.select(*metrics).dropna().distinct()
+    for parts in (None, fan, 1):
+        points = (points.repartition(parts) if parts else points).mapInPandas(front, points.schema)
+    return rows.join(points, metrics, "left_semi").select(name, *metrics)
 
 
 def best_per_objective(rows: DataFrame, name: str, objectives: list[str], most: int) -> DataFrame:
