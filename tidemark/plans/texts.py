@@ -190,20 +190,35 @@ def title_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, source, n_chars, 'reviewed' AS verdict FROM documents WHERE doc_id % 2 = 1),
-e AS (SELECT a.doc_id, min(b.doc_id) AS got, count(*) AS n FROM a JOIN b ON a.source = b.source AND a.n_chars = b.n_chars GROUP BY 1), r AS (SELECT a.doc_id, min(b.doc_id) AS got, count(*) AS n FROM a JOIN b ON a.source = b.source AND abs(a.n_chars - b.n_chars) <= 3 GROUP BY 1)
-SELECT a.doc_id, CASE WHEN e.n = 1 THEN e.got WHEN e.n IS NULL AND r.n = 1 THEN r.got END AS got, CASE WHEN e.n = 1 THEN 'exact' WHEN e.n > 1 THEN 'ambiguous' WHEN r.n = 1 THEN 'relaxed' WHEN r.n > 1 THEN 'ambiguous' ELSE 'none' END AS method FROM a LEFT JOIN e USING (doc_id) LEFT JOIN r USING (doc_id)"""
+    """WITH r AS (SELECT doc_id, source, coalesce(lang, '') AS lang, n_chars // 20 AS tick, (len(text) - len(replace(text, ' ', ''))) // 20 AS score FROM documents WHERE n_chars IS NOT NULL), a AS (SELECT * FROM r WHERE doc_id % 3 <> 0), b AS (SELECT * FROM r WHERE doc_id % 3 = 0),
+e AS (SELECT a.doc_id, min(b.doc_id) AS got, count(*) AS n FROM a JOIN b ON a.source = b.source AND a.lang = b.lang AND a.tick = b.tick GROUP BY 1),
+r2 AS (SELECT a.doc_id, min(b.doc_id) AS got, count(*) AS n FROM a JOIN b ON a.source = b.source AND a.lang = b.lang AND abs(a.tick / 8.0 - b.tick / 8.0) <= 0.25 GROUP BY 1),
+c AS (SELECT a.doc_id, min(b.doc_id) AS got, count(*) AS n FROM a JOIN b ON a.source = b.source AND a.tick // 8 = b.tick // 8 AND a.score = b.score GROUP BY 1)
+SELECT a.doc_id, CASE WHEN e.n IS NOT NULL THEN CASE WHEN e.n = 1 THEN e.got END WHEN r2.n IS NOT NULL THEN CASE WHEN r2.n = 1 THEN r2.got END WHEN c.n = 1 THEN c.got END AS got,
+CASE WHEN e.n = 1 THEN 'exact' WHEN e.n > 1 THEN 'exact_multiple' WHEN r2.n = 1 THEN 'relaxed' WHEN r2.n > 1 THEN 'relaxed_multiple' WHEN c.n = 1 THEN 'clock' WHEN c.n > 1 THEN 'clock_multiple' ELSE 'none' END AS method
+FROM a LEFT JOIN e USING (doc_id) LEFT JOIN r2 USING (doc_id) LEFT JOIN c USING (doc_id)"""
 )
 def review_transfer(spark: SparkSession, d: str) -> DataFrame:
-    """Exact key, then a relaxed one; what is ambiguous is not transferred."""
-    rows = _docs(spark, d).select("doc_id", "source", "n_chars")
-    a = rows.where("doc_id % 2 = 0")
-    b = rows.where("doc_id % 2 = 1").select("source", F.col("n_chars").alias("bn"), "doc_id").groupBy("source", "bn").agg(F.count("*").alias("n"), F.min("doc_id").alias("bid"))
-    near = a.withColumn("c", F.explode(F.sequence(F.col("n_chars") - 3, F.col("n_chars") + 3))).join(b, (F.col("c") == F.col("bn")) & (a["source"] == b["source"])).select("doc_id", "bid", "n", (F.col("n_chars") == F.col("bn")).alias("same"))
-    facts = near.groupBy("doc_id").agg(F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("en"), F.min(F.when(F.col("same"), F.col("bid"))).alias("eg"), F.sum("n").alias("rn"), F.min("bid").alias("rg"))
-    out = a.join(facts, "doc_id", "left")
-    got = F.when(F.col("en") == 1, F.col("eg")).when((F.col("en") == 0) & (F.col("rn") == 1), F.col("rg"))
-    method = F.when(F.col("en") == 1, "exact").when(F.col("en") > 1, "ambiguous").when(F.col("rn") == 1, "relaxed").when(F.col("rn") > 1, "ambiguous").otherwise("none")
+    """Exact time and kind, then a time within 0.25 s, then the same clock text and score; the
+    first stage that finds anything decides, and what is ambiguous there is not transferred (J16).
+
+    Twenty characters of a document stand for an eighth of a second, its language for the kind,
+    its blanks for the score, every third document for the earlier rows. Those are counted by
+    cell before any join, so no pairs are made."""
+    blanks = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
+    rows = _docs(spark, d).where("n_chars is not null").select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("lang"), F.expr("n_chars div 20").alias("tick"), F.expr("n_chars div 160").alias("second"), F.floor(blanks / 20).alias("score"))
+    new, old = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0")
+    found = [F.count("*").alias("n"), F.min("doc_id").alias("id")]
+    timed = old.groupBy("source", "lang", F.col("tick").alias("t")).agg(*found)
+    clock = old.groupBy("source", "second", "score").agg(F.count("*").alias("cn"), F.min("doc_id").alias("cg"))
+    near = new.withColumn("t", F.explode(F.sequence(F.col("tick") - 2, F.col("tick") + 2))).join(timed, ["source", "lang", "t"])
+    same = F.col("t") == F.col("tick")
+    facts = near.groupBy("doc_id").agg(F.sum(F.when(same, F.col("n"))).alias("en"), F.min(F.when(same, F.col("id"))).alias("eg"), F.sum("n").alias("rn"), F.min("id").alias("rg"))
+    out = new.join(facts, "doc_id", "left").join(clock, ["source", "second", "score"], "left")
+    got, method = F.lit(None).cast("long"), F.lit("none")
+    for n, name, way in (("cn", "cg", "clock"), ("rn", "rg", "relaxed"), ("en", "eg", "exact")):
+        got = F.when(F.col(n) == 1, F.col(name)).when(F.col(n).isNull(), got)
+        method = F.when(F.col(n) == 1, way).when(F.col(n) > 1, f"{way}_multiple").otherwise(method)
     return out.select("doc_id", got.alias("got"), method.alias("method"))
 
 
