@@ -303,10 +303,19 @@ def test_running_sums_by_buckets(spark, items):
 
 
 def test_text_helpers(spark):
-    got = spark.range(1).select(text.occurrences(F.lit("aXaXa"), "X").alias("a"), text.starts_of(F.lit("abxxab"), "ab").alias("b"), text.within_reach(F.lit("ab12345cd"), "ab", "cd", 6).alias("c"), text.within_reach(F.lit("ab12345cd"), "ab", "cd", 7).alias("e")).first()
-    assert got == (2, [0, 4], False, True)
-    with pytest.raises(ValueError):
-        text.starts_of("x", "aa")
+    near = lambda t, a, b, w: text.within_reach(F.lit(t), a, b, w)
+    got = spark.range(1).select(text.occurrences(F.lit("aXaXa"), "X"), near("ab12345cd", "ab", "cd", 6), near("ab12345cd", "ab", "cd", 7), near("cd\n2345ab", "ab", "cd", 7), near(None, "ab", "cd", 7)).first()
+    assert tuple(got) == (2, False, True, True, False)
+
+
+def test_reach_equals_all_pairs_of_starts(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aab.") for _ in range(rng.randrange(14))) for _ in range(200)]
+    for first, second, window in (("aa", "ab", 0), ("aa", "ab", 1), ("a.", "b", 3), ("aa", "aab", 2)):
+        starts = lambda t, x: [k for k in range(len(t)) if t.startswith(x, k)]  # noqa: B023, E731
+        want = {t: any(abs(p - q) <= window for p in starts(t, first) for q in starts(t, second)) for t in texts}
+        got = frame(spark, [(t,) for t in texts], "t string").select("t", text.within_reach("t", first, second, window).alias("near"))
+        assert {r.t: r.near for r in got.collect()} == want
 
 
 @settings(max_examples=40, deadline=None)

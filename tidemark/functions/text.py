@@ -59,25 +59,11 @@ def phrase_hits(text: Column | str, phrases: Iterable[str]) -> Column:
     return F.array_compact(F.array(*[F.when(_c(text).contains(p), F.lit(p)) for p in phrases]))
 
 
-def starts_of(text: Column | str, stem: str) -> Column:
-    """All 0-based starts of a stem that cannot overlap itself, from the lengths between them."""
-    if any(stem.startswith(stem[k:]) for k in range(1, len(stem))):
-        raise ValueError(f"{stem} overlaps itself")
-    t = F.coalesce(_c(text), F.lit(""))
-    none = F.array().cast("array<int>")
-    parts = F.split(t, re.escape(stem))
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), none.alias("starts")),
-        lambda acc, part: F.struct((acc["at"] + F.length(part) + len(stem)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(part))).alias("starts")),
-    )["starts"]
-    return F.when(t.contains(stem), F.slice(walk, F.lit(1), F.size(walk) - 1)).otherwise(none)
-
-
 def within_reach(text: Column | str, first: str, second: str, window: int) -> Column:
-    """Some starts of two stems lie at most window characters apart, in either order."""
-    a, b = starts_of(text, first), starts_of(text, second)
-    return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= window))
+    """Some starts of two stems lie at most window characters apart, in either order. Two bounded
+    look-aheads at each position, so the time is linear in the text."""
+    a, b = re.escape(first), re.escape(second)
+    return F.coalesce(_c(text), F.lit("")).rlike(f"(?s)(?={a})(?=.{{0,{window}}}{b})|(?={b})(?=.{{0,{window}}}{a})")
 
 
 def best_ratio(text: str, phrase: str, low: int = 4, high: int = 8) -> float:

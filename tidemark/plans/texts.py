@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +70,24 @@ _DICT = ", ".join(f"('{c}', '{k}', {w}::DOUBLE)" for c, k, w in DICTIONARY)
 SELECT doc_id, category, sum(n)::BIGINT AS n_hits, count(*) FILTER (n > 0) AS n_keywords, round(sum(n * weight), 6) AS weighted, coalesce(string_agg(keyword, ';' ORDER BY keyword) FILTER (n > 0), '') AS found FROM h GROUP BY 1, 2"""
 )
 def keyword_category_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Dictionary hits per document and category."""
+    """Dictionary hits per document and category, summed within the row."""
     low = F.lower("text")
     counted = _docs(spark, d).select("doc_id", *[text.occurrences(low, k).alias(f"k{i}") for i, (_, k, _) in enumerate(DICTIONARY)])
-    items = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword"), F.lit(w).alias("weight"), F.col(f"k{i}").alias("n")) for i, (c, k, w) in enumerate(DICTIONARY)])
-    tall = counted.select("doc_id", F.explode(items).alias("h")).select("doc_id", "h.*")
-    found = F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("keyword")))), ";")
-    return tall.groupBy("doc_id", "category").agg(F.sum("n").cast("long").alias("n_hits"), F.count_if(F.col("n") > 0).alias("n_keywords"), F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("weighted"), found.alias("found"))
+    rows = []
+    for name in dict.fromkeys(c for c, _, _ in DICTIONARY):
+        hits = [(F.col(f"k{i}"), k, w) for i, (c, k, w) in enumerate(DICTIONARY) if c == name]
+        total = lambda xs: reduce(lambda a, b: a + b, xs)
+        found = F.array_sort(F.array_compact(F.array(*[F.when(n > 0, F.lit(k)) for n, k, _ in hits])))
+        rows.append(
+            F.struct(
+                F.lit(name).alias("category"),
+                total([n for n, _, _ in hits]).cast("long").alias("n_hits"),
+                total([F.when(n > 0, 1).otherwise(0) for n, _, _ in hits]).cast("long").alias("n_keywords"),
+                F.round(total([n * w for n, _, w in hits]), 6).alias("weighted"),
+                F.array_join(found, ";").alias("found"),
+            )
+        )
+    return counted.select("doc_id", F.explode(F.array(*rows)).alias("h")).select("doc_id", "h.*")
 
 
 _SCORE = """least(1, greatest(0, (CASE WHEN guard THEN 0 ELSE 2.0 * disclosure END + 1.5 * sponsor + 0.8 * product + cta + link + 0.8 * price - CASE WHEN guard THEN 0.5 ELSE 0 END) / 6.0))"""
