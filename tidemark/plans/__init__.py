@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import flows, profiles, rules, signals, texts, timeline  # noqa: F401
+from tidemark.plans import flows, media, profiles, rules, signals, texts, timeline  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL, Query
 
 
