@@ -256,6 +256,84 @@ def test_stream_machine_equals_batch(spark, small):
     assert key(all_queries()["stream_fsm"](spark, small).where("kind <> 'open'")) == key(batch)
 
 
+def _steps(*steps) -> list:
+    """(time, mask) of (time, cues) pairs."""
+    return [(float(t), sum(1 << fsm.CUES.index(c) for c in cues.split())) for t, cues in steps]
+
+
+def test_pending_states_end_by_the_clock():
+    from tidemark.streaming.timeline import TimedEvidence
+
+    def run(*steps):
+        m = TimedEvidence(fsm.Limits(opening_sec=10, close_sec=20, fresh_sec=30), 0.0)
+        for i, (t, mask) in enumerate(_steps(*steps)):
+            m.step(i, fsm.row_of(t, mask))
+        return [(o[0], o[1], o[2], o[4]) for o in m.out], m.state
+
+    # A hard row after the deadline opens anew; on it, it confirms or resumes.
+    assert run((0, "start_support"), (11, "hard")) == ([("review", 0.0, 10.0, "not confirmed in time")], "inside")
+    assert run((0, "start_support"), (10, "hard")) == ([], "inside")
+    assert run((0, "hard"), (5, "end_support"), (26, "hard")) == ([("closed", 0.0, 5.0, "end support")], "inside")
+    assert run((0, "hard"), (5, "end_support"), (25, "hard")) == ([], "inside")
+    assert run((0, "start_support"), (40, "opening_only")) == ([("review", 0.0, 10.0, "not confirmed in time"), ("review", 40.0, 40.0, "opening notice")], "outside")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["", "hard", "start_support", "continuity", "end_support", "weak", "opening_only", "hard end_support", "audio continuity"])), max_size=25), st.integers(0, 25), st.booleans())
+def test_state_between_batches_is_whole(steps, at, timed):
+    """A machine kept as a row of state and taken up again goes on as if it had not stopped."""
+    from tidemark.streaming import timeline as stream
+
+    kind = stream.TimedEvidence if timed else fsm.Evidence
+    whole, first, t = kind(fsm.Limits(), 0.0), kind(fsm.Limits(), 0.0), 0.0
+    made = []
+    for i, (dt, cues) in enumerate(steps):
+        t += dt
+        row = fsm.row_of(*_steps((t, cues))[0])
+        whole.step(i, row)
+        if i == at:
+            made, first = first.out, stream._revived(kind(fsm.Limits(), 0.0), stream._kept(first, i, t))
+        first.step(i, row)
+    assert made + first.out == whole.out and first.state == whole.state and (first.now is None) == (whole.now is None)
+
+
+def test_stream_by_the_clock_in_many_batches(spark, tmp_path):
+    """Rows in files of their own, a micro-batch each, with equal times: ties go by id, timers end
+    what no row ends, and the result is that of all rows at once."""
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import timeline as stream
+
+    limits = fsm.Limits(opening_sec=10, close_sec=20, fresh_sec=30)
+    rows = [(1, 0, 1, "start_support"), (1, 5, 2, "hard"), (1, 5, 3, "end_support"), (2, 6, 4, "start_support"), (1, 90, 6, "hard"), (1, 90, 5, "end_support"), (3, 91, 7, "start_support"), (3, 91, 8, "hard"), (4, 500, 9, "weak")]
+    schema = "k long, ts timestamp, id long, hard boolean, start_support boolean, end_support boolean"
+    for n, part in enumerate((rows[:4], rows[4:8], rows[8:])):
+        flags = [(k, t, i, *(c == x for x in ("hard", "start_support", "end_support"))) for k, t, i, c in part]
+        frame = spark.createDataFrame(flags, "k long, t int, id long, hard boolean, start_support boolean, end_support boolean")
+        frame.select("k", F.timestamp_seconds(F.col("t") + 1000).alias("ts"), "id", "hard", "start_support", "end_support").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    made = stream.intervals(source, "k", "ts", "id", limits, "1 second", "1 hour", timed=True)
+    made.writeStream.option("checkpointLocation", str(tmp_path / "state")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.k, r.kind, r.start, r.end, r.end_reason) for r in spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "closed", 1000.0, 1005.0, "end support"), (2, "review", 1006.0, 1016.0, "not confirmed in time")]
+
+
+def test_one_key_streams_through_batches(spark):
+    """A key of many Arrow batches walks with one machine, as it does in one piece."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        cues = ["hard", "continuity", "", "end_support", "start_support", "weak", "", ""]
+        steps = [(k, 3.0 * k, cues[k * k % 8]) for k in range(1200)]
+        rows = frame(spark, [(None if k < 20 else 7, t, k, *(c == x for x in ("hard", "continuity", "end_support", "start_support", "weak"))) for k, t, c in steps], "who long, t double, k int, hard boolean, continuity boolean, end_support boolean, start_support boolean, weak boolean")
+        got = {key: [(r.kind, r.start, r.end) for r in fsm.intervals(rows, "who", "t", "k").collect() if r.who == key] for key in (None, 7)}
+        for key, part in ((None, steps[:20]), (7, steps[20:])):
+            m = fsm.Evidence(fsm.Limits(), 0.0).walk([fsm.row_of(*_steps((t, c))[0]) for _, t, c in part])
+            assert got[key] == [o[:3] for o in m.out]
+        assert fsm.trace(rows, "who", "t", "k").count() == 1200
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_casts_and_clocks(spark):
     got = spark.range(1).select(
         scalar.lenient_number(F.lit("x")).alias("a"), scalar.clip(F.lit(None).cast("double")).alias("b"), scalar.clock(F.lit(90.5)).alias("c"), scalar.clock(F.lit(91.5)).alias("e"), scalar.seconds_of(F.lit("1:2:3")).alias("f"),

@@ -2,18 +2,20 @@
 
 Six machines share one frame: rows carry boolean cues, a machine walks them through the states
 outside, opening, inside, closing, and every interval that closes, is left open, or goes to
-review becomes one output row with its counted evidence. A key's rows are narrow (a time and
-flags) and walk in one Arrow batch per key; scores, filters and details are joins and projections
-on the output (tidemark.operators.scoring).
+review becomes one output row with its counted evidence. Rows are narrow (a time and a mask of
+cues) and sorted by key and time by Spark, which spills; a task walks them as they stream by and
+holds one machine and one Arrow batch, so a key may have any number of rows. Scores, filters and
+details are joins and projections on the output (tidemark.operators.scoring).
 """
 
 from __future__ import annotations
 
 import functools
 from collections import namedtuple
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,20 +129,26 @@ class Machine:
         return INSIDE
 
     def walk(self, rows: list) -> Machine:
-        self.walk_on(rows, 0)
-        if self.now is not None and rows:
-            self.left_open(rows[-1])
+        """Walks all rows of a key and ends."""
+        for i, row in enumerate(rows):
+            self.step(i, row, rows[i + 1] if i + 1 < len(rows) else None)
+        if rows:
+            self.finish(rows[-1])
         return self
 
-    def walk_on(self, rows: list, first: int) -> None:
-        """Walks rows that follow the first ones; i counts from the start, rows only within."""
-        for k, row in enumerate(rows):
-            before, seen = self.state, len(self.out)
-            self.before(row)
-            if self.state != OUTSIDE or before == OUTSIDE:
-                self.after = rows[k + 1] if k + 1 < len(rows) else None
-                self.state = getattr(self, self.state)(first + k, row)
-            self.trace.append((row.t, before, self.state, self.out[-1][4] if len(self.out) > seen else (self.pend or {}).get("why", "")))
+    def step(self, i: int, row, after=None) -> None:
+        """Walks row number i; after is the row that follows, if there is one."""
+        before, seen = self.state, len(self.out)
+        self.before(row)
+        if self.state != OUTSIDE or before == OUTSIDE:
+            self.after = after
+            self.state = getattr(self, self.state)(i, row)
+        self.trace.append((row.t, before, self.state, self.out[-1][4] if len(self.out) > seen else (self.pend or {}).get("why", "")))
+
+    def finish(self, last) -> None:
+        """Ends after the last row."""
+        if self.now is not None:
+            self.left_open(last)
 
     def before(self, row) -> None:
         """Happens before every row, whatever the state."""
@@ -535,43 +543,91 @@ def _cues_of(mask: int) -> tuple[bool, ...]:
     return tuple(bool(mask >> k & 1) for k in range(len(CUES)))
 
 
-def rows_of(frame: pd.DataFrame) -> list[Row]:
-    """Rows from columns t and cues (the mask)."""
-    return [Row(t, *_cues_of(m)) for t, m in zip(frame["t"].tolist(), frame["cues"].tolist(), strict=True)]
+def row_of(t: float, mask: int) -> Row:
+    """A row from its time and its mask of cues."""
+    return Row(t, *_cues_of(mask))
 
 
 def _prepared(rows: DataFrame, key: str, t: str, tie: str, duration: str | None) -> DataFrame:
     length = F.coalesce(F.col(duration).cast("double"), F.lit(0.0)) if duration else F.lit(0.0)
-    return rows.where(F.col(t).isNotNull()).select(key, F.col(t).cast("double").alias("t"), F.col(tie).alias("tie"), length.alias("duration"), cue_mask(rows).alias("cues"))
+    ready = rows.where(F.col(t).isNotNull()).select(F.col(key).alias("key"), F.col(t).cast("double").alias("t"), F.col(tie).alias("tie"), length.alias("duration"), cue_mask(rows).alias("cues"))
+    return ready.repartition("key").sortWithinPartitions("key", "t", "tie").select("key", "t", "duration", "cues")
 
 
-def _walked(name: str, limits: Limits, frame: pd.DataFrame) -> Machine:
-    return MACHINES[name](limits, float(frame["duration"].iloc[0])).walk(rows_of(frame.sort_values(["t", "tie"])))
+class _Tape:
+    """One key's machine after the other's, as sorted rows stream by. One row is held back, as a
+    machine may look at the row that follows."""
 
+    def __init__(self, name: str, limits: Limits, wanted: str) -> None:
+        self.name, self.limits, self.wanted = name, limits, wanted
+        self.machine, self.key, self.held, self.i = None, None, None, 0
+        self.keys: list = []
+        self.made: list[tuple] = []
 
-def intervals(rows: DataFrame, key: str, t: str, tie: str, machine: str = "evidence", limits: Limits | None = None, duration: str | None = None) -> DataFrame:
-    """(key, kind, start, end, ...) of a machine; kind is closed, review, open, unresolved or
-    rejected. Rows without a time are left out; equal times follow the tie column."""
-    lim = limits or Limits()
-    ready = _prepared(rows, key, t, tie, duration)
-    names = [p.split()[0] for p in SCHEMA.split(", ")]
+    def feed(self, key, row: Row, duration: float) -> None:
+        if self.machine is not None and key == self.key:
+            self.machine.step(self.i, self.held, row)
+            self.i += 1
+        else:
+            self.end()
+            self.machine, self.key, self.i = MACHINES[self.name](self.limits, duration), key, 0
+        self.held = row
+
+    def end(self) -> None:
+        """The held row is its key's last."""
+        if self.machine is not None:
+            self.machine.step(self.i, self.held)
+            self.machine.finish(self.held)
+            self._take()
+            self.machine = None
+
+    def _take(self) -> None:
+        made = getattr(self.machine, self.wanted)
+        self.keys += [self.key] * len(made)
+        self.made += made
+        self.machine.out, self.machine.trace = [], []
+
+    def drained(self) -> tuple[list, list[tuple]]:
+        """Keys and rows made since the last call."""
+        if self.machine is not None:
+            self._take()
+        out = self.keys, self.made
+        self.keys, self.made = [], []
+        return out
+
+
+def _run(rows: DataFrame, key: str, t: str, tie: str, machine: str, limits: Limits | None, duration: str | None, wanted: str, schema: str) -> DataFrame:
+    ready, lim = _prepared(rows, key, t, tie, duration), limits or Limits()
+    whole = f"`{key}` {dict(ready.dtypes)['key']}, {schema}"
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+    columns = [p.split() for p in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tape, kind = _Tape(machine, lim, wanted), pa.int64()
+
+        def made() -> pa.RecordBatch:
+            keys, out = tape.drained()
+            parts = [pa.array([r[j] for r in out], kinds[k]) for j, (_, k) in enumerate(columns)]
+            return pa.record_batch([pa.array(keys, kind), *parts], names=[key, *(n for n, _ in columns)])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, at, length, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tape.feed(k, row_of(at, mask), length)
+            yield made()
+        tape.end()
+        yield made()
+
+    return ready.mapInArrow(run, whole)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        done = pd.DataFrame(_walked(machine, lim, frame).out, columns=names)
-        done.insert(0, key, frame[key].iloc[0])
-        return done
 
-    return ready.groupBy(key).applyInPandas(run, f"{key} long, {SCHEMA}")
+def intervals(rows: DataFrame, key: str, t: str, tie: str, machine: str = "evidence", limits: Limits | None = None, duration: str | None = None) -> DataFrame:
+    """(key, kind, start, end, ...) of a machine; kind is closed, review, open, unresolved or
+    rejected. Rows without a time are left out; equal times follow the tie column; rows of no key
+    are one key's."""
+    return _run(rows, key, t, tie, machine, limits, duration, "out", SCHEMA)
 
 
 def trace(rows: DataFrame, key: str, t: str, tie: str, machine: str = "evidence", limits: Limits | None = None, duration: str | None = None) -> DataFrame:
     """(key, t, state_before, state_after, reason), one row an input row."""
-    lim = limits or Limits()
-    ready = _prepared(rows, key, t, tie, duration)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        done = pd.DataFrame(_walked(machine, lim, frame).trace, columns=["t", "state_before", "state_after", "reason"])
-        done.insert(0, key, frame[key].iloc[0])
-        return done
-
-    return ready.groupBy(key).applyInPandas(run, f"{key} long, t double, state_before string, state_after string, reason string")
+    return _run(rows, key, t, tie, machine, limits, duration, "trace", "t double, state_before string, state_after string, reason string")

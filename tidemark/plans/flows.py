@@ -107,9 +107,51 @@ _HOURS = fsm.Limits(**{n: getattr(fsm.Limits(), n) * HOUR for n in ("opening_sec
 @query(sql_walk(_STREAM, _HOURS) + ' SELECT user_id, kind, round(os, 3) AS start, round(oe, 3) AS "end", ow AS end_reason FROM w WHERE kind IS NOT NULL')
 def stream_fsm(spark: SparkSession, d: str) -> DataFrame:
     """The current machine over the event stream, one state a key (F01 as a stream)."""
+    return _walked(spark, d, timed=False)
+
+
+def _sql_timed(cues: str, lim: fsm.Limits) -> str:
+    """The machine by the clock: a row first meets the deadline that lies before it, then the state
+    that is left; x_ columns hold what the deadline emits. Deadlines before the last watermark, an
+    hour before the last row of all, are met without a row."""
+    wait = min(lim.close_sec, lim.fresh_sec)
+    until = f"CASE st WHEN 'opening' THEN pt + {lim.opening_sec} WHEN 'closing' THEN pt + {wait} END"
+    return f"""WITH RECURSIVE {cues},
+w AS (SELECT user_id, 0::BIGINT AS i, 'outside' AS st, NULL::DOUBLE AS a, NULL::DOUBLE AS pt, NULL::BIGINT AS pi, NULL::VARCHAR AS pw, NULL::DOUBLE AS lh, NULL::DOUBLE AS sf, 0 AS sn,
+  NULL::VARCHAR AS kind, NULL::DOUBLE AS os, NULL::DOUBLE AS oe, NULL::VARCHAR AS ow, NULL::VARCHAR AS x_kind, NULL::DOUBLE AS x_os, NULL::DOUBLE AS x_oe, NULL::VARCHAR AS x_ow FROM (SELECT DISTINCT user_id FROM q)
+UNION ALL
+SELECT user_id, i, nst,
+  CASE WHEN nst IN ('outside', 'opening') THEN NULL WHEN est = 'outside' THEN t WHEN est = 'opening' THEN pt ELSE a END,
+  CASE WHEN nst IN ('opening', 'closing') THEN CASE WHEN est = nst THEN pt ELSE t END END, CASE WHEN nst IN ('opening', 'closing') THEN CASE WHEN est = nst THEN pi ELSE i END END,
+  CASE WHEN nst = 'closing' THEN CASE WHEN est = 'closing' THEN pw WHEN end_support THEN 'end support' WHEN t - coalesce(nlh, a) > {lim.fresh_sec} THEN 'freshness' ELSE 'support cap' END END,
+  CASE WHEN est = 'closing' AND nst = 'outside' THEN NULL ELSE nlh END, CASE WHEN est = 'closing' AND nst = 'outside' THEN NULL ELSE nsf END, CASE WHEN est = 'closing' AND nst = 'outside' THEN 0 ELSE nsn END,
+  CASE WHEN nst <> 'outside' THEN NULL WHEN est = 'closing' THEN 'closed' WHEN est = 'opening' OR opening_only THEN 'review' END,
+  CASE est WHEN 'closing' THEN a WHEN 'opening' THEN pt ELSE t END, CASE WHEN est = 'closing' THEN pt ELSE t END,
+  CASE WHEN est = 'closing' THEN pw WHEN est = 'opening' AND end_support THEN 'cancelled by end support' WHEN est = 'opening' THEN 'not confirmed in time' ELSE 'opening notice' END,
+  CASE WHEN late THEN CASE st WHEN 'closing' THEN 'closed' ELSE 'review' END END, CASE st WHEN 'closing' THEN a ELSE pt END, CASE st WHEN 'closing' THEN pt ELSE pt + {lim.opening_sec} END, CASE st WHEN 'closing' THEN pw ELSE 'not confirmed in time' END
+FROM (SELECT *, CASE est
+    WHEN 'outside' THEN CASE WHEN opening_only THEN 'outside' WHEN hard THEN 'inside' WHEN start_support AND NOT audio_only AND NOT scene_only THEN 'opening' ELSE 'outside' END
+    WHEN 'opening' THEN CASE WHEN hard THEN 'inside' WHEN end_support THEN 'outside' WHEN i - pi + 1 > {lim.opening_rows} THEN 'outside' ELSE 'opening' END
+    WHEN 'inside' THEN CASE WHEN (end_support AND NOT hard) OR t - coalesce(nlh, a) > {lim.fresh_sec} OR coalesce(t - nsf > {lim.support_sec} AND nsn > {lim.support_rows}, false) THEN 'closing' ELSE 'inside' END
+    ELSE CASE WHEN hard OR (continuity AND NOT end_support) THEN 'inside' WHEN end_support OR t - pt >= {wait} THEN 'outside' ELSE 'closing' END END AS nst
+  FROM (SELECT *, CASE WHEN hard THEN t ELSE elh END AS nlh, CASE WHEN hard THEN NULL WHEN start_support OR continuity THEN coalesce(esf, t) ELSE esf END AS nsf, CASE WHEN hard THEN 0 WHEN start_support OR continuity THEN esn + 1 ELSE esn END AS nsn
+    FROM (SELECT *, CASE WHEN late THEN 'outside' ELSE st END AS est, CASE WHEN late AND st = 'closing' THEN NULL ELSE lh END AS elh, CASE WHEN late AND st = 'closing' THEN NULL ELSE sf END AS esf, CASE WHEN late AND st = 'closing' THEN 0 ELSE sn END AS esn
+      FROM (SELECT w.user_id, w.st, w.a, w.pt, w.pi, w.pw, w.lh, w.sf, w.sn, q.i, q.t, q.hard, q.start_support, q.continuity, q.end_support, q.opening_only, q.audio_only, q.scene_only, coalesce(q.t > {until}, false) AS late FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i + 1))))),
+last AS (SELECT w.* FROM w JOIN (SELECT user_id, max(i) AS i FROM q GROUP BY 1) m ON w.user_id = m.user_id AND w.i = m.i WHERE {until} < (SELECT max(t) - 3600 FROM q)),
+e AS (SELECT user_id, kind, os, oe, ow FROM w WHERE kind IS NOT NULL UNION ALL SELECT user_id, x_kind, x_os, x_oe, x_ow FROM w WHERE x_kind IS NOT NULL
+UNION ALL SELECT user_id, CASE st WHEN 'closing' THEN 'closed' ELSE 'review' END, CASE st WHEN 'closing' THEN a ELSE pt END, CASE st WHEN 'closing' THEN pt ELSE pt + {lim.opening_sec} END, CASE st WHEN 'closing' THEN pw ELSE 'not confirmed in time' END FROM last)"""
+
+
+@query(_sql_timed(_STREAM, _HOURS) + ' SELECT user_id, kind, round(os, 3) AS start, round(oe, 3) AS "end", ow AS end_reason FROM e')
+def stream_fsm_timed(spark: SparkSession, d: str) -> DataFrame:
+    """The machine by the clock: event-time timers end pending starts and ends that no row ends (F01 as a stream)."""
+    return _walked(spark, d, timed=True)
+
+
+def _walked(spark: SparkSession, d: str, timed: bool) -> DataFrame:
     k, v = F.col("event_type"), F.col("value")
-    rows = _events(spark, d).select("user_id", "ts", ((k == "purchase") & (v >= 40)).alias("hard"), ((k == "click") & (v >= 20)).alias("start_support"), (k == "view").alias("continuity"), ((k == "error") & (v >= 25)).alias("end_support"))
-    out = _drained(stream.intervals(rows, "user_id", "ts", "evidence", _HOURS), _folder(spark, "machine"))
+    rows = _events(spark, d).select("user_id", "ts", "event_id", ((k == "purchase") & (v >= 40)).alias("hard"), ((k == "click") & (v >= 20)).alias("start_support"), (k == "view").alias("continuity"), ((k == "error") & (v >= 25)).alias("end_support"))
+    out = _drained(stream.intervals(rows, "user_id", "ts", "event_id", _HOURS, timed=timed), _folder(spark, "machine"))
     return out.where("kind <> 'open'").select("user_id", "kind", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "end_reason")
 
 
