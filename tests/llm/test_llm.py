@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
@@ -71,6 +72,17 @@ def test_mix_orders_by_key_within_a_source(spark):
     assert sorted(got) == sorted(again)
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k % 3])
+def test_mix_is_the_same_in_any_layout(spark, ids):
+    """Rows of no id, of one id, of few ids: two layouts give the same texts, over many buckets."""
+    rows = [(ids(k), f"text number {k}", "a", k % 5) for k in range(200)] + [(ids(0), "same", "b", k) for k in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    bag = lambda f: sorted(map(str, f.collect()))
+    one, other = frame.coalesce(1), frame.orderBy(F.desc("n"), "text").repartition(7)
+    assert bag(mixing.mix_documents(one)) == bag(mixing.mix_documents(other)) and bag(mixing.mix_report(one)) == bag(mixing.mix_report(other))
+    assert mixing.measured(frame).select("_bucket").distinct().count() > 150
+
+
 # quality
 
 
@@ -311,6 +323,57 @@ def test_near_edges_equal_all_pairs(sets):
     assert brute.components(ids, found) == brute.components(ids, links)
 
 
+def _replaced(rng, words: list[str], fresh) -> list[str]:
+    """A copy with one passage of other words, as long as five-word similarity lets it be."""
+    n = len(words)
+    size = n // 9 - 5
+    at = rng.randrange(0, n - size)
+    return words[:at] + [fresh() for _ in range(size)] + words[at + size :]
+
+
+def test_texts_of_one_template_do_not_gather(spark):
+    """Texts that share most of their words, in place or in one run, and are no near copies, stay
+    apart before anything is closed over; a true pair among them is found."""
+    rng = random.Random(3)
+    base = [f"t{k}" for k in range(200)]
+    own = itertools.count()
+    rows = [(k, " ".join(w if rng.random() < 0.7 else f"o{next(own)}" for w in base)) for k in range(400)]
+    rows += [(k, " ".join(base[:140] + [f"o{next(own)}" for _ in range(60)])) for k in range(400, 800)]
+    pair = rows[17][1].split()
+    rows.append((9000, " ".join(_replaced(rng, pair, lambda: f"o{next(own)}"))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = frame.select("doc_id", simhash._digest(F.col("text")).alias("_digest"), "text").mapInArrow(simhash._word_prints, "doc_id long, _digest binary, prints array<long>")
+    met = simhash._meetings(marked, simhash.HOT)
+    assert met.groupBy("head").count().agg(F.max("count")).first()[0] > 20  # they do meet
+    kept = {r.doc_id for r in simhash.without_near_copies(frame).collect()}
+    assert kept == {i for i, _ in rows} - {9000}
+
+
+@pytest.mark.parametrize("words", [200, 1000])
+def test_copies_with_a_replaced_passage_are_found(spark, words):
+    rng = random.Random(words)
+    fresh = lambda: f"w{rng.randrange(60000)}"
+    rows = []
+    for k in range(60):
+        text = [fresh() for _ in range(words)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(_replaced(rng, text, fresh)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(brute.near_texts(rows[:40]).values())
+    assert len(want) == 20  # the pairs are near copies
+    kept = {r.doc_id for r in simhash.without_near_copies(frame).collect()}
+    assert len(kept) <= 60 + 6 and kept >= {2 * k for k in range(60)}
+
+
+def test_sketches_agree_as_sets_do():
+    rng = np.random.default_rng(5)
+    for share in (0.0, 0.5, 0.8, 1.0):
+        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (int(1000 * share), 1000 - int(1000 * share), 1000 - int(1000 * share)))
+        x, y = (np.frombuffer(simhash.sketch(np.r_[both, s]), "<u8") for s in (a, b))
+        alike = share * 1000 / (2000 - 1000 * share)
+        assert abs(int(simhash._gap(x, y)) - simhash.SKETCH * (1 - alike) / 2) < 45
+    assert simhash.sketch(np.empty(0, np.uint64)) == bytes(64)
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 8])
 def test_links_join_all_within_threshold(spark, hot):
     rng = random.Random(9)

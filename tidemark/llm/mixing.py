@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.exact_dedup import row_hash
 from tidemark.session import cut
 
 #: Words are runs of anything but ASCII white space.
@@ -38,11 +39,13 @@ def bucket_digits(rows: int) -> int:
 
 
 def measured(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix-1", digits: int = LEAST_DIGITS) -> DataFrame:
-    """Adds _size, _src (a non-null source key), _key (hash-random) and _bucket (a range of keys)."""
+    """Adds _size, _src (a non-null source key), _digest (of the text), _key (hash-random, from id
+    and text, so that rows of one id or of none spread like others) and _bucket (a range of keys)."""
     return (
         docs.withColumn("_size", word_count(text))
         .withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("~null")))
-        .withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")))
+        .withColumn("_digest", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+        .withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("_digest")).cast("binary")))
         .withColumn("_bucket", F.substring("_key", 1, digits))
     )
 
@@ -79,15 +82,18 @@ def placed(sized: DataFrame, totals_of: DataFrame | None = None, id_col: str = "
     """Adds source_size, target, size, taken (tokens) and copies (times the row enters the mix,
     the row on the cut included) to the rows of measured().
 
-    Rows that repeat an id are separate rows and tie by size; rows of no words take a place in
-    the order, take no tokens, and are copied as their place says. An empty table gives no rows.
+    Rows that repeat an id, or have none, are separate rows, ordered by their texts like others;
+    rows that repeat id and text tie, by a column _tie where there is one. Rows of no words take a
+    place in the order, take no tokens, and are copied as their place says; null text counts as
+    empty and null sources are one source. An empty table gives no rows.
     """
     totals = (sized if totals_of is None else totals_of).groupBy("_src", "_bucket").agg(F.sum("_size").alias("_total"))
     totals = cut(totals)
     along = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = budgets(totals.groupBy("_src").agg(F.sum("_total").alias("source_size")), **rules)
     offsets = totals.select("_src", "_bucket", F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_offset")).join(plan, "_src")
-    within = Window.partitionBy("_src", "_bucket").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = ["_tie"] if "_tie" in sized.columns else []
+    within = Window.partitionBy("_src", "_bucket").orderBy("_key", id_col, "_size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(offsets, ["_src", "_bucket"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
@@ -105,7 +111,8 @@ def placed(sized: DataFrame, totals_of: DataFrame | None = None, id_col: str = "
 
 
 def mix_report(docs: DataFrame, **rules) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, copies."""
+    """Per document: doc_id, source, size, source_size, target, taken, copies. Nulls, ties, repeated
+    rows and empty tables are as in placed(); the same rows in any layout give the same report."""
     sized = cut(measured(docs.select("doc_id", "source", "text"), digits=bucket_digits(docs.count())).drop("text"))
     return placed(sized, **rules).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
@@ -114,11 +121,13 @@ def mix_documents(docs: DataFrame, **rules) -> DataFrame:
     """The mix itself: every row as often as the mix takes it, columns unchanged.
 
     A document on its source's cut is kept whole, so a source exceeds its budget by less than
-    one document. A clash with the operator's own columns is avoided by nesting the row.
+    one document. A clash with the operator's own columns is avoided by nesting the row. Ties of
+    rows that repeat id and text go by a hash of the row, so that any layout of the same rows
+    gives the same mix; the rest is as in placed().
     """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("source"), F.col("text"))
-    sized = measured(rows, digits=bucket_digits(docs.count())).drop("text", "source")
+    sized = measured(rows, digits=bucket_digits(docs.count())).withColumn("_tie", row_hash(docs)).drop("text", "source")
     out = placed(sized, totals_of=sized.select("_src", "_bucket", "_size"), **rules)
     return out.where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
@@ -126,7 +135,7 @@ def mix_documents(docs: DataFrame, **rules) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source

@@ -17,10 +17,12 @@ of the table; at ten thousand million fingerprints an anchor holds some two thou
 Near copies of five-word similarity NEAR (without_near_copies) differ in up to 14 of the 64 bits
 above, which no anchors cover selectively. A few changed words change far fewer of the distinct
 words than of the shingles, so the filter takes WORD_PRINTS fingerprints over the distinct words,
-each bit a vote of them, looks each up by the same anchors, and calls a pair a candidate where one
-of these differs in WORD_BITS bits at most and meets at an anchor. Candidates gather in groups,
-and within a group all texts are compared exactly by their shingles, through an index of the
-shingles and not by pairs; large groups are compared by pairs of blocks.
+each bit a vote of them, looks each up by the same anchors, and lets pairs meet that share an
+anchor and differ there in WORD_BITS bits at most. Texts of one template meet like that too, so
+nothing is closed over yet: what met at an anchor is compared again by sketches of SKETCH bits,
+each the low bit of a minimum over the shingles, and what still agrees is compared exactly by its
+shingles, through an index of the shingles and not by pairs. Only exact links connect texts. Large
+groups are compared by pairs of blocks at each step.
 """
 
 from __future__ import annotations
@@ -45,8 +47,11 @@ SHINGLE = 3
 SEED = 42
 #: Most fingerprints that one task compares at one anchor.
 HOT = 16384
-#: Fingerprints over distinct words (an even number), and bits in which candidates may differ.
-WORD_PRINTS, WORD_BITS = 6, 8
+#: Fingerprints over distinct words (an even number), and bits in which those that meet may differ.
+WORD_PRINTS, WORD_BITS = 8, 10
+#: Bits of a text's sketch, and in how many near copies differ: a tenth at similarity 0.8, and three
+#: standard deviations more.
+SKETCH, SKETCH_BITS = 512, 72
 #: Words of a shingle and Jaccard similarity of near copies.
 NEAR_WIDTH, NEAR = 5, 0.8
 #: Texts and bytes of text that one task compares exactly.
@@ -145,6 +150,11 @@ def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out)
 
 
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of words differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _stars(fp: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges, as places, that join what is linked within one group: a search that compares each
     reached fingerprint only with those not reached yet."""
@@ -152,7 +162,7 @@ def _stars(fp: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.nd
     while len(rest) > 1:
         root, queue, rest = rest[0], [rest[0]], rest[1:]
         while queue and len(rest):
-            far = np.bitwise_count(fp[rest] ^ fp[queue.pop()]) > threshold
+            far = _gap(fp[rest], fp[queue.pop()]) > threshold
             if not far.all():
                 near = rest[~far]
                 left.append(near)
@@ -178,7 +188,8 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _compare(cell: np.ndarray, fp: np.ndarray, name: np.ndarray, threshold: int) -> pd.DataFrame:
     """Within each run of equal cells, an edge from each linked row to the smallest name that it
-    is linked with there, through any links: cells that hold the same rows give the same edges."""
+    is linked with there, through any links: cells that hold the same rows give the same edges.
+    A fingerprint is a row of 64-bit words."""
     order = np.lexsort((name, cell))
     cell, fp, name = cell[order], fp[order], name[order]
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -196,7 +207,7 @@ def _compare(cell: np.ndarray, fp: np.ndarray, name: np.ndarray, threshold: int)
         same = np.flatnonzero(near_cell[shift:] == near_cell[:-shift])
         if not len(same):
             break
-        near = same[np.bitwise_count(near_fp[same] ^ near_fp[same + shift]) <= threshold]
+        near = same[_gap(near_fp[same], near_fp[same + shift]) <= threshold]
         left.append(small[near])
         right.append(small[near + shift])
     a, b = np.concatenate(left), np.concatenate(right)
@@ -207,41 +218,46 @@ def _compare(cell: np.ndarray, fp: np.ndarray, name: np.ndarray, threshold: int)
     return pd.DataFrame({"src": src[keep], "dst": dst[keep]}).drop_duplicates()
 
 
+def _words_of(frame: pd.DataFrame) -> np.ndarray:
+    """Fingerprints of a column fp of longs, or of packed words."""
+    if frame["fp"].dtype == object:
+        return np.frombuffer(b"".join(frame["fp"]), "<u8").reshape(len(frame), -1)
+    return frame["fp"].to_numpy(np.int64).view(np.uint64).reshape(-1, 1)
+
+
 def _link(threshold: int):
     """Streams rows sorted by cell; the last group of a batch waits for the next batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, fp, name = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        cell, fp, name = np.empty(0, np.int64), None, np.empty(0, np.int64)
         for frame in frames:
+            if not len(frame):
+                continue
             cell = np.r_[cell, frame["cell"].to_numpy(np.int64)]
-            fp = np.r_[fp, frame["fp"].to_numpy(np.int64).view(np.uint64)]
+            fp = _words_of(frame) if fp is None else np.concatenate([fp, _words_of(frame)])
             name = np.r_[name, frame["name" if "name" in frame else "fp"].to_numpy(np.int64)]
-            if len(cell):
-                done = int(np.searchsorted(cell, cell[-1]))
-                if done:
-                    yield _compare(cell[:done], fp[:done], name[:done], threshold)
-                    cell, fp, name = cell[done:], fp[done:], name[done:]
+            done = int(np.searchsorted(cell, cell[-1]))
+            if done:
+                yield _compare(cell[:done], fp[:done], name[:done], threshold)
+                cell, fp, name = cell[done:], fp[done:], name[done:]
         if len(cell):
             yield _compare(cell, fp, name, threshold)
 
     return run
 
 
-def links(distinct: DataFrame, hot: int = HOT, threshold: int = THRESHOLD) -> DataFrame:
-    """(src, dst) edges that connect all distinct fingerprints (fp) within the threshold of each
-    other that meet at an anchor, which within THRESHOLD all do. Rows may carry a name, which
-    edges then give in place of the fingerprint, and the number k of a set; sets do not mix."""
-    columns = [c for c in ("k", "fp", "name") if c in distinct.columns]
-    carried = [c for c in columns if c != "k"]
-    cells = distinct.select(*columns).mapInPandas(_cells, "cell long, " + ", ".join(f"{c} long" for c in carried))
+def _met(cells: DataFrame, hot: int, threshold: int) -> DataFrame:
+    """(src, dst) edges within the cells of rows (cell, fp) or (cell, fp, name): each linked row to
+    the smallest it is linked with there. Cells of more than hot rows go by pairs of blocks."""
     compare = _link(threshold)
+    carried = [c for c in cells.columns if c != "cell"]
     crowded = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
     if crowded.isEmpty():
         return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "src long, dst long")
     usual = cells.join(crowded, "cell", "left_anti").repartition("cell")
     found = usual.sortWithinPartitions("cell").mapInPandas(compare, "src long, dst long")
     blocks = F.ceil(F.col("n") * 2 / hot).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
+    own = F.pmod(F.xxhash64(carried[-1]), blocks.cast("long")).cast("int")
     pairs = (
         cells.join(crowded, "cell")
         .withColumn("blocks", blocks)
@@ -252,6 +268,16 @@ def links(distinct: DataFrame, hot: int = HOT, threshold: int = THRESHOLD) -> Da
     return found.unionByName(pairs.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "src long, dst long"))
 
 
+def links(distinct: DataFrame, hot: int = HOT, threshold: int = THRESHOLD) -> DataFrame:
+    """(src, dst) edges that connect all distinct fingerprints (fp) within the threshold of each
+    other that meet at an anchor, which within THRESHOLD all do. Rows may carry a name, which
+    edges then give in place of the fingerprint, and the number k of a set; sets do not mix."""
+    columns = [c for c in ("k", "fp", "name") if c in distinct.columns]
+    carried = [c for c in columns if c != "k"]
+    cells = distinct.select(*columns).mapInPandas(_cells, "cell long, " + ", ".join(f"{c} long" for c in carried))
+    return _met(cells, hot, threshold)
+
+
 def _groups(marked: DataFrame) -> DataFrame:
     """(fp, component, component_id) of each fingerprint of rows (doc_id, fp): its group, named by
     the smallest fingerprint, and the group's smallest id."""
@@ -286,29 +312,52 @@ def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], prints], names=[*part.schema.names[:-1], "prints"])
 
 
-def _candidates(marked: DataFrame, hot: int) -> DataFrame:
-    """(_digest, head, n, bytes) of the distinct texts of rows (doc_id, _digest, bytes, prints)
-    that lie in a group of candidates, with the size of the group named head."""
-    texts = cut(marked.groupBy("_digest").agg(F.first("prints").alias("prints"), F.first("bytes").alias("bytes")).withColumn("node", F.xxhash64("prints")))
-    sets = cut(texts.select("node", F.posexplode("prints").alias("k", "fp")).groupBy("k", "fp").agg(F.min("node").alias("name"), F.max("node").alias("other")))
-    # Texts that share a fingerprint are joined to the one that gives it its name.
-    shared = sets.where("name <> other").select("k", "fp", "name")
-    equal = texts.select("node", F.posexplode("prints").alias("k", "fp")).join(shared, ["k", "fp"]).where("node <> name").select(F.col("node").alias("src"), F.col("name").alias("dst"))
-    groups = connected_components(equal.unionByName(links(sets, hot, WORD_BITS)))
-    named = texts.join(groups, "node", "left").select("_digest", "bytes", F.coalesce("component", "node").alias("head"))
-    named = cut(named)
-    sizes = cut(named.groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")).where("n > 1"))
-    return cut(named.join(sizes, "head").select("_digest", "head", "n", "all_bytes"))
+def _stars_of(edges: DataFrame) -> DataFrame:
+    """(head, name) of the ends of edges (src, dst), each head among its own."""
+    ends = F.explode(F.array("src", "dst")).alias("name")
+    return edges.select(F.col("dst").alias("head"), ends).distinct()
+
+
+def _meetings(marked: DataFrame, hot: int) -> DataFrame:
+    """(head, name) of distinct texts of rows (_digest, prints) that met at anchors, gathered by the
+    smallest of each meeting. A text is named by a hash of its digest, and texts of the same
+    prints meet by themselves, the first of them at the anchors."""
+    texts = cut(marked.groupBy("_digest").agg(F.first("prints").alias("prints")).select(F.xxhash64("_digest").alias("name"), "prints"))
+    alike = cut(texts.groupBy("prints").agg(F.min("name").alias("head"), F.count("*").alias("n")))
+    same = texts.join(alike.where("n > 1").drop("n"), "prints").select("head", "name")
+    found = links(alike.select(F.col("head").alias("name"), F.posexplode("prints").alias("k", "fp")), hot, WORD_BITS)
+    # Whoever shares the prints of a text goes to its meetings.
+    stars = cut(_stars_of(found))
+    more = stars.withColumnRenamed("name", "of").join(same.where("head <> name").withColumnRenamed("head", "of"), "of").select("head", "name")
+    return cut(stars.unionByName(same).unionByName(more).distinct())
+
+
+_SEEDS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH bits of a set of hashed shingles: the low bits of as many minima, each under a hash of
+    its own. Two sets of similarity s agree in a bit with probability (1 + s) / 2; the empty set
+    has no bit set."""
+    if not len(hashes):
+        return bytes(SKETCH // 8)
+    low = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 512):
+        mixed = (hashes[at : at + 512, None] ^ _SEEDS[0]) * _SEEDS[1]
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(low, mixed.min(axis=0), out=low)
+    return np.packbits((low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts the distinct hashed shingles in the place of the text, which is the last column."""
+    """Puts the sketch and the distinct hashed shingles in the place of the text, which is the last column."""
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         for at in range(0, batch.num_rows, _SLICE):
             part = batch.slice(at, _SLICE)
-            sets = [np.fromiter({digest(s, SEED) for s in shingles(_words(t), NEAR_WIDTH)}, "<u8").tobytes() for t in part.columns[-1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], names=[*part.schema.names[:-1], "shingles"])
+            sets = [np.fromiter({digest(s, SEED) for s in shingles(_words(t), NEAR_WIDTH)}, "<u8") for t in part.columns[-1].to_pylist()]
+            columns = [*part.columns[:-1], pa.array([sketch(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "sketch", "shingles"])
 
 
 def near_edges(sets: list[np.ndarray], least: float = NEAR) -> Iterator[tuple[int, int]]:
@@ -347,17 +396,24 @@ def _exact(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _near_texts(docs: DataFrame, marked: DataFrame, hot: int, block: int) -> DataFrame:
     """(node, component) of the digests of texts linked by the similarity of their shingles."""
-    wanted = _candidates(marked, hot)
-    if wanted.count() * 128 <= SMALL:
+    met = _meetings(marked, hot)
+    wanted = cut(met.select("name").distinct())
+    if wanted.count() * 64 <= SMALL:
         wanted = F.broadcast(wanted)
-    texts = docs.select(_digest(F.col("text")).alias("_digest"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, "_digest").groupBy("_digest", "head", "n", "all_bytes").agg(F.first("text").alias("text"))
+    texts = docs.select(_digest(F.col("text")).alias("_digest"), F.col("text").cast("string").alias("text")).withColumn("name", F.xxhash64("_digest"))
+    found = texts.join(wanted, "name").groupBy("_digest", "name").agg(F.first("text").alias("text"))
+    found = found.select("_digest", "name", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), "text")
+    sets = cut(found.mapInArrow(_shingle_sets, "_digest binary, name long, bytes long, sketch binary, shingles binary"))
+    # What met is compared by sketches; what agrees, by all its shingles.
+    sketched = met.join(sets.select("name", F.col("sketch").alias("fp")), "name").select(F.col("head").alias("cell"), "fp", "name")
+    near = cut(_stars_of(_met(sketched, hot, SKETCH_BITS)))
+    sizes = cut(near.join(sets.select("name", "bytes"), "name").groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")))
     blocks = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("all_bytes") * 2 / BLOCK_BYTES)).cast("int")
     whole = (F.col("n") <= block) & (F.col("all_bytes") <= BLOCK_BYTES)
-    sets = cut(found.mapInArrow(_shingle_sets, "_digest binary, head long, n long, all_bytes long, shingles binary").withColumn("blocks", F.when(whole, 1).otherwise(blocks)))
-    own = F.pmod(F.xxhash64("_digest"), F.col("blocks").cast("long")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
-    dealt = dealt.select("head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "_digest", "shingles")
+    placed = cut(near.join(sizes.select("head", F.when(whole, 1).otherwise(blocks).alias("blocks")), "head"))
+    own = F.pmod(F.xxhash64("name"), F.col("blocks").cast("long")).cast("int")
+    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
+    dealt = dealt.select("head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "name").join(sets.select("name", "_digest", "shingles"), "name").drop("name")
     return connected_components(cut(dealt.groupBy("head", "lo", "hi").applyInPandas(_exact, "src binary, dst binary")))
 
 
@@ -378,9 +434,8 @@ def without_near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) ->
     own, so that the join and the choice among repeated rows share one exchange of the documents."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
     digest = _digest(F.col("text")).alias("_digest")
-    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("bytes")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, size, F.col("text").cast("string").alias("text"))
-    marked = cut(rows.mapInArrow(_word_prints, "doc_id long, _digest binary, bytes long, prints array<long>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, F.col("text").cast("string").alias("text"))
+    marked = cut(rows.mapInArrow(_word_prints, "doc_id long, _digest binary, prints array<long>"))
     near = cut(_near_texts(docs, marked, hot, block))
     grouped = marked.join(near.withColumnRenamed("node", "_digest"), "_digest", "left")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")).alias("least")
