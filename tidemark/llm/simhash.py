@@ -20,9 +20,9 @@ words than of the shingles, so the filter takes WORD_PRINTS fingerprints over th
 each bit a vote of them, looks each up by the same anchors, and lets pairs meet that share an
 anchor and differ there in WORD_BITS bits at most. Texts of one template meet like that too, so
 nothing is closed over yet: what met at an anchor is compared again by sketches of SKETCH bits,
-each the low bit of a minimum over the shingles, and what still agrees is compared exactly by its
-shingles, through an index of the shingles and not by pairs. Only exact links connect texts. Large
-groups are compared by pairs of blocks at each step.
+each a bit of a minimum over the shingles. Groups of texts whose sketches agree are compared
+exactly by their shingles, through an index of the shingles and not by pairs, and only exact links
+connect texts. Large groups are compared by pairs of blocks at each step.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ SEED = 42
 #: Most fingerprints that one task compares at one anchor.
 HOT = 16384
 #: Fingerprints over distinct words (an even number), and bits in which those that meet may differ.
-WORD_PRINTS, WORD_BITS = 8, 10
+WORD_PRINTS, WORD_BITS = 8, 8
 #: Bits of a text's sketch, and in how many near copies differ: a tenth at similarity 0.8, and three
 #: standard deviations more.
 SKETCH, SKETCH_BITS = 512, 72
@@ -320,16 +320,12 @@ def _stars_of(edges: DataFrame) -> DataFrame:
 
 def _meetings(marked: DataFrame, hot: int) -> DataFrame:
     """(head, name) of distinct texts of rows (_digest, prints) that met at anchors, gathered by the
-    smallest of each meeting. A text is named by a hash of its digest, and texts of the same
-    prints meet by themselves, the first of them at the anchors."""
-    texts = cut(marked.groupBy("_digest").agg(F.first("prints").alias("prints")).select(F.xxhash64("_digest").alias("name"), "prints"))
-    alike = cut(texts.groupBy("prints").agg(F.min("name").alias("head"), F.count("*").alias("n")))
-    same = texts.join(alike.where("n > 1").drop("n"), "prints").select("head", "name")
-    found = links(alike.select(F.col("head").alias("name"), F.posexplode("prints").alias("k", "fp")), hot, WORD_BITS)
-    # Whoever shares the prints of a text goes to its meetings.
-    stars = cut(_stars_of(found))
-    more = stars.withColumnRenamed("name", "of").join(same.where("head <> name").withColumnRenamed("head", "of"), "of").select("head", "name")
-    return cut(stars.unionByName(same).unionByName(more).distinct())
+    smallest of each meeting. A text is named by a hash of its digest. Texts that share a
+    fingerprint meet by it, and the smallest of them alone goes to its anchors."""
+    texts = cut(marked.groupBy("_digest").agg(F.first("prints").alias("prints")).select(F.xxhash64("_digest").alias("name"), F.posexplode("prints").alias("k", "fp")))
+    sets = cut(texts.groupBy("k", "fp").agg(F.min("name").alias("name"), F.max("name").alias("other")))
+    same = texts.join(sets.where("name <> other").select("k", "fp", F.col("name").alias("head")), ["k", "fp"]).select("head", "name")
+    return cut(_stars_of(links(sets.select("k", "fp", "name"), hot, WORD_BITS)).unionByName(same).distinct())
 
 
 _SEEDS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
@@ -404,13 +400,14 @@ def _near_texts(docs: DataFrame, marked: DataFrame, hot: int, block: int) -> Dat
     found = texts.join(wanted, "name").groupBy("_digest", "name").agg(F.first("text").alias("text"))
     found = found.select("_digest", "name", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), "text")
     sets = cut(found.mapInArrow(_shingle_sets, "_digest binary, name long, bytes long, sketch binary, shingles binary"))
-    # What met is compared by sketches; what agrees, by all its shingles.
+    # What met is compared by sketches; groups of what agrees, by all their shingles.
     sketched = met.join(sets.select("name", F.col("sketch").alias("fp")), "name").select(F.col("head").alias("cell"), "fp", "name")
-    near = cut(_stars_of(_met(sketched, hot, SKETCH_BITS)))
-    sizes = cut(near.join(sets.select("name", "bytes"), "name").groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")))
+    near = connected_components(_met(sketched, hot, SKETCH_BITS)).select(F.col("component").alias("head"), F.col("node").alias("name"))
+    near = cut(near.join(sets.select("name", "bytes"), "name"))
+    sizes = cut(near.groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")))
     blocks = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("all_bytes") * 2 / BLOCK_BYTES)).cast("int")
     whole = (F.col("n") <= block) & (F.col("all_bytes") <= BLOCK_BYTES)
-    placed = cut(near.join(sizes.select("head", F.when(whole, 1).otherwise(blocks).alias("blocks")), "head"))
+    placed = cut(near.select("head", "name").join(sizes.select("head", F.when(whole, 1).otherwise(blocks).alias("blocks")), "head"))
     own = F.pmod(F.xxhash64("name"), F.col("blocks").cast("long")).cast("int")
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
     dealt = dealt.select("head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "name").join(sets.select("name", "_digest", "shingles"), "name").drop("name")
