@@ -401,7 +401,7 @@ def _near_texts(docs: DataFrame, marked: DataFrame, hot: int, block: int) -> Dat
     found = found.select("_digest", "name", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), "text")
     sets = cut(found.mapInArrow(_shingle_sets, "_digest binary, name long, bytes long, sketch binary, shingles binary"))
     # What met is compared by sketches; groups of what agrees, by all their shingles.
-    sketched = met.join(sets.select("name", F.col("sketch").alias("fp")), "name").select(F.col("head").alias("cell"), "fp", "name")
+    sketched = cut(met.join(sets.select("name", F.col("sketch").alias("fp")), "name").select(F.col("head").alias("cell"), "fp", "name"))
     near = connected_components(_met(sketched, hot, SKETCH_BITS)).select(F.col("component").alias("head"), F.col("node").alias("name"))
     near = cut(near.join(sets.select("name", "bytes"), "name"))
     sizes = cut(near.groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")))
