@@ -256,6 +256,22 @@ def test_stream_machine_equals_batch(spark, small):
     assert key(all_queries()["stream_fsm"](spark, small).where("kind <> 'open'")) == key(batch)
 
 
+def test_every_reason_sends_a_candidate_to_review(spark):
+    """A candidate that passes all, and one changed in a single way for each reason."""
+    from tidemark.operators import scoring
+
+    good = {"score": 0.45, "score_density": 0.2, "n_hard": 1, "hard_density": 0.35, "weak_span": 350.0, "opening_only": False, "fuzzy_only": False, "audio_only": False, "scene_only": False, "length": 179.0, "density_strength": 0.1}
+    bad = [
+        ("", {}), ("low score", {"score": 0.449}), ("low score density", {"score_density": 0.199}), ("too little hard evidence", {"n_hard": 0}), ("thin hard evidence", {"hard_density": 0.349}), ("weak span", {"weak_span": 350.1}),
+        ("opening only", {"opening_only": True}), ("fuzzy only", {"fuzzy_only": True}), ("sound only", {"audio_only": True}), ("scene only", {"scene_only": True}), ("long and thin", {"length": 180.0}), ("", {"length": 180.0, "density_strength": 0.35}),
+        ("low score;fuzzy only;long and thin", {"score": 0.1, "fuzzy_only": True, "length": 200.0}),
+    ]
+    rows = spark.createDataFrame([(why, *(good | change).values()) for why, change in bad], ["want", *good])
+    got = scoring.filtered(rows, 10.0, fsm.CUES).collect()
+    assert len(got) == len(bad) and all(r.failed == r.want and r.status == ("review" if r.want else "prediction") for r in got)
+    assert {r.failed for r in scoring.filtered(rows.where("want = ''"), 10.0, ["hard", "actual_start"]).collect()} == {"label columns"}
+
+
 def _steps(*steps) -> list:
     """(time, mask) of (time, cues) pairs."""
     return [(float(t), sum(1 << fsm.CUES.index(c) for c in cues.split())) for t, cues in steps]

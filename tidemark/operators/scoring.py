@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clip, reasons
+from tidemark.sources.tabular import forbidden
 
 # Weights, thresholds and penalties of the candidate score.
 WEIGHTS = {"start": 0.30, "continuity": 0.22, "end": 0.16, "density": 0.17, "timeline": 0.10, "audio": 0.05}
@@ -51,10 +54,24 @@ def scored(candidates: DataFrame, unit: float = 1.0, duration: str | None = None
     return out.withColumn("ultra", ultra)
 
 
-def filtered(candidates: DataFrame) -> DataFrame:
-    """Adds status (prediction or review) and the thresholds that failed."""
-    why = reasons([(F.col("score") < LEAST["score"], "low score"), (F.col("score_density") < LEAST["score_density"], "low score density"), (F.col("n_hard") < LEAST["hard"], "too little hard evidence"), (F.col("hard_density") < LEAST["hard_density"], "thin hard evidence")])
-    out = candidates.withColumn("failed", why)
+def filtered(candidates: DataFrame, unit: float = 1.0, read: Iterable[str] = ()) -> DataFrame:
+    """Adds status (prediction or review) and failed, the reasons for review, of closed candidates
+    from scored(). read names the columns that the decision was made from: where one of them
+    tells of labels, every candidate goes to review."""
+    why = [
+        (F.col("score") < LEAST["score"], "low score"),
+        (F.col("score_density") < LEAST["score_density"], "low score density"),
+        (F.col("n_hard") < LEAST["hard"], "too little hard evidence"),
+        (F.col("hard_density") < LEAST["hard_density"], "thin hard evidence"),
+        (F.col("weak_span") / unit > WEAK_SPAN, "weak span"),
+        (F.lit(bool(forbidden(list(read)))), "label columns"),
+        (F.col("opening_only"), "opening only"),
+        (F.col("fuzzy_only"), "fuzzy only"),
+        (F.col("audio_only"), "sound only"),
+        (F.col("scene_only"), "scene only"),
+        ((F.col("length") >= LONG) & (F.col("density_strength") < THIN), "long and thin"),
+    ]
+    out = candidates.withColumn("failed", reasons(why))
     return out.withColumn("status", F.when(F.col("failed") == "", "prediction").otherwise("review"))
 
 

@@ -14,7 +14,7 @@ from tidemark.sources.tabular import only_splits
 _T0 = 1704067200.0
 
 _CUES = f"""{P}, q AS (SELECT *, event_type = 'purchase' AND value >= 40 AS hard, event_type = 'click' AND value >= 20 AS start_support, event_type = 'view' AS continuity, event_type = 'error' AND value >= 25 AS end_support, event_type = 'signup' AS weak,
-event_type = 'purchase' AND t - {_T0} < {36 * HOUR} AND value < 80 AS opening_only, event_type = 'click' AND value < 24 AS audio_only, false AS scene_only, event_type = 'click' AND value >= 50 AS audio_start, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END + CASE WHEN event_type = 'purchase' AND value >= 70 THEN 1 ELSE 0 END AS kinds, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM p)"""
+event_type = 'purchase' AND t - {_T0} < {36 * HOUR} AND value < 80 AS opening_only, (event_type = 'click' AND value < 24) OR (event_type IN ('purchase', 'error') AND floor(value) % 5 = 0) AS audio_only, event_type IN ('purchase', 'error') AND floor(value) % 3 = 0 AS scene_only, event_type = 'view' AND value < 2 AS fuzzy_only, event_type = 'click' AND value >= 50 AS audio_start, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END + CASE WHEN event_type = 'purchase' AND value >= 70 THEN 1 ELSE 0 END AS kinds, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM p)"""
 
 
 def _limits() -> fsm.Limits:
@@ -29,7 +29,7 @@ def _cues(spark: SparkSession, d: str) -> DataFrame:
     k, v, t = F.col("event_type"), F.col("value"), F.col("t") - _T0
     flags = {
         "hard": (k == "purchase") & (v >= 40), "start_support": (k == "click") & (v >= 20), "continuity": k == "view", "end_support": (k == "error") & (v >= 25), "weak": k == "signup",
-        "opening_only": (k == "purchase") & (t < 36 * HOUR) & (v < 80), "fuzzy_only": F.lit(False), "audio_only": (k == "click") & (v < 24), "scene_only": F.lit(False), "audio": (k == "click") & (v >= 24), "ocr_hard": (k == "purchase") & (v >= 60),
+        "opening_only": (k == "purchase") & (t < 36 * HOUR) & (v < 80), "fuzzy_only": (k == "view") & (v < 2), "audio_only": ((k == "click") & (v < 24)) | (k.isin("purchase", "error") & (F.floor(v) % 5 == 0)), "scene_only": k.isin("purchase", "error") & (F.floor(v) % 3 == 0), "audio": (k == "click") & (v >= 24), "ocr_hard": (k == "purchase") & (v >= 60),
         "recent_hard": (k == "purchase") & (v >= 50), "strong": (k == "purchase") & (v >= 30), "support": k.isin("click", "view"), "known_low": (k == "error") & (v >= 40), "conflict": (k == "error") & (v < 5), "start_high": (k == "purchase") & (v >= 60),
         "start_medium": (k == "purchase") & (v >= 20) & (v < 60), "audio_start": (k == "click") & (v >= 50), "unreliable": v < 15, "text": (k == "view") & (v >= 20), "product": (k == "signup") & (v >= 40), "rise": (k == "click") & (v >= 60), "confirm": k.isin("purchase", "view") & (v >= 15),
         "kind_product": k.isin("purchase", "signup"), "kind_call": (k == "purchase") & (v >= 70),
@@ -141,24 +141,26 @@ def fsm_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    closed = _machine(spark, d, "evidence").where("kind in ('closed', 'open')")
-    out = scoring.filtered(scoring.scored(closed.withColumn("duration", F.lit(30 * 24 * HOUR)), HOUR, "duration"))
+    """Closed intervals, scored and filtered; open ones are reported by fsm_intervals alone."""
+    closed = _machine(spark, d, "evidence").where("kind = 'closed'")
+    scored = scoring.scored(closed.withColumn("duration", F.lit(30 * 24 * HOUR)), HOUR, "duration")
+    out = scoring.filtered(scored, HOUR, fsm.CUES)
     return out.withColumn("cand_id", windows.row_rank("user_id", "start", "end"))
 
 
 _SCORED = f"""{_WALK},
-made AS (SELECT user_id, seq, kind, os AS start, oe AS "end", ow AS why FROM w WHERE kind = 'closed' UNION ALL SELECT w.user_id, w.seq, 'open', w.a, q.t, 'end of rows' FROM w JOIN (SELECT user_id, max(i) AS i, max(t) AS t FROM q GROUP BY 1) q ON w.user_id = q.user_id AND w.i = q.i WHERE w.a IS NOT NULL),
+made AS (SELECT user_id, seq, kind, os AS start, oe AS "end", ow AS why FROM w WHERE kind = 'closed'),
 took AS (SELECT w.user_id, w.seq, q.* EXCLUDE (user_id) FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i WHERE w.took UNION ALL SELECT w.user_id, w.seq, q.* EXCLUDE (user_id) FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.pk),
 spans AS (SELECT user_id, seq, g, max(t) FILTER (weak) - min(t) FILTER (weak) AS span FROM (SELECT *, sum(CASE WHEN weak THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM took) GROUP BY 1, 2, 3),
 n AS (SELECT user_id, seq, count(*) AS n, count(*) FILTER (hard) AS hard, count(*) FILTER (start_support) AS ss, count(*) FILTER (continuity) AS ct, count(*) FILTER (event_type = 'purchase' AND value >= 60) AS oh, count(*) FILTER (event_type = 'purchase' AND value >= 50) AS rh,
-count(*) FILTER (event_type = 'click' AND value >= 24) AS au, bool_or(opening_only) AS oo, bool_and(audio_only) AS ao, max(kinds) AS kinds FROM took GROUP BY 1, 2),
+count(*) FILTER (event_type = 'click' AND value >= 24) AS au, bool_or(opening_only) AS oo, bool_or(fuzzy_only) AS fo, bool_and(audio_only) AS ao, bool_and(scene_only) AS so, max(kinds) AS kinds FROM took GROUP BY 1, 2),
 f AS (SELECT made.*, n.* EXCLUDE (user_id, seq), greatest(1, (made."end" - made.start) / {HOUR}) AS len, coalesce((SELECT max(span) FROM spans s WHERE s.user_id = made.user_id AND s.seq = made.seq), 0) / {HOUR} AS weak_span FROM made JOIN n ON made.user_id = n.user_id AND made.seq = n.seq),
 g AS (SELECT *, hard / greatest(1, len / 60) AS hd FROM f),
 b AS (SELECT *, least(1, hd / 4) AS dens, least(1, CASE WHEN hard > 0 THEN 1 ELSE 0.62 END + least(0.18, 0.04 * ss)) * 0.3 + least(1, (hard + 0.5 * ct + 0.3 * ss) / n) * 0.22 + CASE WHEN why = 'end support' THEN 0.86 WHEN why = 'freshness' THEN 0.68 WHEN why = 'support cap' THEN 0.58 ELSE 0.35 END * 0.16 + least(1, hd / 4) * 0.17 + least(1, (rh + 0.5 * oh) / n) * 0.1 + least(1, au / n) * 0.05 AS base FROM g),
-c AS (SELECT *, CASE WHEN weak_span > 35 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 THEN 0.08 ELSE 0 END + CASE WHEN oo THEN 0.3 ELSE 0 END + CASE WHEN ao THEN 0.28 ELSE 0 END + CASE WHEN len > 240 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 AND dens < 0.35 THEN 0.12 ELSE 0 END AS penalty FROM b),
+c AS (SELECT *, CASE WHEN weak_span > 35 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 THEN 0.08 ELSE 0 END + CASE WHEN oo THEN 0.3 ELSE 0 END + CASE WHEN fo THEN 0.24 ELSE 0 END + CASE WHEN ao THEN 0.28 ELSE 0 END + CASE WHEN so THEN 0.32 ELSE 0 END + CASE WHEN len > 240 THEN 0.08 ELSE 0 END + CASE WHEN len >= 180 AND dens < 0.35 THEN 0.12 ELSE 0 END AS penalty FROM b),
 x AS (SELECT *, greatest(0, least(1, base - penalty)) AS score FROM c), y AS (SELECT *, least(1, score / greatest(1, len / 60)) AS sd FROM x),
-z AS (SELECT *, least(1, 0.65 * score + 0.35 * sd) AS rank_score, score >= 0.85 AND sd >= 0.35 AND hard >= 3 AND hd >= 1 AND oh >= 2 AND kinds >= 2 AND NOT (oo OR ao) AS ultra,
-concat_ws(';', CASE WHEN score < 0.45 THEN 'low score' END, CASE WHEN sd < 0.2 THEN 'low score density' END, CASE WHEN hard < 1 THEN 'too little hard evidence' END, CASE WHEN hd < 0.35 THEN 'thin hard evidence' END) AS failed, row_number() OVER (PARTITION BY user_id ORDER BY start, "end") AS cand_id FROM y)"""
+z AS (SELECT *, least(1, 0.65 * score + 0.35 * sd) AS rank_score, score >= 0.85 AND sd >= 0.35 AND hard >= 3 AND hd >= 1 AND oh >= 2 AND kinds >= 2 AND NOT (oo OR fo OR ao OR so) AS ultra,
+concat_ws(';', CASE WHEN score < 0.45 THEN 'low score' END, CASE WHEN sd < 0.2 THEN 'low score density' END, CASE WHEN hard < 1 THEN 'too little hard evidence' END, CASE WHEN hd < 0.35 THEN 'thin hard evidence' END, CASE WHEN weak_span > 35 THEN 'weak span' END, CASE WHEN oo THEN 'opening only' END, CASE WHEN fo THEN 'fuzzy only' END, CASE WHEN ao THEN 'sound only' END, CASE WHEN so THEN 'scene only' END, CASE WHEN len >= 180 AND dens < 0.35 THEN 'long and thin' END) AS failed, row_number() OVER (PARTITION BY user_id ORDER BY start, "end") AS cand_id FROM y)"""
 
 
 @query(_SCORED + ' SELECT user_id, cand_id, start, "end", round(score, 6) AS score, round(sd, 6) AS score_density, round(rank_score, 6) AS rank_score, round(hd, 6) AS hard_density, round(penalty, 6) AS penalty, ultra, failed, CASE WHEN failed = \'\' THEN \'prediction\' ELSE \'review\' END AS status FROM z')
