@@ -6,7 +6,7 @@ import random
 from types import SimpleNamespace
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -272,6 +272,41 @@ def test_every_reason_sends_a_candidate_to_review(spark):
     assert {r.failed for r in scoring.filtered(rows.where("want = ''"), 10.0, ["hard", "actual_start"]).collect()} == {"label columns"}
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6), st.integers(0, 6), st.integers(0, 4)), min_size=1, max_size=40))
+def test_rounds_of_dominant_pairs_equal_the_greedy_walk(spark, pairs):
+    want, used = set(), set()
+    for v, a, b, k in sorted((v, a, b, k) for k, a, b, v in pairs):
+        if not {(k, "l", a), (k, "r", b)} & used:
+            used |= {(k, "l", a), (k, "r", b)}
+            want.add((k, a, b, v))
+    rows = frame(spark, pairs, "k long, a long, b long, v long")
+    got = folds.greedy_pairs(rows, "k", "a", "b", [("v", True), ("a", True), ("b", True)])
+    assert got.columns == rows.columns and {tuple(r) for r in got.collect()} == want
+    assert folds.greedy_pairs(rows.limit(0), "k", "a", "b", [("v", True)]).count() == 0
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 60), st.integers(0, 5)), min_size=1, max_size=40), st.integers(1, 6), st.booleans())
+def test_pieces_fold_as_whole_keys_do(spark, rows, gap, inclusive):
+    """Suppression and time dedupe of a key cut at wide steps, against a walk over the whole key."""
+    best, times = set(), set()
+    for k in {r[0] for r in rows}:
+        kept: list = []
+        for s, t in sorted((-s, t) for kk, t, s in rows if kk == k):
+            if not any(abs(t - u) < gap or (inclusive and abs(t - u) == gap) for _, u in kept):
+                kept.append((s, t))
+        best |= {(k, float(t), float(-s)) for s, t in kept}
+        last = None
+        for t in sorted({t for kk, t, _ in rows if kk == k}):
+            if last is None or t - last > gap:
+                last = t
+                times.add((k, float(t)))
+    data = frame(spark, [(k, float(t), float(s)) for k, t, s in rows], "k long, t double, s double")
+    assert {tuple(r) for r in folds.nms(data, "k", "t", "s", gap, inclusive).collect()} == best
+    assert {tuple(r) for r in folds.tolerance_times(data, "k", "t", gap).collect()} == times
+
+
 def _steps(*steps) -> list:
     """(time, mask) of (time, cues) pairs."""
     return [(float(t), sum(1 << fsm.CUES.index(c) for c in cues.split())) for t, cues in steps]

@@ -7,14 +7,28 @@ Rows are narrow (an id, times, a score); details join back by id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
+
+def pieces(rows: DataFrame, key: str, t: str, apart: Callable[[Column], Column]) -> DataFrame:
+    """Adds _piece: a key's rows in time order, cut where the step between neighbours satisfies
+    apart. Where no decision reaches over such a step, pieces fold by themselves and a key of many
+    rows spreads over tasks; only the numbering runs along a key, one row at a time."""
+    along = Window.partitionBy(key).orderBy(t)
+    step = F.coalesce(apart(F.col(t) - F.lag(t).over(along)), F.lit(False)).cast("int")
+    return rows.withColumn("_step", step).withColumn("_piece", F.sum("_step").over(along.rangeBetween(Window.unboundedPreceding, 0))).drop("_step")
+
 
 def nms(rows: DataFrame, key: str, t: str, score: str, gap: float, inclusive: bool = False) -> DataFrame:
     """(key, t, score) kept by greedy suppression: by score, then time, a row stays unless it is
-    nearer than gap (or at it, if inclusive) to one that stayed."""
+    nearer than gap (or at it, if inclusive) to one that stayed. Steps that suppress nothing cut a
+    key into pieces. Rows without a time or score are left out."""
     item = F.struct((-F.col(score)).alias("s"), F.col(t).alias("t"))
     near = (lambda d: d <= gap) if inclusive else (lambda d: d < gap)
     kept = F.aggregate(
@@ -22,18 +36,22 @@ def nms(rows: DataFrame, key: str, t: str, score: str, gap: float, inclusive: bo
         F.array().cast("array<struct<s:double,t:double>>"),
         lambda acc, x: F.when(F.exists(acc, lambda k: near(F.abs(k["t"] - x["t"]))), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    out = rows.where(F.col(t).isNotNull() & F.col(score).isNotNull()).groupBy(key).agg(kept.alias("kept"))
-    return out.select(key, F.explode("kept").alias("k")).select(key, F.col("k.t").alias(t), (-F.col("k.s")).alias(score))
+    there = rows.where(F.col(t).isNotNull() & F.col(score).isNotNull()).select(F.col(key).alias("_key"), F.col(t).cast("double").alias(t), F.col(score).cast("double").alias(score))
+    out = pieces(there, "_key", t, lambda d: ~near(d)).groupBy("_key", "_piece").agg(kept.alias("_kept"))
+    return out.select("_key", F.explode("_kept").alias("_k")).select(F.col("_key").alias(key), F.col("_k.t").alias(t), (-F.col("_k.s")).alias(score))
 
 
 def tolerance_times(rows: DataFrame, key: str, t: str, tolerance: float) -> DataFrame:
-    """Times of each key less those within tolerance of the last kept one, in time order."""
+    """Times of each key less those within tolerance of the last kept one, in time order. A step
+    beyond the tolerance always keeps the later time, and cuts a key into pieces."""
     kept = F.aggregate(
         F.array_sort(F.collect_set(t)),
         F.array().cast("array<double>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (x - F.element_at(acc, -1) <= tolerance), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    return rows.groupBy(key).agg(kept.alias("kept")).select(key, F.explode("kept").alias(t))
+    there = rows.where(F.col(t).isNotNull()).select(F.col(key).alias("_key"), F.col(t).cast("double").alias(t))
+    cuts = pieces(there, "_key", t, lambda d: d > tolerance)
+    return cuts.groupBy("_key", "_piece").agg(kept.alias("_kept")).select(F.col("_key").alias(key), F.explode("_kept").alias(t))
 
 
 def budget_guard(rows: DataFrame, key: str, ident: str, length: str, order: list[Column], target: Column, only_above: Column, always: Column | None = None, first: bool = False) -> DataFrame:
@@ -117,19 +135,28 @@ def bridge(intervals: DataFrame, key: str, gap: float, longest: float) -> DataFr
 
 
 def greedy_pairs(pairs: DataFrame, key: str, left: str, right: str, order: list[tuple[str, bool]]) -> DataFrame:
-    """One-to-one matching: a key's pairs in order (column, ascending), taken if both ends are free."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([c for c, _ in order], ascending=[a for _, a in order])
-        used_l, used_r, keep = set(), set(), []
-        for a, b in zip(rows[left].tolist(), rows[right].tolist(), strict=True):
-            keep.append(a not in used_l and b not in used_r)
-            if keep[-1]:
-                used_l.add(a)
-                used_r.add(b)
-        return rows[keep]
-
-    return pairs.groupBy(key).applyInPandas(run, pairs.schema)
+    """One-to-one matching: a key's pairs in order (column, ascending), taken if both ends are free.
+
+    Under a strict order that is the same as rounds of dominant pairs: one that comes first among
+    all open pairs of its left end and of its right end is taken by any greedy walk, whatever
+    comes before it. Each round takes these, over all keys at once, and drops the other pairs of
+    their ends; no task walks a key. Pairs of the same ends count once, the first of them, and
+    ties of the whole order go by the ends. An end that is null is an end like any other."""
+    rank = F.struct(*[(F.col(c) if up else -F.col(c)).alias(f"o{k}") for k, (c, up) in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
+    names = pairs.columns
+    rows = pairs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *[F.col(c).alias(f"_{n}") for n, c in (("k", key), ("l", left), ("r", right))], rank.alias("_rank"))
+    first = Window.partitionBy("_k", "_l", "_r").orderBy("_rank")
+    left_open = cut(rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    taken: DataFrame | None = None
+    by = [Window.partitionBy("_k", end) for end in ("_l", "_r")]
+    while not left_open.isEmpty():
+        best = left_open.withColumn("_a", F.min("_rank").over(by[0])).withColumn("_won", (F.col("_a") == F.col("_rank")) & (F.min("_rank").over(by[1]) == F.col("_rank"))).drop("_a")
+        gone = best.withColumn("_gr", F.max("_won").over(by[1])).withColumn("_gone", F.col("_gr") | F.max("_won").over(by[0])).drop("_gr")
+        marked = cut(gone)
+        won = marked.where("_won").select("_row.*")
+        taken = won if taken is None else taken.unionByName(won)
+        left_open = marked.where("not _gone").drop("_won", "_gone")
+    return pairs.limit(0) if taken is None else taken
 
 
 def greedy_by_left(pairs: DataFrame, key: str, left: str, right: str, left_order: str, score: str) -> DataFrame:
