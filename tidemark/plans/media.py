@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query, table
-from tidemark.session import qualified, shared_dir
+from tidemark.session import cut, qualified, shared_dir
 from tidemark.sources import books, containers, store
 
 #: Vectors of a film, its pictures' width, pictures and samples a second.
@@ -136,7 +136,7 @@ CASE WHEN sheet_no = 0 OR kind = 1 THEN '' WHEN kind = 0 THEN '7:AD start min se
 )
 def workbook_headers(spark: SparkSession, d: str) -> DataFrame:
     """Header, columns by meaning and unclear headers of every sheet of written books, and which sheet is the main one."""
-    found = books.headers(books.read_sheets(spark, _books(spark, d)))
+    found = books.headers(books.read_sheets(spark, _books(spark, d), books.HEADER_ROWS))
     main = books.main_sheets(found).select("path", "sheet_no", F.lit(True).alias("main"))
     told = F.array_join(F.transform(F.array_sort(F.map_entries("columns")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return found.join(main, ["path", "sheet_no"], "left").select(_book(), "sheet_no", "sheet", "header_row", "score", told.alias("columns"), "ambiguous", F.coalesce("main", F.lit(False)).alias("main"))
@@ -155,6 +155,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY o_orderkey) AS k F
 )
 def workbook_labels(spark: SparkSession, d: str) -> DataFrame:
     """Clean interval labels of the main sheets of written books."""
-    rows = books.read_sheets(spark, _books(spark, d))
-    labels = books.clean_labels(books.mapped_rows(rows, books.main_sheets(books.headers(rows))))
+    folder = _books(spark, d)
+    main = cut(books.main_sheets(books.headers(books.read_sheets(spark, folder, books.HEADER_ROWS))))
+    labels = books.clean_labels(books.mapped_rows(books.read_sheets(spark, folder), main))
     return labels.select(_book(), "row_number", "ad_interval_id", "video_id", "video_title", "start_sec", "end_sec", "duration_sec", "is_abrupt", "label_valid", "invalid_reason", "warnings")

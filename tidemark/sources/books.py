@@ -1,6 +1,6 @@
 """Workbooks as tables: a data source over sheets, headers found by meaning, labels made clean.
 
-`workbook` reads XLSX files by ranges of their archive, a partition a sheet: the sheet's XML is
+`workbook` reads XLSX files by ranges of their archive, a partition a large sheet: its XML is
 streamed, cells point into the book's table of shared strings, and a row comes out as soon as it
 is read, so a sheet is never held whole. Which row is the header and which sheet the main one is
 decided on rows, with DataFrame operations, from the first rows of every sheet.
@@ -9,6 +9,7 @@ decided on rows, with DataFrame operations, from the first rows of every sheet.
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -28,8 +29,9 @@ from tidemark.sources import store
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 SCHEMA = "path string, sheet string, sheet_no int, position int, row_number int, cells array<string>"
-#: Rows of a sheet that may be its header; rows of a batch; books up to which sheets are partitions.
-HEADER_ROWS, BATCH, BOOKS = 20, 4096, 256
+#: Rows of a sheet that may be its header; rows of a batch; books up to which sheets are dealt to
+#: partitions of so many bytes of XML at least, where a book has them.
+HEADER_ROWS, BATCH, BOOKS, PARTITION = 20, 4096, 256, 16 << 20
 #: Rows of a sheet at most (fixed by the format).
 SHEET_ROWS = 1_048_576
 
@@ -109,36 +111,42 @@ def sheet_cells(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator
 
 
 @dataclass
-class _Sheet(InputPartition):
+class _Sheets(InputPartition):
     path: str
-    sheet: int | None
+    numbers: list[int] | None
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path, self.first = options["path"], int(options.get("first", SHEET_ROWS))
 
     def partitions(self) -> list[InputPartition]:
         books = store.listed(self.path, (".xlsx",))
         if len(books) > BOOKS:
-            return [_Sheet(p, None) for p in books]
+            return [_Sheets(p, None) for p in books]
         out: list[InputPartition] = []
         for p in books:
             with store.opened(p) as f, zipfile.ZipFile(f) as book:
-                out += [_Sheet(p, k) for k in range(len(sheets_of(book)))]
+                size = PARTITION
+                for k, (_, part) in enumerate(sheets_of(book)):
+                    size += book.getinfo(part).file_size
+                    if size >= PARTITION:
+                        out.append(_Sheets(p, []))
+                        size = book.getinfo(part).file_size
+                    out[-1].numbers.append(k)
         return out
 
-    def read(self, partition: _Sheet | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Sheets | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks once, for nothing, where there are no partitions
             return
         names = [p.split()[0] for p in SCHEMA.split(", ")]
         with store.opened(partition.path) as f, zipfile.ZipFile(f) as book:
             shared = shared_strings(book)
             for no, (name, part) in enumerate(sheets_of(book)):
-                if partition.sheet not in (None, no):
+                if partition.numbers is not None and no not in partition.numbers:
                     continue
                 held: list[tuple] = []
-                for position, (row, cells) in enumerate(sheet_cells(book, part, shared)):
+                for position, (row, cells) in enumerate(itertools.islice(sheet_cells(book, part, shared), self.first)):
                     held.append((position, row, cells))
                     if len(held) == BATCH:
                         yield self._batch(partition.path, name, no, held, names)
@@ -168,12 +176,12 @@ class Workbook(DataSource):
         return _Reader(self.options)
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, sheet_no, position, row_number, cells): every row of every sheet, cells as
-    text, missing ones null; position counts the rows a sheet has, from 0. A book without sheets
-    or a sheet without rows gives none."""
+def read_sheets(spark: SparkSession, path: str, first: int = SHEET_ROWS) -> DataFrame:
+    """(path, sheet, sheet_no, position, row_number, cells): every row of every sheet (or the
+    first ones of each), cells as text, missing ones null; position counts the rows a sheet has,
+    from 0. A book without sheets or a sheet without rows gives none."""
     spark.dataSource.register(Workbook)
-    return spark.read.format("workbook").load(path)
+    return spark.read.format("workbook").option("first", first).load(path)
 
 
 # Headers by meaning.
