@@ -74,23 +74,50 @@ def luma_statistics(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.round("l.mean", 6).alias("mean"), F.round("l.min", 6).alias("min"), F.round("l.p10", 6).alias("p10"), F.round("l.dark_ratio", 9).alias("dark_ratio"), F.col("l.black").alias("black"))
 
 
+#: Reach of the context and of the rows before it, step of a sample, least dark run, guard of the timeline's end.
+_CONTEXT, _BEFORE, _STEP, _SUSTAINED, _GUARD = 15 * HOUR, 30 * HOUR, 5 * HOUR, 10 * HOUR, 24 * HOUR
+
+
 @query(
-    f"""WITH {P}, a AS (SELECT user_id, event_id, t FROM p WHERE event_type = 'purchase'), j AS (SELECT a.user_id, a.event_id, a.t, x.t AS s, x.value FROM a LEFT JOIN p x ON a.user_id = x.user_id AND x.event_type = 'view' AND abs(x.t - a.t) <= {15 * HOUR}),
-f AS (SELECT user_id, event_id, count(*) FILTER (value < 10) AS n_dark, avg(value) FILTER (s < t) AS pre, avg(value) FILTER (s > t) AS post, max(s) FILTER (value < 10) - min(s) FILTER (value < 10) AS dark_span FROM j GROUP BY 1, 2)
-SELECT user_id, event_id, n_dark, round(pre, 6) AS pre, round(post, 6) AS post, CASE WHEN coalesce(dark_span, 0) >= {5 * HOUR} AND coalesce(pre - post, 0) >= 35 THEN 'strong' WHEN coalesce(dark_span, 0) >= {5 * HOUR} OR coalesce(pre - post, 0) >= 35 THEN 'medium' WHEN n_dark > 0 THEN 'weak' ELSE 'none' END AS support FROM f"""
+    f"""WITH {P}, a AS (SELECT user_id, event_id, t, max(t) OVER (PARTITION BY user_id) - {_GUARD} AS guard, event_type FROM p),
+j AS (SELECT a.user_id, a.event_id, a.t, a.guard, x.t AS s, x.event_id AS e, x.value, abs(x.t - a.t) <= {_CONTEXT} AS near, x.value < 10 AS dark FROM a JOIN p x ON a.user_id = x.user_id AND x.event_type = 'view' AND abs(x.t - a.t) <= {_BEFORE} WHERE a.event_type = 'purchase'),
+r AS (SELECT user_id, event_id, max(n) AS longest FROM (SELECT user_id, event_id, g, count(*) FILTER (dark) AS n FROM (SELECT *, sum(CASE WHEN dark THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM j WHERE near) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+f AS (SELECT user_id, event_id, count(*) FILTER (near AND dark) AS n_dark, avg(value) FILTER (near AND s < t) AS pre, avg(value) FILTER (near AND s > t) AS post, greatest(max(value) FILTER (near), coalesce(median(value) FILTER (s < t), max(value) FILTER (near))) AS high, min(value) FILTER (near AND dark) AS low, min(s) FILTER (near AND dark) AS first_dark FROM j GROUP BY 1, 2),
+z AS (SELECT a.user_id, a.event_id, coalesce(n_dark, 0) AS n_dark, pre, post, coalesce(longest, 0) AS longest_run, coalesce(longest, 0) * {_STEP} >= {_SUSTAINED} AS sustained, coalesce(n_dark > 0 AND high - low >= 35, false) AS fade, a.t >= a.guard OR coalesce(first_dark >= a.guard, false) AS guarded
+  FROM a LEFT JOIN f ON a.user_id = f.user_id AND a.event_id = f.event_id LEFT JOIN r ON a.user_id = r.user_id AND a.event_id = r.event_id WHERE a.event_type = 'purchase')
+SELECT user_id, event_id, n_dark, round(pre, 6) AS pre, round(post, 6) AS post, longest_run, guarded, (n_dark > 0 OR sustained OR fade) AND NOT guarded AS eligible, CASE WHEN sustained AND fade THEN 'strong' WHEN sustained OR fade THEN 'medium' WHEN n_dark > 0 THEN 'weak' ELSE 'none' END AS support FROM z"""
 )
 def dark_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Dark rows around an anchor: span, fall of brightness, strength of support."""
-    a = points(spark, d, "purchase").select("user_id", "event_id", F.col("t").alias("at"), (F.col("t") - 15 * HOUR).alias("r_start"), (F.col("t") + 15 * HOUR).alias("r_end"))
-    near = iv.points_in_intervals(points(spark, d, "view").select("user_id", "t", "value"), a, "user_id", "t", CELL).where(F.abs(F.col("t") - F.col("at")) <= 15 * HOUR)
-    dark = F.col("value") < 10
-    f = near.groupBy("user_id", "event_id").agg(
-        F.count_if(dark).alias("n_dark"), F.avg(F.when(F.col("t") < F.col("at"), F.col("value"))).alias("pre"), F.avg(F.when(F.col("t") > F.col("at"), F.col("value"))).alias("post"), (F.max(F.when(dark, F.col("t"))) - F.min(F.when(dark, F.col("t")))).alias("span")
+    """Dark rows around an anchor: the longest run of them, fall of brightness, strength of
+    support, and whether the timeline's end accounts for it (G10)."""
+    every = points(spark, d)
+    ends = every.groupBy("user_id").agg((F.max("t") - _GUARD).alias("guard"))
+    anchors = every.where("event_type = 'purchase'").select("user_id", "event_id", F.col("t").alias("at"))
+    reach = anchors.select("user_id", "event_id", "at", (F.col("at") - _BEFORE).alias("r_start"), (F.col("at") + _BEFORE).alias("r_end"))
+    views = every.where("event_type = 'view'").select("user_id", "t", "value", F.col("event_id").alias("view_id"))
+    rows = iv.points_in_intervals(views, reach, "user_id", "t", CELL).where(F.abs(F.col("t") - F.col("at")) <= _BEFORE)
+    rows = rows.withColumn("near", F.abs(F.col("t") - F.col("at")) <= _CONTEXT).withColumn("dark", F.col("value") < 10)
+    # A run of dark rows follows one row that is not dark; rows outside the context are in no run.
+    along = Window.partitionBy("user_id", "event_id", "near").orderBy("t", "view_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum(F.when(F.col("dark"), 0).otherwise(1)).over(along)
+    rows = rows.withColumn("run", run).withColumn("in_run", F.sum(F.col("dark").cast("int")).over(Window.partitionBy("user_id", "event_id", "near", "run")))
+    only = lambda c, when: F.when(when, F.col(c))
+    near, seen = F.col("near"), F.col("near") & F.col("dark")
+    f = rows.groupBy("user_id", "event_id").agg(
+        F.count_if(seen).alias("n_dark"),
+        F.avg(only("value", near & (F.col("t") < F.col("at")))).alias("pre"),
+        F.avg(only("value", near & (F.col("t") > F.col("at")))).alias("post"),
+        F.greatest(F.max(only("value", near)), F.median(only("value", F.col("t") < F.col("at")))).alias("high"),
+        F.min(only("value", seen)).alias("low"),
+        F.min(only("t", seen)).alias("first_dark"),
+        F.coalesce(F.max(only("in_run", near)), F.lit(0)).alias("longest"),
     )
-    out = a.select("user_id", "event_id").join(f, ["user_id", "event_id"], "left").withColumn("n_dark", F.coalesce("n_dark", F.lit(0)))
-    sustained = F.coalesce(F.col("span") >= 5 * HOUR, F.lit(False))
-    fade = F.coalesce(F.col("pre") - F.col("post") >= 35, F.lit(False))
-    return out.select("user_id", "event_id", "n_dark", F.round("pre", 6).alias("pre"), F.round("post", 6).alias("post"), signal.dark_support(F.col("n_dark") > 0, sustained, fade).alias("support"))
+    out = anchors.join(f, ["user_id", "event_id"], "left").join(ends, "user_id")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    out = out.withColumns({"n_dark": F.coalesce("n_dark", F.lit(0)), "longest_run": F.coalesce("longest", F.lit(0)).cast("long")})
+    has, sustained, fade = F.col("n_dark") > 0, F.col("longest_run") * _STEP >= _SUSTAINED, no((F.col("n_dark") > 0) & (F.col("high") - F.col("low") >= 35))
+    out = out.withColumn("guarded", (F.col("at") >= F.col("guard")) | no(F.col("first_dark") >= F.col("guard")))
+    return out.select("user_id", "event_id", "n_dark", F.round("pre", 6).alias("pre"), F.round("post", 6).alias("post"), "longest_run", "guarded", ((has | sustained | fade) & ~F.col("guarded")).alias("eligible"), signal.dark_support(has, sustained, fade).alias("support"))
 
 
 @query("WITH b AS (SELECT p_partkey, p_size::DOUBLE AS w, p_retailprice / 100 AS h FROM part) SELECT p_partkey, round(w * h / 2, 6) AS area FROM b")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,9 +99,11 @@ def write_text_table(frame: DataFrame, path: str, columns: list[str]) -> None:
 
 def append_new(frame: DataFrame, path: str, key: str) -> DataFrame:
     """Appends rows whose key the table at path does not hold, and returns the whole table: a
-    rerun after a failure does only what is missing. Parquet's commit makes a try whole or void."""
+    rerun after a failure does only what is missing. Parquet's commit makes a try whole or void.
+    Of rows that repeat a key the one of the smallest hash is appended, in any layout."""
     spark = frame.sparkSession
-    once = frame.dropDuplicates([key])
+    first = Window.partitionBy(F.col(f"`{key}`")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]))
+    once = frame.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     if exists(spark, path):
         once = once.join(spark.read.parquet(path).select(key), key, "left_anti")
     once.write.mode("append").parquet(path)
