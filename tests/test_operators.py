@@ -537,3 +537,53 @@ def test_book_reads_the_sheet_of_the_best_header(spark, tmp_path):
         z.writestr("xl/worksheets/sheet2.xml", sheet(("x",), ("Video ID", "Start"), ("7", "1:30")))
     read = lambda **k: [(r.video_id, r.start) for r in tabular.read_book(spark, str(tmp_path / "b.xlsx"), {"video_id": ["video id"], "start": []}, **k).collect()]
     assert read() == [("7", "1:30")] and read(sheet=1) == []
+
+
+def _middle(values):
+    values = sorted(values)
+    n = len(values)
+    return None if not n else (values[(n - 1) // 2] + values[n // 2]) / 2
+
+
+def test_context_shift_equals_the_median_of_all_pairs_over_cells_and_ties(spark):
+    rng = random.Random(5)
+    rows = [(k, float(rng.randrange(0, 400)) / 2, rng.choice([None, float(rng.randrange(9))])) for k in (1, 1, 1, 2) for _ in range(150)]
+    rows += [(3, 7.0, 1.0), (None, 1.0, 1.0), (1, None, 1.0)] + [(4, 5.0, float(v)) for v in range(1500)] + [(4, 6.0, 3.0)]
+    got = windows.context_shift(frame(spark, rows, "k long, t double, x double"), "k", "t", "x", 3.0, 2).collect()
+    want = []
+    for k, t, x in rows:
+        m = None if k is None or t is None else _middle([v for c, u, v in rows if c == k and u is not None and u != t and abs(u - t) <= 3.0 and v is not None])
+        want.append((k, t, x, None if x is None or m is None else abs(x - m)))
+    text_ = lambda r: tuple("none" if v is None else f"{v:.6f}" for v in r)
+    assert sorted(map(text_, got)) == sorted(map(text_, want))
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 256])
+def test_quantiles_equal_sorting_whatever_the_buckets(spark, buckets):
+    rng = random.Random(buckets)
+    rows = [(k, "a", rng.choice([None, 5.0, rng.uniform(-9, 9), float(rng.randrange(4))])) for k in (1, 2, None) for _ in range(400)]
+    rows += [(3, "a", None), (4, "b", 2.5), (5, "b", 1.0), (5, "b", 2.0)]
+    linear, ranked = {"lo": 0.0, "q": 0.3, "mid": 0.5, "hi": 1.0}, {"p90": 0.9, "p0": 0.0}
+    rows_ = frame(spark, rows, "`a key` long, q2 string, x double")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in stats.quantiles(rows_, ["a key", "q2"], "x", linear, ranked, buckets).collect()}
+
+    def plain(values):
+        values = sorted(values)
+        n, out = len(values), []
+        for q in linear.values():
+            p = q * (n - 1)
+            lo, hi = values[int(p)], values[-int(-p // 1)]
+            out.append(lo if lo == hi else lo * (1 - (p - int(p))) + hi * (p - int(p)))
+        return (*out, *[values[max(-int(-q * n // 1) - 1, 0)] for q in ranked.values()])
+
+    groups = {}
+    for k, g, x in rows:
+        if x is not None:
+            groups.setdefault((k, g), []).append(x)
+    assert got.keys() == groups.keys()
+    for k, values in groups.items():
+        assert got[k] == pytest.approx(plain(values), abs=1e-12)
+    whole = stats.quantiles(rows_, [], "x", linear, ranked, buckets).collect()
+    assert len(whole) == 1 and tuple(whole[0]) == pytest.approx(plain([x for _, _, x in rows if x is not None]), abs=1e-12)
+    none = stats.quantiles(rows_.where("false"), [], "x", linear).collect()
+    assert [tuple(r) for r in none] == [(None,) * 4] and stats.quantiles(rows_.where("false"), ["q2"], "x", linear).count() == 0

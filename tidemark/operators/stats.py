@@ -9,37 +9,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import running_sums
-
-
-def quantile(x: str, q: float) -> Column:
-    """Exact, linearly interpolated."""
-    return F.percentile(x, F.lit(float(q)))
-
-
-def nearest_rank(x: str, q: float) -> Column:
-    """Value at rank ceil(q * n); 0 where there is none."""
-    sorted_ = F.array_sort(F.collect_list(x))
-    return F.coalesce(F.when(F.count(x) > 0, F.element_at(sorted_, F.ceil(F.count(x) * q).cast("int"))), F.lit(0.0))
-
-
-def profile(x: str) -> list[Column]:
-    """count, valid, missing ratio, mean, deviation (0 for one value), quartiles, IQR, extremes,
-    share of non-zero values."""
-    return [
-        F.count("*").alias("n"),
-        F.count(x).alias("valid"),
-        (1.0 - F.count(x) / F.count("*")).alias("missing_ratio"),
-        F.avg(x).alias("mean"),
-        F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"),
-        quantile(x, 0.25).alias("q25"),
-        quantile(x, 0.5).alias("median"),
-        quantile(x, 0.75).alias("q75"),
-        (quantile(x, 0.75) - quantile(x, 0.25)).alias("iqr"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        F.avg(F.when(F.col(x) != 0, 1.0).when(F.col(x).isNotNull(), 0.0)).alias("nonzero_ratio"),
-    ]
+from tidemark.operators.windows import cuts_of, running_sums, with_bucket
+
+
+def quantiles(rows: DataFrame, keys: list[str], x: str, linear: dict[str, float], ranked: dict[str, float] | None = None, buckets: int = 256) -> DataFrame:
+    """(keys, a column a name): exact quantiles of x, linear ones between the two nearest ranks and
+    ranked ones at rank ceil(q * n), by selection over buckets, so that no task holds a key's values.
+
+    Values are counted once a key. A sketch of each key, at most `buckets` cuts, deals its distinct
+    values into buckets; their totals tell which buckets hold the ranks asked for, and only those are
+    ordered. Missing values are passed over; a key without any has null; null is a key like any
+    other; without keys the result is one row, null over an empty table."""
+    ranked = ranked or {}
+    on = [f"_k{i}" for i in range(len(keys))]
+    per = rows.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, on)], F.col(f"`{x}`").cast("double").alias("_x")).where(F.col("_x").isNotNull()).groupBy(*on, "_x").agg(F.count("*").alias("_n"))
+    facts = per.groupBy(*on).agg(cuts_of("_x", buckets, 4096).alias("_cuts"), F.sum("_n").alias("_all"))  # both uses of placed read _all, so that exchanges are shared
+    placed = with_bucket(_beside(per, facts, on), "_x", "_cuts")
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `buckets` rows a key
+    totals = placed.groupBy(*on, "_bucket").agg(F.sum("_n").alias("_held"), F.max("_all").alias("_all")).withColumn("_before", before)
+    between = [F.lit(float(q)) * (F.col("_all") - 1) for q in linear.values()]
+    places = F.array(*[f(p).cast("long") for p in between for f in (F.floor, F.ceil)], *[F.greatest(F.ceil(F.lit(float(q)) * F.col("_all")) - 1, F.lit(0)).cast("long") for q in ranked.values()])
+    asked = totals.withColumn("_places", places).where(F.exists("_places", lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_held")))).drop("_held", "_all")
+    ordered = Window.partitionBy(*on, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    run = _beside(placed, asked, [*on, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(ordered))
+    at = lambda i: F.max(F.when((F.col("_places")[i] < F.col("_upto")) & (F.col("_places")[i] >= F.col("_upto") - F.col("_n")), F.col("_x")))
+    found = run.groupBy(*on).agg(F.max("_all").alias("_all"), *[at(i).alias(f"_v{i}") for i in range(2 * len(linear) + len(ranked))])
+    out = [F.col(a).alias(k) for a, k in zip(on, keys)]
+    for i, (name, place) in enumerate(zip(linear, between)):
+        low, high, share = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}"), place - F.floor(place)
+        out.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name))
+    return found.select(*out, *[F.col(f"_v{2 * len(linear) + i}").alias(name) for i, name in enumerate(ranked)])
+
+
+def _beside(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows with the facts of their keys, null keys included; a single row of facts without keys."""
+    if not on:
+        return rows.crossJoin(F.broadcast(facts))  # one row
+    other = facts.select(*[F.col(f"`{k}`").alias(f"_of{i}") for i, k in enumerate(on)], *[c for c in facts.columns if c not in on])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(on)]
+    return rows.join(other, same, how).drop(*[f"_of{i}" for i in range(len(on))])
+
+
+def profile(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """(keys, count, valid, missing ratio, mean, deviation (0 for one value), quartiles, IQR,
+    extremes, share of non-zero values). Quartiles come by rank selection, the rest by one
+    aggregate."""
+    v = F.col(x)
+    plain = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count(v).alias("valid"), (1.0 - F.count(v) / F.count("*")).alias("missing_ratio"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(F.when(v != 0, 1.0).when(v.isNotNull(), 0.0)).alias("nonzero_ratio"),
+    )
+    out = _beside(plain, quantiles(rows, keys, x, {"q25": 0.25, "median": 0.5, "q75": 0.75}), keys, "left")
+    return out.select(*keys, "n", "valid", "missing_ratio", "mean", "std", "q25", "median", "q75", (F.col("q75") - F.col("q25")).alias("iqr"), "min", "max", "nonzero_ratio")
 
 
 def unpivot(rows: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -125,7 +146,7 @@ def gap_statistics(points: DataFrame, key: str, t: str, even: float = 0.101) ->
 def fitted_scale(rows: DataFrame, x: str, fit: Column, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Adds scaled: position between two quantiles of the fitting rows, clipped to [0, 1], and
     level: by the 40 and 70 % quantiles of the same rows."""
-    only = rows.where(fit).agg(F.percentile(x, F.array(*[F.lit(q) for q in (lo, hi, 0.4, 0.7)])).alias("_q"))
+    only = quantiles(rows.where(fit), [], x, {"a": lo, "b": hi, "c": 0.4, "d": 0.7}).select(F.array("a", "b", "c", "d").alias("_q"))
     out = rows.crossJoin(F.broadcast(only))  # one row of quantiles
     span = F.col("_q")[1] - F.col("_q")[0]
     scaled = F.when(span > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(x) - F.col("_q")[0]) / span))).otherwise(0.0)

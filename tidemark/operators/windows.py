@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -71,17 +76,141 @@ def with_robust_z(rows: DataFrame, key: str, x: str) -> DataFrame:
     return rows.join(facts, key).withColumn("robust_z", (F.col(x) - F.col("_q")[1]) / scale).drop("_q", "_sd", "_range")
 
 
-def context_shift(rows: DataFrame, key: str, t: str, x: str, reach: float) -> DataFrame:
-    """Adds shift: distance from the median of the other rows within reach in time.
-
-    A self join on a grid of cells of that reach, since an exact median over a sliding window
-    without its own row has no window form."""
-    cells = F.sequence(F.floor((F.col(t) - reach) / reach), F.floor((F.col(t) + reach) / reach))
-    left = rows.withColumn("_cell", F.explode(cells)).select(key, F.col(t).alias("_t"), "_cell")
-    right = rows.select(key, F.col(t).alias("_u"), F.col(x).alias("_x"), F.floor(F.col(t) / reach).alias("_cell"))
-    near = left.join(right, [key, "_cell"]).where((F.abs(F.col("_t") - F.col("_u")) <= reach) & (F.col("_t") != F.col("_u")))
-    centre = near.groupBy(key, F.col("_t").alias(t)).agg(F.median("_x").alias("_m"))
-    return rows.join(centre, [key, t], "left").withColumn("shift", F.abs(F.col(x) - F.col("_m"))).drop("_m")
+class _Ordered:
+    """Values in order, in blocks of at most 1,024: adding, removing and finding the k-th cost one
+    block's work and a step a block. Values that are no number stand after all others."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[float]] = []
+        self.tops: list[float] = []
+        self.n = self.odd = 0
+
+    def add(self, x: float) -> None:
+        self.n += 1
+        if x != x:
+            self.odd += 1
+            return
+        if not self.blocks:
+            self.blocks, self.tops = [[x]], [x]
+            return
+        i = min(bisect_left(self.tops, x), len(self.tops) - 1)
+        block = self.blocks[i]
+        insort(block, x)
+        if len(block) > 1024:
+            self.blocks.insert(i + 1, block[512:])
+            self.tops.insert(i + 1, block[-1])
+            del block[512:]
+        self.tops[i] = block[-1]
+
+    def remove(self, x: float) -> None:
+        self.n -= 1
+        if x != x:
+            self.odd -= 1
+            return
+        i = bisect_left(self.tops, x)
+        block = self.blocks[i]
+        del block[bisect_left(block, x)]
+        if block:
+            self.tops[i] = block[-1]
+        else:
+            del self.blocks[i], self.tops[i]
+
+    def at(self, k: int) -> float:
+        for block in self.blocks:
+            if k < len(block):
+                return block[k]
+            k -= len(block)
+        return float("nan")
+
+    def median(self) -> float | None:
+        if not self.n:
+            return None
+        low, high = self.at((self.n - 1) // 2), self.at(self.n // 2)
+        return low if low == high else low * 0.5 + high * 0.5
+
+
+class _Centres:
+    """Medians of the neighbours of each time of one cell, as rows come in order of time. Held are
+    the rows within reach of the time whose neighbours are not all there yet."""
+
+    def __init__(self, reach: float) -> None:
+        self.reach, self.values = reach, _Ordered()
+        self.past: deque = deque()
+        self.ahead: deque = deque()
+        self.made: list[tuple[float, float | None]] = []
+
+    def feed(self, t: float, x: float | None, own: bool) -> None:
+        while self.ahead and t - self.ahead[0][0] > self.reach:
+            self.centre()
+        self.ahead.append((t, x, own))
+        if x is not None:
+            self.values.add(x)
+
+    def centre(self) -> None:
+        """The earliest time of those ahead has all its neighbours."""
+        t, same = self.ahead[0][0], []
+        while self.ahead and self.ahead[0][0] == t:
+            same.append(self.ahead.popleft())
+        while self.past and t - self.past[0][0] > self.reach:
+            x = self.past.popleft()[1]
+            if x is not None:
+                self.values.remove(x)
+        if any(own for _, _, own in same):
+            here = [x for _, x, _ in same if x is not None]
+            for x in here:
+                self.values.remove(x)
+            self.made.append((t, self.values.median()))
+            for x in here:
+                self.values.add(x)
+        self.past.extend(same)
+
+    def end(self) -> None:
+        while self.ahead:
+            self.centre()
+
+
+def context_shift(rows: DataFrame, key: str, t: str, x: str, reach: float, width: int = 16) -> DataFrame:
+    """Adds shift: distance from the median of the key's rows of other times within reach.
+
+    A key is cut into cells of `width` reaches; rows near a cell's border are copied to the cell
+    beside it, so the cells of one key spread over tasks. A cell's rows stream by in order of time
+    past an ordered set of the values within reach: a step costs no pass over the neighbours, and a
+    task holds the rows of twice the reach. Missing values are passed over as neighbours; rows
+    without a key, a time, a value or neighbours have no shift."""
+    size, margin = float(width * reach), 1.001 * reach
+    own, near = F.floor(F.col("t") / size), F.sequence(F.floor((F.col("t") - margin) / size), F.floor((F.col("t") + margin) / size))
+    there = rows.select(F.col(key).alias("key"), F.col(t).cast("double").alias("t"), F.col(x).cast("double").alias("x")).where(F.col("key").isNotNull() & (F.abs("t") < float("inf")))
+    ready = there.withColumn("cell", F.explode(near)).withColumn("own", F.col("cell") == own).select("key", "cell", "t", "x", "own")
+    ready = ready.repartition("key", "cell").sortWithinPartitions("key", "cell", "t")
+    kind = dict(ready.dtypes)["key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, walk = None, _Centres(reach)
+        for batch in batches:
+            keys, times, middles = [], [], []
+
+            def drain() -> None:
+                keys.extend([cell[0]] * len(walk.made))  # noqa: B023
+                times.extend(at for at, _ in walk.made)  # noqa: B023
+                middles.extend(m for _, m in walk.made)  # noqa: B023
+                walk.made = []  # noqa: B023
+
+            for k, c, at, value, mine in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if cell != (k, c):
+                    if cell is not None:
+                        walk.end()
+                        drain()
+                    cell, walk = (k, c), _Centres(reach)
+                walk.feed(at, value, mine)
+            drain()
+            types = batch.schema.field(0).type
+            yield pa.record_batch([pa.array(keys, types), pa.array(times, pa.float64()), pa.array(middles, pa.float64())], names=["_key", "_t", "_m"])
+        if cell is not None:
+            walk.end()
+            yield pa.record_batch([pa.array([cell[0]] * len(walk.made), types), pa.array([at for at, _ in walk.made], pa.float64()), pa.array([m for _, m in walk.made], pa.float64())], names=["_key", "_t", "_m"])
+
+    centre = ready.mapInArrow(run, f"_key {kind}, _t double, _m double")
+    return rows.join(centre, (F.col(key) == F.col("_key")) & (F.col(t) == F.col("_t")), "left").withColumn("shift", F.abs(F.col(x) - F.col("_m"))).drop("_key", "_t", "_m")
 
 
 def true_runs(rows: DataFrame, key: str, t: str, flag: str, broken: Column | None = None) -> DataFrame:
@@ -118,14 +247,28 @@ def offsets_around(anchors: DataFrame, t: str, offsets: list[float]) -> DataFram
     return anchors.withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).withColumn("sample_t", F.col(t) + F.col("offset"))
 
 
+def cuts_of(x: str, buckets: int, accuracy: int) -> Column:
+    """Aggregate: the cuts between buckets of about equal count, and each 16th of them."""
+    cuts = F.percentile_approx(x, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(accuracy))
+    return F.struct(cuts.alias("each"), F.filter(cuts, lambda _, i: i % 16 == 15).alias("coarse"))
+
+
+def with_bucket(rows: DataFrame, x: str, cuts: str) -> DataFrame:
+    """Adds _bucket, the number of cuts below x, by the coarse ones and 16 of the others."""
+    below = lambda of: F.size(F.filter(of, lambda c: c < F.col(x)))
+    rows = rows.withColumn("_coarse", below(F.col(f"{cuts}.coarse")))
+    fine = below(F.slice(F.col(f"{cuts}.each"), F.col("_coarse") * 16 + 1, F.lit(16)))
+    return rows.withColumn("_bucket", F.col("_coarse") * 16 + fine).drop("_coarse", cuts)
+
+
 def running_sums(rows: DataFrame, x: str, values: list[str], buckets: int = 256) -> DataFrame:
     """Adds run_<v>, the sum of v over all rows up to x (equal ones included), and all_<v>.
 
     Approximate quantiles, one row of numbers, cut the order into buckets; sums run inside a
     bucket, and the totals of the buckets before, at most buckets + 1 rows, are added. No task
     orders all rows, however many distinct values there are."""
-    cuts = rows.agg(F.percentile_approx(x, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10000)).alias("_cuts"))
-    placed = rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")  # one row
+    cuts = rows.agg(cuts_of(x, buckets, 10000).alias("_cuts"))
+    placed = with_bucket(rows.crossJoin(F.broadcast(cuts)), x, "_cuts")  # one row
     inside = Window.partitionBy("_bucket").orderBy(x).rangeBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

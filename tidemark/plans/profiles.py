@@ -52,7 +52,7 @@ SELECT l_returnflag, feature, {_PROFILE} FROM x GROUP BY 1, 2"""
 def group_profile(spark: SparkSession, d: str) -> DataFrame:
     """Profile of several features per group, after unpivoting them."""
     rows = table(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice").withColumn("big_price", F.when(F.col("l_extendedprice") > 50000, F.col("l_extendedprice")))
-    out = stats.unpivot(rows.drop("l_extendedprice"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax", "big_price"]).groupBy("l_returnflag", "feature").agg(*stats.profile("value"))
+    out = stats.profile(stats.unpivot(rows.drop("l_extendedprice"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax", "big_price"]), ["l_returnflag", "feature"], "value")
     return out.select("l_returnflag", "feature", *[c if c in ("n", "valid") else F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
@@ -126,7 +126,8 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query(_SWEEP + ", m AS (SELECT median(v) AS m FROM x) SELECT threshold, direction, balanced_accuracy, f1 FROM k, m ORDER BY balanced_accuracy DESC, coalesce(f1, -1) DESC, abs(threshold - m), threshold, direction LIMIT 1")
 def threshold_best(spark: SparkSession, d: str) -> DataFrame:
     """The best cut by balanced accuracy, F1, closeness to the median."""
-    mid = table(spark, d, "documents", "doc_id", "n_chars").join(table(spark, d, "labels", "doc_id"), "doc_id").agg(F.median(F.col("n_chars").cast("double")).alias("m"))
+    labelled = table(spark, d, "documents", "doc_id", "n_chars").join(table(spark, d, "labels", "doc_id"), "doc_id")
+    mid = stats.quantiles(labelled, [], "n_chars", {"m": 0.5})
     rows = _sweep(spark, d).crossJoin(mid)  # one row
     return rows.orderBy(F.desc("balanced_accuracy"), F.coalesce("f1", F.lit(-1.0)).desc(), F.abs(F.col("threshold") - F.col("m")), "threshold", "direction").limit(1).select("threshold", "direction", "balanced_accuracy", "f1")
 
@@ -149,12 +150,10 @@ FROM (SELECT *, year(l_shipdate) AS l_shipdate_year FROM lineitem) GROUP BY 1"""
 def quantile_profile(spark: SparkSession, d: str) -> DataFrame:
     """Linear and nearest-rank quantiles, both deviations."""
     rows = table(spark, d, "lineitem", "l_shipdate", "l_extendedprice").withColumn("l_shipdate_year", F.year("l_shipdate"))
-    x = "l_extendedprice"
-    # percentile_disc takes the value at rank ceil(q * n) without gathering the group in an array
-    return rows.groupBy("l_shipdate_year").agg(
-        F.round(stats.quantile(x, 0.05), 4).alias("q05"), F.round(stats.quantile(x, 0.5), 4).alias("q50"), F.round(stats.quantile(x, 0.95), 4).alias("q95"), F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {x})").alias("p90"),
-        F.round(F.stddev_samp(x), 4).alias("sd1"), F.round(F.stddev_pop(x), 4).alias("sd0"),
-    )
+    key, x = "l_shipdate_year", "l_extendedprice"
+    exact = stats.quantiles(rows, [key], x, {"q05": 0.05, "q50": 0.5, "q95": 0.95}, {"p90": 0.9})
+    spread = rows.groupBy(key).agg(F.round(F.stddev_samp(x), 4).alias("sd1"), F.round(F.stddev_pop(x), 4).alias("sd0"))
+    return spread.join(exact, key).select(key, *[F.round(q, 4).alias(q) for q in ("q05", "q50", "q95")], "p90", "sd1", "sd0")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import folds, fsm, graph, scoring, windows
+from tidemark.operators import folds, fsm, graph, scoring, stats, windows
 from tidemark.operators import intervals as iv
 from tidemark.plans.registry import CELL, GAP, HOUR, P, of, points, query, sql_clusters, table
 from tidemark.sources.tabular import only_splits
@@ -444,7 +444,7 @@ def frozen_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """A threshold fitted on one split, frozen, and applied to the other."""
     rows = table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").withColumn("dev", F.col("s_nationkey") % 2 == 0)
     rows = only_splits(rows.withColumn("part", F.when(F.col("dev"), "development").otherwise("held out")), "part", ["development", "held out"])
-    cut = rows.where("dev").agg(F.percentile("s_acctbal", F.lit(0.7)).alias("cut"))
+    cut = stats.quantiles(rows.where("dev"), [], "s_acctbal", {"cut": 0.7})
     return rows.crossJoin(cut).groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("s_acctbal") >= F.col("cut")).alias("selected"))  # one row
 
 

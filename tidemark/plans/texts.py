@@ -184,7 +184,7 @@ def typo_matches(spark: SparkSession, d: str) -> DataFrame:
 def review_flags(spark: SparkSession, d: str) -> DataFrame:
     """Priority cascade of quality flags with a cut at the 90 % quantile."""
     rows = _docs(spark, d)
-    cut = rows.agg(F.percentile("n_chars", F.lit(0.9)).alias("q90"))
+    cut = stats.quantiles(rows, [], "n_chars", {"q90": 0.9})
     flag = F.when(F.col("n_chars") < 200, "too_short").when(F.col("n_chars") >= F.col("q90"), "very_long").when(F.col("text").contains("!!"), "shouting").when(F.col("text").contains("|"), "table").otherwise("plain")
     return rows.crossJoin(cut).select("doc_id", flag.alias("flag"))  # one row
 
