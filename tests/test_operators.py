@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalar, text
+from tidemark.functions import scalar, signal, text
 from tidemark.functions.text import best_ratio
 from tidemark.operators import folds, fsm, graph, scoring, stats, windows
 from tidemark.operators import intervals as iv
@@ -587,3 +587,14 @@ def test_quantiles_equal_sorting_whatever_the_buckets(spark, buckets):
     assert len(whole) == 1 and tuple(whole[0]) == pytest.approx(plain([x for _, _, x in rows if x is not None]), abs=1e-12)
     none = stats.quantiles(rows_.where("false"), [], "x", linear).collect()
     assert [tuple(r) for r in none] == [(None,) * 4] and stats.quantiles(rows_.where("false"), ["q2"], "x", linear).count() == 0
+
+
+def test_edges_of_a_step_a_flat_frame_and_a_weak_pixel_beside_a_strong_one(spark):
+    step = [0.0, 0.0, 100.0, 100.0] * 4
+    rows = frame(spark, [(1, step), (2, [7.0] * 16), (3, [0.0] * 15 + [60.0])], "k long, g array<double>").withColumn("m", signal.gradient("g", 4)).withColumn("e", signal.edges("m", 4))
+    got = {r.k: r for r in rows.collect()}
+    assert got[1].m == [0.0, 400.0, 400.0, 0.0] * 4 and got[1].e == [0.0, 1.0, 1.0, 0.0] * 4
+    assert got[2].m == [0.0] * 16 and got[2].e == [0.0] * 16
+    # the corner's differences: 3 * 60 along both axes at the corner itself
+    assert got[3].m[15] == 360.0 and got[3].m[10] == 120.0 and got[3].e[10] == 1.0 and got[3].e[5] == 0.0
+    assert frame(spark, [([0.0, 1.0], [1.0, 1.0])], "a array<double>, b array<double>").select(signal.edge_change("a", "b")).first()[0] == 0.5

@@ -130,6 +130,44 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
 
 
+def gradient(frame: Column | str, width: int) -> Column:
+    """Strength of change at each pixel of a grey frame of rows of that width: absolute Sobel
+    differences along both axes, border pixels repeated outwards."""
+    g = _c(frame)
+    last = F.floor(F.size(g) / width).cast("int") - 1
+
+    def strength(i: Column) -> Column:
+        row, col = F.floor(i / width).cast("int"), i % width
+        at = lambda dr, dc: F.get(g, F.greatest(F.lit(0), F.least(last, row + dr)) * width + F.greatest(F.lit(0), F.least(F.lit(width - 1), col + dc)))
+        across = (at(-1, 1) + 2 * at(0, 1) + at(1, 1)) - (at(-1, -1) + 2 * at(0, -1) + at(1, -1))
+        down = (at(1, -1) + 2 * at(1, 0) + at(1, 1)) - (at(-1, -1) + 2 * at(-1, 0) + at(-1, 1))
+        return F.abs(across) + F.abs(down)
+
+    return F.transform(F.sequence(F.lit(0), (last + 1) * width - 1), strength)
+
+
+def edges(strengths: Column | str, width: int, low: float = 80.0, high: float = 160.0) -> Column:
+    """1 for pixels of strength high or more, and for those of low or more that touch one; else 0.
+    strengths should be a column of its own, as each pixel reads its neighbours."""
+    m = _c(strengths)
+    rows = F.floor(F.size(m) / width).cast("int")
+
+    def edge(i: Column) -> Column:
+        row, col = F.floor(i / width).cast("int"), i % width
+        inside = lambda dr, dc: (row + dr >= 0) & (row + dr < rows) & (col + dc >= 0) & (col + dc < width)
+        around = [F.when(inside(dr, dc), F.get(m, i + dr * width + dc)) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+        touches = F.coalesce(F.greatest(*around) >= high, F.lit(False))
+        return F.when((F.get(m, i) >= high) | ((F.get(m, i) >= low) & touches), 1.0).otherwise(0.0)
+
+    return F.transform(F.sequence(F.lit(0), F.size(m) - 1), edge)
+
+
+def edge_change(a: Column | str, b: Column | str) -> Column:
+    """Share of pixels that are an edge in one of two maps only."""
+    x = _c(a)
+    return total(F.zip_with(x, _c(b), lambda p, q: F.abs(p - q))) / F.greatest(F.lit(1), F.size(x))
+
+
 def change_score(histogram: Column, brightness: Column, ssim: Column, edges: Column) -> Column:
     return 0.45 * histogram + 0.20 * brightness + 0.20 * (1.0 - ssim) / 2.0 + 0.15 * edges
 

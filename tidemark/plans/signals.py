@@ -47,21 +47,37 @@ def onset_peaks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", signal.peaks("x", F.col("level")).cast("long").alias("n_peaks"), F.round("level", 9).alias("level"))
 
 
-_FRAMES = """v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda a: abs(a) * 255) AS g FROM embeddings), s AS (SELECT vec_id, g, lag(g) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS b FROM v)"""
+def _pixel(dr: int, dc: int) -> str:
+    """SQL of the pixel beside pixel i of an 8 x 8 frame, border pixels repeated outwards."""
+    return f"g[greatest(0, least(7, i // 8 + ({dr}))) * 8 + greatest(0, least(7, i % 8 + ({dc}))) + 1]"
+
+
+_GRADIENT = " + ".join(
+    f"abs(({_pixel(*p[0])} + 2 * {_pixel(*p[1])} + {_pixel(*p[2])}) - ({_pixel(*q[0])} + 2 * {_pixel(*q[1])} + {_pixel(*q[2])}))"
+    for p, q in (([(-1, 1), (0, 1), (1, 1)], [(-1, -1), (0, -1), (1, -1)]), ([(1, -1), (1, 0), (1, 1)], [(-1, -1), (-1, 0), (-1, 1)]))
+)
+_FRAMES = f"""v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda a: abs(a) * 255) AS g FROM embeddings), w AS (SELECT *, list_transform(range(0, 64), lambda i: {_GRADIENT}) AS m FROM v),
+h AS (SELECT vec_id, g, list_transform(range(0, 64), lambda i: (m[i + 1] >= 160 OR (m[i + 1] >= 80 AND len(list_filter(range(0, 64), lambda j: j <> i AND abs(j // 8 - i // 8) <= 1 AND abs(j % 8 - i % 8) <= 1 AND m[j + 1] >= 160)) > 0))::INTEGER) AS e FROM w),
+s AS (SELECT vec_id, g, e, lag(g) OVER t AS b, lag(e) OVER t AS f FROM h WINDOW t AS (PARTITION BY vec_id // 64 ORDER BY vec_id))"""
 
 
 @query(
-    f"""WITH {_FRAMES}, k AS (SELECT vec_id, g, b, list_sum(g) / 64 AS ma, list_sum(b) / 64 AS mb FROM s WHERE b IS NOT NULL),
+    f"""WITH {_FRAMES}, k AS (SELECT vec_id, g, b, list_sum(g) / 64 AS ma, list_sum(b) / 64 AS mb, len(list_filter(range(1, 65), lambda i: e[i] <> f[i])) / 64 AS edge FROM s WHERE b IS NOT NULL),
 m AS (SELECT *, list_dot_product(g, g) / 64 - ma * ma AS va, list_dot_product(b, b) / 64 - mb * mb AS vb, list_dot_product(g, b) / 64 - ma * mb AS cv, list_sum(list_transform(range(1, 65), lambda i: sqrt(g[i] * b[i]))) / sqrt(list_sum(g) * list_sum(b)) AS bc FROM k),
 c AS (SELECT *, sqrt(greatest(0, 1 - bc)) AS hist, ((2 * ma * mb + 6.5025) * (2 * cv + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225)) AS ssim FROM m)
-SELECT vec_id, round(hist, 6) AS hist, round(ssim, 6) AS ssim, round(0.45 * hist + 0.2 * abs(ma - mb) / 255 + 0.2 * (1 - ssim) / 2 + 0.15 * 0, 6) AS score FROM c"""
+SELECT vec_id, round(hist, 6) AS hist, round(ssim, 6) AS ssim, round(edge, 6) AS edge, round(0.45 * hist + 0.2 * abs(ma - mb) / 255 + 0.2 * (1 - ssim) / 2 + 0.15 * edge, 6) AS score FROM c"""
 )
 def frame_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Change score of consecutive grey frames of a clip."""
+    """Change score of consecutive 8 x 8 grey frames of a clip, edges included."""
     g = _vectors(spark, d).select("vec_id", F.transform("x", lambda a: F.abs(a) * 255).alias("g"))
-    s = g.withColumn("b", F.lag("g").over(Window.partitionBy(F.floor(F.col("vec_id") / 64)).orderBy("vec_id"))).where("b is not null")
-    made = s.select("vec_id", signal.histogram_distance("g", "b").alias("hist"), signal.similarity("g", "b").alias("ssim"), (F.abs(signal.total("g") - signal.total("b")) / 64 / 255).alias("bright"))
-    return made.select("vec_id", F.round("hist", 6).alias("hist"), F.round("ssim", 6).alias("ssim"), F.round(signal.change_score(F.col("hist"), F.col("bright"), F.col("ssim"), F.lit(0.0)), 6).alias("score"))
+    shown = g.withColumn("m", signal.gradient("g", 8)).withColumn("e", signal.edges("m", 8))
+    before = Window.partitionBy(F.floor(F.col("vec_id") / 64)).orderBy("vec_id")
+    s = shown.select("vec_id", "g", "e", F.lag("g").over(before).alias("b"), F.lag("e").over(before).alias("f")).where("b is not null")
+    made = s.select(
+        "vec_id", signal.histogram_distance("g", "b").alias("hist"), signal.similarity("g", "b").alias("ssim"), (F.abs(signal.total("g") - signal.total("b")) / 64 / 255).alias("bright"), signal.edge_change("e", "f").alias("edge")
+    )
+    score = signal.change_score(F.col("hist"), F.col("bright"), F.col("ssim"), F.col("edge"))
+    return made.select("vec_id", F.round("hist", 6).alias("hist"), F.round("ssim", 6).alias("ssim"), F.round("edge", 6).alias("edge"), F.round(score, 6).alias("score"))
 
 
 @query(
