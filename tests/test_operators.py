@@ -598,3 +598,14 @@ def test_edges_of_a_step_a_flat_frame_and_a_weak_pixel_beside_a_strong_one(spark
     # the corner's differences: 3 * 60 along both axes at the corner itself
     assert got[3].m[15] == 360.0 and got[3].m[10] == 120.0 and got[3].e[10] == 1.0 and got[3].e[5] == 0.0
     assert frame(spark, [([0.0, 1.0], [1.0, 1.0])], "a array<double>, b array<double>").select(signal.edge_change("a", "b")).first()[0] == 0.5
+
+
+def test_overlaid_maps_merge_at_every_level_and_guard_knows_words(spark):
+    schema = "base map<string,map<string,double>>, changes map<string,map<string,double>>"
+    rows = [({"a": {"b": 1.0, "c": 2.0}, "z": {"q": 5.0}}, {"a": {"b": 3.0, "d": None}, "n": {"m": 4.0}}), ({"a": {"c": 2.0}}, {"a": {"c": None}}), ({"a": {"c": 2.0}}, {"a": None}), (None, {"a": {}}), ({"a": {}}, None), (None, None)]
+    got = [r[0] for r in frame(spark, rows, schema).select(tabular.overlaid("base", "changes")).collect()]
+    want = [tabular.overlay(a, b) if a is not None and b is not None else b if a is None else a for a, b in rows]
+    assert got == want and want[0] == {"a": {"b": 3.0, "c": 2.0, "d": None}, "z": {"q": 5.0}, "n": {"m": 4.0}} and want[2] == {"a": None}
+    names = ["gt", "GT_id", "x_gt", "a_gt_b", "weight", "length", "is_True_Label", "plain", "aground"]
+    flagged = {r[0] for r in frame(spark, [(n,) for n in names] + [(None,)], "n string").where(tabular.is_forbidden("n")).collect()}
+    assert flagged == set(tabular.forbidden(names)) == {"gt", "GT_id", "x_gt", "a_gt_b", "is_True_Label", "aground"}

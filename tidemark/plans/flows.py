@@ -6,9 +6,11 @@ import io
 import uuid
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,42 @@ def list_cells(spark: SparkSession, d: str) -> DataFrame:
     return plain.unionByName(nested).groupBy("item").agg(F.count("*").alias("n"))
 
 
+#: Tables of a decision frame, the prefix their columns get there, and the columns.
+_DECISION = {"documents": ("feature", ["doc_id", "text", "lang", "source", "n_chars"]), "labels": ("label", ["doc_id", "quality", "toxic"]), "benchmark": ("gt", ["item_id", "text"])}
+
+
+@query(
+    "SELECT feature, valid, regexp_matches(feature, 'actual|label|truth|ground|annotation|review|(^|[^a-z0-9])gt([^a-z0-9]|$)') AS forbidden FROM ("
+    + " UNION ALL ".join(f"SELECT '{prefix}_{c}' AS feature, count({c}) AS valid FROM {name}" for name, (prefix, columns) in _DECISION.items() for c in columns)
+    + ")"
+)
+def column_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Columns offered to a decision, their present values, and those that tell of labels (P25)."""
+    parts = []
+    for name, (prefix, columns) in _DECISION.items():
+        counts = table(spark, d, name, *columns).agg(*[F.count(c).alias(f"{prefix}_{c}") for c in columns])
+        parts.append(counts.unpivot([], counts.columns, "feature", "valid"))
+    return reduce(DataFrame.unionByName, parts).withColumn("forbidden", tabular.is_forbidden("feature"))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey, n_regionkey, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+r AS (SELECT n_regionkey, min(lo) AS lo, max(hi) AS hi, sum(c) AS c FROM n GROUP BY 1),
+k AS (SELECT n_nationkey, 'balance' AS section, 'highest' AS name, hi AS value, 1 AS over FROM n UNION ALL SELECT n_nationkey, 'own', 'customers', c, 1 FROM n
+UNION ALL SELECT n_nationkey, 'balance', 'lowest', r.lo, 0 FROM n JOIN r USING (n_regionkey) UNION ALL SELECT n_nationkey, 'balance', 'highest', r.hi, 0 FROM n JOIN r USING (n_regionkey) UNION ALL SELECT n_nationkey, 'size', 'customers', r.c, 0 FROM n JOIN r USING (n_regionkey))
+SELECT n_nationkey, section, name, arg_max(value, over)::DOUBLE AS value FROM k GROUP BY 1, 2, 3"""
+)
+def config_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Nested settings of a family (region) with each variant's (nation's) changes merged in."""
+    nations = table(spark, d, "nation", "n_nationkey", "n_regionkey")
+    rows = table(spark, d, "customer", "c_nationkey", "c_acctbal").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count("*").cast("double").alias("c")).join(nations, "n_nationkey")
+    of = lambda **parts: F.create_map(*[x for k, m in parts.items() for x in (F.lit(k), F.create_map(*[y for n, v in m.items() for y in (F.lit(n), F.col(v))]))])
+    base = rows.groupBy("n_regionkey").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("c")).select("n_regionkey", of(balance={"lowest": "lo", "highest": "hi"}, size={"customers": "c"}).alias("base"))
+    variants = rows.select("n_nationkey", "n_regionkey", of(balance={"highest": "hi"}, own={"customers": "c"}).alias("changes"))
+    merged = variants.join(base, "n_regionkey").select("n_nationkey", F.explode(tabular.overlaid("base", "changes")).alias("section", "settings"))
+    return merged.select("n_nationkey", "section", F.explode("settings").alias("name", "value"))
+
+
 def _drained(frame: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and reads its sink. Complete results overwrite the
     batch before, so a retried batch changes nothing."""

@@ -64,6 +64,12 @@ def forbidden(columns: list[str]) -> list[str]:
     return [c for c in columns if any(p in c.lower() for p in FORBIDDEN) or "gt" in re.split(r"[^a-z0-9]+", c.lower())]
 
 
+def is_forbidden(name: Column | str) -> Column:
+    """The same for names that are data, in any case; a missing name is not forbidden."""
+    words = "|".join((*FORBIDDEN, "(^|[^a-z0-9])gt([^a-z0-9]|$)"))
+    return F.coalesce(F.lower(F.col(name) if isinstance(name, str) else name).rlike(words), F.lit(False))
+
+
 def guarded(frame: DataFrame) -> DataFrame:
     """The frame, if no column tells of labels."""
     if bad := forbidden(frame.columns):
@@ -125,6 +131,14 @@ def overlay(base: dict, changes: dict) -> dict:
     return base | {k: overlay(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in changes.items()}
 
 
+def overlaid(base: Column | str, changes: Column | str, depth: int = 1) -> Column:
+    """Maps of maps with changes merged in at every level, the last of which is at `depth` below.
+    A key of the changes wins even with a null; a missing map stands for an empty one."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (base, changes))
+    inner = (lambda k, x, y: F.when(F.map_contains_key(b, k), y).otherwise(x)) if depth == 0 else (lambda k, x, y: F.when(x.isNull(), y).when(y.isNull() & ~F.map_contains_key(b, k), x).when(y.isNull(), y).otherwise(overlaid(x, y, depth - 1)))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.map_zip_with(a, b, inner))
+
+
 def inventory(spark: SparkSession, pattern: str) -> DataFrame:
     """Files under a pattern: path, bytes, time of change, extension, without their content."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "length", "modificationTime")
