@@ -15,27 +15,43 @@ from tidemark.session import remove, shared_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on their labels, scores 0.5 or more."""
+    """Documents that the classifier, trained on their labels, scores 0.5 or more.
+
+    Rows are judged one by one: null text as empty, null ids and repeated rows like any other.
+    Without labels the score is the prior; an empty table stays empty."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one of the largest doc_id."""
+    """One document of each group of equal texts, the one of the largest doc_id.
+
+    Null text counts as empty, a null id is smaller than any other, and rows repeated with id and
+    text stay once; an empty table stays empty."""
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest doc_id."""
+    """One document of each group of near copies, the one of the smallest doc_id.
+
+    Null, empty and blank texts are one group; a null id is a group's smallest only where it has
+    no other; repeated rows stay once; an empty table stays empty."""
     return simhash.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's budget takes it."""
+    """Every document as often as its source's budget takes it.
+
+    Null sources are one source; texts of no words are copied as their place in the order says;
+    null and repeated ids are rows of their own, and any layout of the rows gives the same mix; an
+    empty table stays empty."""
     return mixing.mix_documents(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes, a row a document of the mix."""
+    """Token counts and digests of ids and decoded bytes, a row a document of the mix.
+
+    Null text counts as empty and has no ids; null ids stay null; repeated rows each get a row;
+    an empty table gives no rows."""
     return bpe.encoding_digests(docs)
 
 

@@ -51,7 +51,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The largest id of equal texts stays. Null text counts as empty; a null id is smaller than
     any other, and of a group of null ids every row is kept; rows that repeat both id and text
     share one decision. Distinct texts of one digest, should they ever occur, are told apart by
-    content in the last join too.
+    content in the last join too. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     groups = copy_groups(rows, salts).select("digest", "keep_id", "group_size")
@@ -74,7 +74,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows that stay, columns unchanged; rows repeated with id and text stay once.
+    """The rows that stay, columns unchanged; rows repeated with id and text stay once, the one of
+    the smallest row hash. Null text counts as empty; null ids are one id, the smallest, so that
+    one of a group's stays where it has no other; an empty table gives no rows.
 
     Ids join as text, null as a word of its own, so that the join and the choice among repeated
     rows share one exchange of the documents."""

@@ -214,6 +214,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score."""
+    """Per row: doc_id, held_out, lang_pred, score.
+
+    Null text and text without a letter, empty and blank text among them, are `und` with score 0,
+    and so is every row where nothing was learned. Each row is answered by itself, repeated or
+    not; a null id is not held out; of equal chances the language first in order is said; an empty
+    table gives no rows. Texts are read whole, whatever their length."""
     out = predict(docs, fit(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

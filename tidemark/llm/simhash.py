@@ -294,6 +294,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have fingerprint zero and link like any other; a null id takes part in
     links and never names a component unless all its ids are null; repeated rows each get a row.
+    An empty table gives no rows.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
     return marked.join(_groups(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
