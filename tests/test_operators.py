@@ -609,3 +609,22 @@ def test_overlaid_maps_merge_at_every_level_and_guard_knows_words(spark):
     names = ["gt", "GT_id", "x_gt", "a_gt_b", "weight", "length", "is_True_Label", "plain", "aground"]
     flagged = {r[0] for r in frame(spark, [(n,) for n in names] + [(None,)], "n string").where(tabular.is_forbidden("n")).collect()}
     assert flagged == set(tabular.forbidden(names)) == {"gt", "GT_id", "x_gt", "a_gt_b", "is_True_Label", "aground"}
+
+
+def test_greedy_by_left_walks_keys_over_batches_and_null_ends(spark):
+    rng = random.Random(3)
+    rows = [(k, a, b, float(a // 2) if a is not None else None, rng.choice([None, 1.0, 2.0, 3.0])) for k in (1, 2, None) for a in [*range(40), None] for b in {rng.choice([None, *range(30)]) for _ in range(6)}]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = folds.greedy_by_left(frame(spark, rows, "k long, a long, b long, place double, s double").repartition(3), "k", "a", "b", "place", "s").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last = lambda v: (v is None, v or 0)
+    want, lefts, rights = [], set(), set()
+    for r in sorted(rows, key=lambda r: (str(r[0]), last(r[3]), last(r[1]), (r[4] is None, -(r[4] or 0)), last(r[2]))):
+        if (r[0], r[1]) not in lefts and (r[0], r[2]) not in rights:
+            want.append(r)
+            lefts.add((r[0], r[1]))
+            rights.add((r[0], r[2]))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 60

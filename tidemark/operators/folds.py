@@ -7,9 +7,10 @@ Rows are narrow (an id, times, a score); details join back by id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,16 +161,26 @@ def greedy_pairs(pairs: DataFrame, key: str, left: str, right: str, order: list[
 
 
 def greedy_by_left(pairs: DataFrame, key: str, left: str, right: str, left_order: str, score: str) -> DataFrame:
-    """Left rows in order each take their best free right row: by score, then the smaller right."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([left_order, left, score, right], ascending=[True, True, False, True])
-        matched, used, keep = set(), set(), []
-        for a, b in zip(rows[left].tolist(), rows[right].tolist(), strict=True):
-            keep.append(a not in matched and b not in used)
-            if keep[-1]:
-                matched.add(a)
-                used.add(b)
-        return rows[keep]
-
-    return pairs.groupBy(key).applyInPandas(run, pairs.schema)
+    """Left rows in order each take their best free right row: by score, then the smaller right.
+
+    What a left row takes hangs on all lefts before it, so a key is walked in order; its pairs
+    stream by as Spark has sorted them, and a task holds a batch and the rights that are taken.
+    All pairs of a left row carry its one place in order. Missing places and scores come last; an
+    end that is null is an end like any other, and so is a null key."""
+    order = [F.col(key), *[F.col(c).asc_nulls_last() for c in (left_order, left)], F.col(score).desc_nulls_last(), F.col(right).asc_nulls_last()]
+    at = [pairs.columns.index(c) for c in (key, left, right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, last = (), set(), ()
+        for batch in batches:
+            keep = []
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if now != (k,):
+                    now, used, last = (k,), set(), ()
+                keep.append((a,) != last and b not in used)
+                if keep[-1]:
+                    last = (a,)
+                    used.add(b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.repartition(F.col(key)).sortWithinPartitions(*order).mapInArrow(run, pairs.schema)
