@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import duckdb
 from helpers import duck_rows, rows_of
+from pyspark.sql import functions as F
 
 from tidemark.plans import all_queries, all_sql
+from tidemark.sources import books
 
 
 def both(spark, folder, name, **tables):
@@ -21,3 +23,21 @@ def test_longest_text_weighs_conversations_beyond_a_thousand_against_length(spar
     rows = [(5, 0, "user", "x" * 40), (2100, 3, "user", "y" * 39), (900, 7, "user", "z" * 39), (6, 101, "system", "a"), (7, 1, "system", "b"), (3, 0, "tool", None), (4, 0, "tool", ""), (None, 0, "odd", "long"), (1, None, "odd", "longer"), (1, 0, None, "none")]
     got, want = both(spark, tmp_path, "longest_text", conversations=("conv_id long, turn long, role string, text string", rows))
     assert got == want and len(got[1]) == 5
+
+
+def test_workbook_labels_read_clocks_before_zero(spark, tmp_path):
+    # Book 1 writes clocks; orders by 7200 start within five seconds of zero and, by 13, end five before.
+    near = [k for k in range(5000, 200_000) if k // 5000 % 3 == 1 and k % 13 == 0 and k * 37 % 7200 < 5]
+    rows = [(k, "2-HIGH") for k in [*near, 5, 13, 5001, 5002, 10_003]]
+    got, want = both(spark, tmp_path, "workbook_labels", orders=("o_orderkey long, o_orderpriority string", rows))
+    assert got == want
+    ends = got[0].index("end_sec")
+    assert sum(r[ends] == "-60.0" for r in got[1]) >= 2
+
+
+def test_only_signed_clocks_stand_before_zero(spark):
+    cases = {"-1:59": (-60.0, None), "-2:05": (-120.0, None), "1:05": (65.0, None), "-9": (-9.0, "combined_numeric_assumed_seconds"), "-1:02:03": (-1.0, "combined_numeric_assumed_seconds"), "-1분 59 sec": (119.0, None)}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    read = lambda signed: {r.t: (r.v, r.w) for c in [books.combined_seconds(F.col("t"), signed)] for r in rows.select("t", c[0].alias("v"), c[1].alias("w")).collect()}
+    assert read(True) == cases
+    assert read(False) == cases | {"-1:59": (-1.0, "combined_numeric_assumed_seconds"), "-2:05": (-2.0, "combined_numeric_assumed_seconds")}

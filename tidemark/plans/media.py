@@ -154,8 +154,8 @@ CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'not_reviewed' ELSE 'no' END A
 FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY o_orderkey) AS k FROM t)"""
 )
 def workbook_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Clean interval labels of the main sheets of written books."""
+    """Clean interval labels of the main sheets of written books, clocks signed."""
     folder = _books(spark, d)
     main = cut(books.main_sheets(books.headers(books.read_sheets(spark, folder, books.HEADER_ROWS))))
-    labels = books.clean_labels(books.mapped_rows(books.read_sheets(spark, folder), main))
+    labels = books.clean_labels(books.mapped_rows(books.read_sheets(spark, folder), main), signed=True)
     return labels.select(_book(), "row_number", "ad_interval_id", "video_id", "video_title", "start_sec", "end_sec", "duration_sec", "is_abrupt", "label_valid", "invalid_reason", "warnings")
