@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import random
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
+
 import duckdb
 from helpers import duck_rows, rows_of
 from pyspark.sql import functions as F
 
+from tidemark.operators import stats
 from tidemark.plans import all_queries, all_sql
 from tidemark.sources import books
 
@@ -41,3 +47,27 @@ def test_only_signed_clocks_stand_before_zero(spark):
     read = lambda signed: {r.t: (r.v, r.w) for c in [books.combined_seconds(F.col("t"), signed)] for r in rows.select("t", c[0].alias("v"), c[1].alias("w")).collect()}
     assert read(True) == cases
     assert read(False) == cases | {"-1:59": (-1.0, "combined_numeric_assumed_seconds"), "-2:05": (-2.0, "combined_numeric_assumed_seconds")}
+
+
+def test_front_of_suppliers_rounds_half_cents_alike_in_any_order(spark, tmp_path):
+    # Two suppliers of the same lines in two orders: their exact revenue ends in half a cent, their sums of doubles differ.
+    rng = random.Random(11)
+    while True:
+        lines = [(rng.randrange(90_000, 10_000_000) / 100, rng.randrange(11) / 100) for _ in range(600)]
+        exact = sum(Decimal(str(p)) * (1 - Decimal(str(c))) for p, c in lines)
+        sums = [reduce(lambda s, r: s + r[0] * (1 - r[1]), order, 0.0) for order in (lines, lines[::-1])]
+        if exact * 1000 % 10 == 5 and len({Decimal(repr(s)).quantize(Decimal("0.01"), ROUND_HALF_UP) for s in sums}) == 2:
+            break
+    rows = [(k, p, c, 1.0, 0.0) for k, order in ((1, lines), (2, lines[::-1])) for p, c in order] + [(3, 1.0, 0.1, 1.0, 0.0)]
+    schema = "l_suppkey long, l_extendedprice double, l_discount double, l_quantity double, l_tax double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_suppkey: r.revenue for r in all_queries()["objective_pareto"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys((1, 2), float(exact.quantize(Decimal("0.01"), ROUND_HALF_UP)))
+
+
+def test_exact_sums_of_odd_values(spark):
+    groups = {"order": [1e8, 0.1, 0.2, -1e8, -0.3], "null": [None, 2.5, None], "none": [None], "nan": [1.0, float("nan")], "inf": [1.0, float("inf")], "huge": [1e300, 1.0], "below": [-0.25, -1.75, -1e-9], "tenths": [0.1] * 10}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r.k: (r.s, r.m) for r in rows.repartition(5).groupBy("k").agg(stats.exact_sum(F.col("v"), 8).alias("s"), stats.exact_mean(F.col("v"), 8).alias("m")).collect()}
+    assert all(math.isnan(v) for v in got.pop("nan"))
+    assert got == {"order": (0.0, 0.0), "null": (2.5, 2.5), "none": (None, None), "inf": (math.inf, math.inf), "huge": (1e300, 5e299), "below": (-2.0, -2.0 / 3), "tenths": (1.0, 0.1)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,6 +176,21 @@ def leave_one_out(rows: DataFrame, group: str, config: str, metric: str) -> Data
     return scored.where(F.col("others").isNotNull()).groupBy(group).agg(best.alias("b")).select(group, f"b.{config}", F.col("b.others").alias("mean_others"), F.col(f"b.{metric}").alias("own"))
 
 
+def exact_sum(x: Column, places: int) -> Column:
+    """Sum of doubles taken as decimals of so many places, the same in whatever order rows and
+    partial sums arrive. Whole parts and fractions are summed as integers; where a value is no such
+    number (infinite, not a number, a billion and more) or they overflow, it is a plain sum."""
+    whole = F.when(F.abs(x) < 1e9, F.floor(x))
+    part = F.floor((x - whole) * float(10**places) + 0.5)
+    parts = F.try_sum(part).cast("decimal(20,0)") * F.lit(decimal.Decimal(1).scaleb(-places))
+    total = (F.try_sum(whole).cast("decimal(20,0)") + parts).cast("double")
+    return F.when(F.count(whole) == F.count(x), F.coalesce(total, F.sum(x))).otherwise(F.sum(x))
+
+
+def exact_mean(x: Column, places: int) -> Column:
+    return exact_sum(x, places) / F.nullif(F.count(x), F.lit(0))
+
+
 def _skyline(signs: list[int]):
     """Streams points and gives those that no other one dominates; only the front is held. In
     descending order a point is followed by all that it dominates, so the first that is left is

@@ -236,8 +236,11 @@ x AS (SELECT max(revenue) AS mr, max(quantity) AS mq FROM m), o AS (SELECT m.*,
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of suppliers, rounded from exact sums: sums of doubles would round half a cent by
+    the order in which partial sums arrive, which differs between two readings of one shuffle."""
+    income, mean = F.col("l_extendedprice") * (1 - F.col("l_discount")), lambda c: F.round(stats.exact_mean(F.col(c), 10), 9)
     m = table(spark, d, "lineitem", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity", "l_tax").groupBy("l_suppkey").agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_discount"), 9).alias("discount"), F.round(F.avg("l_tax"), 9).alias("tax")
+        F.round(stats.exact_sum(income, 8), 2).alias("revenue"), F.round(stats.exact_mean(F.col("l_quantity"), 10), 6).alias("quantity"), mean("l_discount").alias("discount"), mean("l_tax").alias("tax")
     )
     top = m.agg(F.max("revenue").alias("mr"), F.max("quantity").alias("mq"))
     o = m.crossJoin(top)  # one row
